@@ -5,10 +5,10 @@
    set's size, a fingerprint of the set and a MinHash signature.
 2. Documents with equal sets are one class; its smallest id stands for it.
 3. Signatures are cut into bands; classes that agree in a band are candidates. In
-   each band's bucket only the smallest member meets all others (a star), so a
+   each band's bucket only one member, the head, meets all others (a star), so a
    bucket of n gives n - 1 pairs. Where members are still in different components
-   afterwards, the pairs between components follow; buckets that are too large for
-   that are cut finer by further bands until they are not.
+   afterwards, the pairs between components follow if they are few for the bucket.
+   Members of other buckets meet block by block in tasks that hand out links only.
 4. Signatures of a pair are compared batch by batch; after each, the pair goes if
    the posterior chance that its similarity reaches the threshold is under `miss`.
    Survivors are confirmed on the full sets of both texts.
@@ -26,6 +26,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -37,8 +38,11 @@ SHINGLE = 5
 THRESHOLD = (85, 100)  # intersection * 100 >= union * 85
 BANDS, ROWS = 24, 7
 MISS = 1e-4
-#: Pairs between components are listed in buckets of up to this many members; larger ones are cut finer first.
-SMALL_BUCKET = 64
+#: A bucket's pairs between components are listed if they are up to this many times its members; else its members meet in blocks.
+EASY = 8
+BLOCK = 128
+#: Up to so many ids (8 bytes each) are broadcast.
+BROADCAST_IDS = 200_000
 BATCH = 24
 M1, M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -179,21 +183,32 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     ones first, then small ones), until links form stars.
     """
     edges = common.written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    before = None
-    for _ in range(most_rounds):
+    state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    before = state(edges)
+    for _ in range(most_rounds if before[0] else 0):
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = common.written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")  # a table, so that a node of many links can be dealt to several tasks
-        # large star: larger neighbours to the smallest
+        # tables, so that a node of many links can be dealt to several tasks
+        least = common.written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = common.written(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "links")
         down = large.groupBy("a").agg(F.min("b").alias("m"))
-        # small star: smaller neighbours, and the node, to the smallest
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         edges = common.written(small, "links")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
+        now = state(edges)
+        if now == before:
             break
-        before = state
-    return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
+        before = now
+    return common.written(edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()), "components")
+
+
+def joined(known: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, component) after further links between ids of known components; ids without a link so far may be in links."""
+    own = known.select(F.col("id").alias("_id"), "component")
+    for side in ("a", "b"):
+        links = links.join(own, F.col(side) == F.col("_id"), "left").withColumn(side, F.coalesce("component", side)).drop("_id", "component")
+    above = components(links).select(F.col("id").alias("component"), F.col("component").alias("_top"))
+    moved = known.join(above, "component", "left").select("id", F.coalesce("_top", "component").alias("component"))
+    new = above.join(known.select(F.col("id").alias("component")), "component", "left_anti").select(F.col("component").alias("id"), F.col("_top").alias("component"))
+    return common.written(moved.unionByName(new), "components")
 
 
 def _pairs_with(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
@@ -208,31 +223,106 @@ class Search:
     """Candidates to links, for one set of classes."""
 
     def __init__(self, docs: DataFrame, classes: DataFrame, doc_id: str, text: str, shingle: int, threshold: tuple[int, int], miss: float):
-        self.classes, self.shingle, self.threshold, self.miss = classes, shingle, threshold, miss
+        self.shingle, self.threshold, self.miss = shingle, threshold, miss
+        self.numbered = classes.select("id", F.col("n_shingles").alias("n"), "sig")
         self.docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+        known = self.docs.select("id").where("id is not null")
+        self.repeated = known.groupBy("id").count().where("count > 1").limit(1).count() > 0
+
+    def texts(self, ids: DataFrame) -> DataFrame:
+        """Few ids go to the texts, else the texts are dealt out by id."""
+        texts = self.docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+        return common.written(texts.groupBy("id").agg(F.min("text").alias("text")) if self.repeated else texts, "texts")
+
+    @staticmethod
+    def some(links: DataFrame) -> DataFrame | None:
+        found = common.written(links, "links")
+        return found if found.limit(1).count() else None
+
+    def links(self, pairs: DataFrame) -> DataFrame | None:
+        """The links among candidate pairs (a, b), written; None if there are none."""
+        left = common.written(bayes(_pairs_with(pairs, self.numbered, ["n", "sig"]), self.threshold, self.miss, BATCH), "survivors")
+        ids = common.written(left.select(F.col("a").alias("id")).unionByName(left.select(F.col("b").alias("id"))).distinct(), "ids")
+        if not ids.count():
+            return None
+        texts = self.texts(ids)
+        return self.some(confirmed(_pairs_with(left, texts, ["text"]), self.shingle, self.threshold))
+
+    def blocks(self, hard: DataFrame) -> DataFrame | None:
+        """The links between components in hard buckets, written; None if there are none."""
+        ids = common.written(hard.select("id").distinct(), "ids")
+        return self.some(blocked(hard, self.texts(ids), self.shingle, self.threshold)) if ids.count() else None
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The links among candidate pairs (a, b), written."""
-        numbered = self.classes.select("id", F.col("n_shingles").alias("n"), "sig")
-        left = common.written(bayes(_pairs_with(pairs, numbered, ["n", "sig"]), self.threshold, self.miss, BATCH), "survivors")
-        ids = left.select(F.col("a").alias("id")).unionByName(left.select(F.col("b").alias("id"))).distinct()
-        # an id may have several rows; the class is that of the set in `classes`, which the smallest text of that id needn't be
-        texts = self.docs.join(ids, "id", "left_semi")
-        texts = common.written(texts.groupBy("id").agg(F.min("text").alias("text")) if self.repeated else texts, "texts")
-        return common.written(confirmed(_pairs_with(left, texts, ["text"]), self.shingle, self.threshold), "links")
 
-    repeated = False
+def buckets(members: DataFrame) -> DataFrame:
+    """(key, id, a, n) of the keys that n > 1 ids have. a, the head, is the id that meets the most others in all its buckets: the text that copies were made from is nearer to each than they are to each other.
 
+    Sizes and heads are written, so that a large bucket can be dealt to several tasks.
+    """
+    sizes = common.written(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
+    shared = common.written(members.join(sizes, "key"), "shared")
+    met = common.written(shared.groupBy("id").agg(F.sum("n").alias("met")), "met")
+    heads = shared.join(met, "id").groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("_i")))["_i"].alias("_a"))
+    return common.written(shared.join(common.written(heads.select("key", (-F.col("_a")).alias("a")), "heads"), "key"), "buckets")
 
-def buckets(members: DataFrame) -> DataFrame:
-    """(key, id, a, ...) of the keys that several ids have, a being the smallest of them. Written, as are the heads, so that a large bucket can be dealt to several tasks."""
-    heads = common.written(members.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("_z")).where("a < _z").select("key", "a"), "heads")
-    return common.written(members.join(heads, "key"), "buckets")
+
+def ordered(a: str, b: str) -> list:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
 def stars(shared: DataFrame) -> DataFrame:
-    """Pairs of each bucket's smallest id with its others."""
-    return shared.where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    """Pairs of each bucket's head with its others."""
+    return shared.where("id <> a").select(*ordered("a", "id")).distinct()
+
+
+def divided(shared: DataFrame, final: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(easy, hard): buckets whose members are in several components, with component, the bucket's largest component `_main` and the head's component.
+
+    In an easy one the pairs between components are few for its size.
+    """
+    own = common.written(shared.join(final, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
+    per = own.groupBy("key", "component").agg(F.count("*").alias("_n"), F.max("n").alias("_all"))
+    cross = (F.max("_all") * F.max("_all") - F.sum(F.col("_n") * F.col("_n"))) / 2
+    open_ = common.written(per.groupBy("key").agg(F.max_by("component", F.struct("_n", "component")).alias("_main"), cross.alias("_cross")).where("_cross > 0"), "open")
+    both = common.written(own.join(open_, "key"), "open-buckets")
+    return both.where(F.col("_cross") <= EASY * F.col("n")), both.where(F.col("_cross") > EASY * F.col("n"))
+
+
+def across(easy: DataFrame) -> DataFrame:
+    """All pairs between components in a bucket: one of a pair isn't in the largest."""
+    x = easy.where("component <> _main").select("key", F.col("id").alias("x"), F.col("component").alias("_c"))
+    y = easy.select("key", F.col("id").alias("y"), F.col("component").alias("_d"), (F.col("component") == F.col("_main")).alias("_in"))
+    return x.join(y, "key").where("_c <> _d and (_in or x < y)").select(*ordered("x", "y")).distinct()
+
+
+def blocked(hard: DataFrame, texts: DataFrame, shingle: int, threshold: tuple[int, int]) -> DataFrame:
+    """Links between components in large buckets, on full sets: each two blocks of a bucket's members meet in a task, and only links leave it."""
+    per, of = threshold
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = hard.join(texts, "id").withColumn("_b", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+
+    def run(pdf):
+        h, n = distinct_sets(*shingle_hashes(pa.array(pdf["text"], pa.string()), shingle))
+        doc = np.repeat(np.arange(len(n)), n)
+        _, code, times = np.unique(h, return_inverse=True, return_counts=True)
+        doc, code = doc[times[code] > 1], code[times[code] > 1]
+        _, code = np.unique(code, return_inverse=True)
+        order = np.argsort(code, kind="stable")
+        doc, code = doc[order], code[order]
+        both = np.zeros((len(n), len(n)), np.float64)
+        for start in range(0, int(code[-1]) + 1 if len(code) else 0, 4096):
+            part = slice(np.searchsorted(code, start), np.searchsorted(code, start + 4096))
+            m = np.zeros((len(n), 4096), np.float32)
+            m[doc[part], code[part] - start] = 1
+            both += m @ m.T
+        component = pdf["component"].to_numpy()
+        x, y = np.nonzero((of * both >= per * (n[:, None] + n[None] - both)) & (component[:, None] != component[None]))
+        ids = pdf["id"].to_numpy()
+        good = ids[x] < ids[y]
+        return pd.DataFrame({"a": ids[x[good]], "b": ids[y[good]]})
+
+    dealt = own.select("key", "id", "component", "text", F.least("_b", "_o").alias("_x"), F.greatest("_b", "_o").alias("_y"))
+    return dealt.groupBy("key", "_x", "_y").applyInPandas(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD, bands: int = BANDS, rows: int = ROWS, miss: float = MISS) -> DataFrame:
@@ -246,31 +336,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = named.select(*sets, "id").join(every.select(F.col("doc_id").alias("id"), *sets, "sig"), ["id", *sets]).dropDuplicates(["id"])
     classes = common.written(classes, "class-signatures")
     search = Search(docs, classes, doc_id, text, shingle, threshold, miss)
-    search.repeated = docs.select(F.col(f"`{doc_id}`").alias("i")).where("i is not null").groupBy("i").count().where("count > 1").limit(1).count() > 0
     key = lambda band: F.xxhash64(F.lit(band), F.substring(F.col("sig"), 4 * rows * band + 1, 4 * rows))
     banded = classes.select("id", F.array(*(key(b) for b in range(bands))).alias("keys"))
-    shared = buckets(banded.select("id", F.posexplode("keys").alias("band", "key")))
-    links = search.links(stars(shared))
-    while True:
-        linked = common.written(components(links), "components")
-        own = shared.join(linked, "id", "left").withColumn("component", F.coalesce("component", "id")).drop("a")
-        split = own.groupBy("key").agg(F.min("component").alias("_l"), F.max("component").alias("_h"), F.count("*").alias("_n")).where("_l < _h")
-        open_ = common.written(own.join(common.written(split.select("key", "_n"), "split"), "key"), "open-buckets")
-        small = open_.where(F.col("_n") <= SMALL_BUCKET)
-        x, y = small.select("key", F.col("id").alias("a"), F.col("component").alias("_c")), small.select("key", F.col("id").alias("b"), F.col("component").alias("_d"))
-        pairs = x.join(y, "key").where("a < b and _c <> _d").select("a", "b").distinct()
-        large = open_.where(F.col("_n") > SMALL_BUCKET).select("key", "id", F.col("band").alias("_last"))
-        crowded = large.limit(1).count() > 0
-        if crowded:
-            # a large bucket falls apart by what its members share in a later band as well; each part has a star and is looked at again
-            finer = large.join(banded, "id").select("id", "key", "_last", F.posexplode("keys").alias("band", "_k")).where("band > _last")
-            shared = buckets(finer.select("id", "band", F.xxhash64("key", "_k").alias("key")))
-            pairs = pairs.unionByName(stars(shared)).distinct()
-        links = common.written(links.unionByName(search.links(pairs)), "links")
-        if not crowded:
-            break
-    final = common.written(components(links), "components")
+    shared = buckets(banded.select("id", F.explode("keys").alias("key")))
+    found, final = search.links(stars(shared)), named.select("id", F.col("id").alias("component"))
+    if found is not None:
+        final = joined(final, found)
+    easy, hard = divided(shared, final)
+    rest = [search.links(across(easy)), search.blocks(hard)]
+    for more in rest:
+        if more is not None:
+            final = joined(final, more)
     place = named.join(final, "id", "left").select(*sets, F.coalesce("component", "id").alias("component_id"))
-    joined = every.drop("sig").join(place, sets, "left")
+    placed = every.drop("sig").join(place, sets, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
