@@ -1,0 +1,60 @@
+"""Map the columns of table A to those of table B."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import duplicates, match, melt, overlap, profile, types
+
+
+@dataclass
+class Correlation:
+    """Lazy frames of one mapping; heavy ones (dictionary, signatures) are cached, all others are metadata-sized."""
+
+    dictionary: DataFrame
+    columns: DataFrame
+    overlaps: DataFrame
+    checked: DataFrame
+    warnings: DataFrame
+    duplicates: DataFrame
+    pairs: DataFrame
+    decisions: DataFrame
+    rejected: DataFrame
+    derived: DataFrame
+    resolved: DataFrame
+    results: DataFrame
+    unmatched: DataFrame
+    reverse: DataFrame
+    summary: DataFrame
+
+
+def correlate(a: DataFrame, b: DataFrame) -> Correlation:
+    d = melt.dictionary(melt.melt(a, "A").unionByName(melt.melt(b, "B"))).persist()
+    columns = melt.columns(a, "A").unionByName(melt.columns(b, "B"))
+    over = overlap.overlaps(overlap.signatures(d).persist()).persist()
+    profiled = columns.join(profile.profile(d), ["side", "col_idx"], "left").na.fill(0.0).na.fill(0)
+    checked = types.checked(profiled).persist()
+    near = duplicates.near_pairs(over, "B", duplicates.TARGET_LIMITS).unionByName(duplicates.near_pairs(over, "A", duplicates.SOURCE_LIMITS)).unionByName(equal_columns(a))
+    dups = duplicates.duplicates(duplicates.clusters(near.distinct()), checked).persist()
+    all_ = match.pairs(checked, over, dups).persist()
+    decisions = match.decided(match.scored(match.shortlisted(all_))).persist()
+    derived = match.derived(all_, decisions)
+    resolved = match.resolved(decisions)
+    results = match.results(checked, decisions, resolved).persist()
+    unmatched = match.unmatched(results, dups, resolved)
+    return Correlation(d, columns, over, checked, types.warnings(checked), dups, all_, decisions, match.rejected(decisions), derived, resolved, results, unmatched, match.reverse_check(checked, results), match.summary(results, resolved, derived, dups, unmatched))
+
+
+def equal_columns(a: DataFrame, least: float = 0.999) -> DataFrame:
+    """(side, a, b): columns of table A that agree row by row; one pass, a sum for each pair of columns."""
+    names = a.columns
+    at = {n: i for i, n in enumerate(names)}
+    texts = a.select(*(melt.to_text(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in a.schema))
+    pairs = [(x, y) for i, x in enumerate(names) for y in names[i + 1 :]]
+    if not pairs:
+        return a.sparkSession.createDataFrame([], "side string, a int, b int")
+    number = F.create_map(*(F.lit(x) for kv in at.items() for x in kv))
+    return overlap.rows_equal(texts, pairs).where(F.col("share") >= least).select(F.lit("A").alias("side"), number[F.col("a")].alias("a"), number[F.col("b")].alias("b"))
