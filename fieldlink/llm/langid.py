@@ -96,21 +96,55 @@ def long_word(word: str, table: Pieces, p: np.ndarray) -> np.ndarray:
     return log + np.log(np.maximum(ring[len(word)], 1e-300)) if word else log
 
 
-def log_likelihoods(words: list[str], table: Pieces, p: np.ndarray) -> np.ndarray:
-    """A row of log p(word | language) for each word."""
+@functools.lru_cache(maxsize=2)
+def matcher(path: str):
+    """Aho-Corasick over the pieces: a match gives (length, row)."""
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for piece, row in pieces(path).index.items():
+        found.add_word(piece, (len(piece), row))
+    found.make_automaton()
+    return found
+
+
+def short_word(word: str, found, p: list[tuple]) -> list[float]:
+    """The forward pass of one word: likelihood by language."""
+    zero = [0.0] * len(p[0])
+    alpha, done, single = [[1.0] * len(zero)], 0, True
+    for at, (length, row) in found.iter(word):
+        while done <= at:
+            if not single:
+                alpha[done] = [x + y * UNKNOWN_P for x, y in zip(alpha[done], alpha[done - 1])]
+            alpha.append(zero)
+            done, single = done + 1, False
+        alpha[done] = [x + y * z for x, y, z in zip(alpha[done], alpha[done - length], p[row])]
+        single |= length == 1
+    while True:
+        if not single:
+            alpha[done] = [x + y * UNKNOWN_P for x, y in zip(alpha[done], alpha[done - 1])]
+        if done == len(word):
+            return alpha[done]
+        alpha.append(zero)
+        done, single = done + 1, False
+
+
+def log_likelihoods(words: list[str], path: str, p: np.ndarray, rows: list[tuple]) -> np.ndarray:
+    """A row of log p(word | language) for each word; rows: p as tuples."""
+    found, table = matcher(path), pieces(path)
     out = np.zeros((len(words), p.shape[1]))
-    for n, group in by_length(words):
-        if n > PART:
-            for i in group:
-                out[i] = long_word(words[i], table, p)
-        elif n:
-            out[group] = np.log(np.maximum(forward(table.rows([words[i] for i in group]), p)[:, -1], 1e-300))
+    short = [i for i, w in enumerate(words) if len(w) <= PART]
+    if short:
+        out[short] = np.log(np.maximum(np.array([short_word(words[i], found, rows) for i in short]), 1e-300))
+    for i, w in enumerate(words):
+        if len(w) > PART:
+            out[i] = long_word(w, table, p)
     return out
 
 
 def expected(words: list[str], language: np.ndarray, count: np.ndarray, table: Pieces, p: np.ndarray) -> np.ndarray:
     """Expected piece counts [language, piece] of counted words, by a forward and a backward pass."""
-    total = np.zeros(p.shape[1] * (table.size + 1))
+    at_, counts = [np.zeros(0, np.int64)], [np.zeros(0)]
     for n, group in by_length(words):
         if not n:
             continue
@@ -131,7 +165,9 @@ def expected(words: list[str], language: np.ndarray, count: np.ndarray, table: P
                 got = r >= 0
                 if got.any():
                     c = (times * alpha[:, s] * p[r, own] * beta[:, s + m] / whole)[got]
-                    total += np.bincount(own[got] * (table.size + 1) + r[got], c, minlength=len(total))
+                    at_.append(own[got] * (table.size + 1) + r[got])
+                    counts.append(c)
+    total = np.bincount(np.concatenate(at_), np.concatenate(counts), minlength=p.shape[1] * (table.size + 1))
     return total.reshape(p.shape[1], -1)[:, :-1]
 
 
@@ -158,7 +194,7 @@ def word_counts(labelled: DataFrame, text: str, lang: str) -> DataFrame:
     return counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", vocabulary: str | None = None, rounds: int = 2, most: int = 20_000, smoothing: float = 2000.0) -> dict:
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", vocabulary: str | None = None, rounds: int = 2, most: int = 8_000, smoothing: float = 2000.0) -> dict:
     """Learns from at most about `most` labelled documents. The model: languages and log-ready probabilities (vocabulary x languages)."""
     path = vocabulary or unigram.default_path()
     table = pieces(path)
@@ -190,18 +226,20 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     return {"path": path, "languages": languages, "p": np.vstack([p, np.zeros(len(languages))])}
 
 
-_cache: dict = {"model": None, "words": {}}
+_cache: dict = {"model": None, "words": {}, "rows": []}
 
 
-def _word_rows(words: list[str], model_id: int, table: Pieces, p: np.ndarray) -> np.ndarray:
+def _word_rows(words: list[str], model_id: int, path: str, p: np.ndarray) -> np.ndarray:
     """log_likelihoods with a bounded memory of words seen by this worker."""
-    if _cache["model"] != model_id or len(_cache["words"]) > CACHE_WORDS:
-        _cache.update(model=model_id, words={})
+    if _cache["model"] != model_id:
+        _cache.update(model=model_id, words={}, rows=[tuple(x) for x in p.tolist()])
+    if len(_cache["words"]) > CACHE_WORDS:
+        _cache["words"] = {}
     seen = _cache["words"]
     new = [w for w in words if w not in seen]
     if new:
-        seen.update(zip(new, log_likelihoods(marked(new), table, p)))
-    return np.array([seen[w] for w in words]).reshape(len(words), p.shape[1])
+        seen.update(zip(new, log_likelihoods(marked(new), path, p, _cache["rows"]).astype(np.float32)))
+    return np.array([seen[w] for w in words], dtype=np.float64).reshape(len(words), p.shape[1])
 
 
 def predict(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
@@ -215,7 +253,7 @@ def predict(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
 
     def score(batches):
         m = shared.value
-        table, names, p = pieces(m["path"]), m["languages"], m["p"]
+        names, p = m["languages"], m["p"]
         for batch in batches:
             for part in common.slices(batch, text):
                 texts = pc.fill_null(part.column(text), "")
@@ -223,7 +261,7 @@ def predict(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
                 best, top = np.full(part.num_rows, "und", dtype=object), np.zeros(part.num_rows)
                 if names:
                     codes, words, counts = common.ascii_words(texts, lower=False)
-                    rows = _word_rows(words, model_id, table, p)
+                    rows = _word_rows(words, model_id, m["path"], p)
                     doc = np.repeat(np.arange(len(counts)), counts)
                     log = np.stack([np.bincount(doc, rows[codes, j], minlength=len(counts)) for j in range(len(names))], 1) if len(codes) else np.zeros((len(counts), len(names)))
                     q = np.exp(log - log.max(1, keepdims=True))
