@@ -98,44 +98,48 @@ def long_word(word: str, table: Pieces, p: np.ndarray) -> np.ndarray:
 
 @functools.lru_cache(maxsize=2)
 def matcher(path: str):
-    """Aho-Corasick over the pieces: a match gives (length, row)."""
+    """Aho-Corasick over the pieces: a match gives 32 * row + length."""
     import ahocorasick
 
     found = ahocorasick.Automaton()
     for piece, row in pieces(path).index.items():
-        found.add_word(piece, (len(piece), row))
+        found.add_word(piece, 32 * row + len(piece))
     found.make_automaton()
     return found
 
 
-def short_word(word: str, found, p: list[tuple]) -> list[float]:
-    """The forward pass of one word: likelihood by language."""
-    zero = [0.0] * len(p[0])
-    alpha, done, single = [[1.0] * len(zero)], 0, True
-    for at, (length, row) in found.iter(word):
-        while done <= at:
-            if not single:
-                alpha[done] = [x + y * UNKNOWN_P for x, y in zip(alpha[done], alpha[done - 1])]
-            alpha.append(zero)
-            done, single = done + 1, False
-        alpha[done] = [x + y * z for x, y, z in zip(alpha[done], alpha[done - length], p[row])]
-        single |= length == 1
-    while True:
-        if not single:
-            alpha[done] = [x + y * UNKNOWN_P for x, y in zip(alpha[done], alpha[done - 1])]
-        if done == len(word):
-            return alpha[done]
-        alpha.append(zero)
-        done, single = done + 1, False
-
-
-def log_likelihoods(words: list[str], path: str, p: np.ndarray, rows: list[tuple]) -> np.ndarray:
-    """A row of log p(word | language) for each word; rows: p as tuples."""
+def short_words(words: list[str], found, p: np.ndarray) -> np.ndarray:
+    """The forward pass of words of up to PART characters, by end position for all words at once: likelihoods (words x languages)."""
+    keys: list[int] = []
+    for i, w in enumerate(words):
+        base = i << 40
+        keys.extend([base + (at << 32) + v for at, v in found.iter(w)])
+    match = np.array(keys, dtype=np.int64)
+    word, at, row, length = match >> 40, match >> 32 & 255, (match & 0xFFFFFFFF) >> 5, match & 31
+    lens = np.array([len(w) for w in words])
+    known = np.zeros((len(words), PART + 1), bool)
+    known[word[length == 1], at[length == 1]] = True
+    order = np.argsort(at, kind="stable")
+    ends = np.searchsorted(at[order], np.arange(PART + 1))
+    alpha = np.zeros((len(words), PART + 1, p.shape[1]))
+    alpha[:, 0] = 1.0
+    for e in range(int(lens.max(initial=0))):
+        some = order[ends[e] : ends[e + 1]]
+        part = alpha[word[some], e + 1 - length[some]] * p[row[some]]
+        for j in range(p.shape[1]):
+            alpha[:, e + 1, j] = np.bincount(word[some], part[:, j], minlength=len(words))
+        alpha[:, e + 1] += np.where(known[:, e], 0.0, UNKNOWN_P)[:, None] * alpha[:, e]
+    return alpha[np.arange(len(words)), lens]
+
+
+def log_likelihoods(words: list[str], path: str, p: np.ndarray) -> np.ndarray:
+    """A row of log p(word | language) for each word."""
     found, table = matcher(path), pieces(path)
     out = np.zeros((len(words), p.shape[1]))
     short = [i for i, w in enumerate(words) if len(w) <= PART]
-    if short:
-        out[short] = np.log(np.maximum(np.array([short_word(words[i], found, rows) for i in short]), 1e-300))
+    for k in range(0, len(short), 8192):
+        some = short[k : k + 8192]
+        out[some] = np.log(np.maximum(short_words([words[i] for i in some], found, p), 1e-300))
     for i, w in enumerate(words):
         if len(w) > PART:
             out[i] = long_word(w, table, p)
@@ -231,15 +235,14 @@ _cache: dict = {"model": None, "words": {}, "rows": []}
 
 def _word_rows(words: list[str], model_id: int, path: str, p: np.ndarray) -> np.ndarray:
     """log_likelihoods with a bounded memory of words seen by this worker."""
-    if _cache["model"] != model_id:
-        _cache.update(model=model_id, words={}, rows=[tuple(x) for x in p.tolist()])
-    if len(_cache["words"]) > CACHE_WORDS:
-        _cache["words"] = {}
+    if _cache["model"] != model_id or len(_cache["words"]) > CACHE_WORDS:
+        _cache.update(model=model_id, words={}, rows=np.zeros((0, p.shape[1]), np.float32))
     seen = _cache["words"]
     new = [w for w in words if w not in seen]
     if new:
-        seen.update(zip(new, log_likelihoods(marked(new), path, p, _cache["rows"]).astype(np.float32)))
-    return np.array([seen[w] for w in words], dtype=np.float64).reshape(len(words), p.shape[1])
+        seen.update(zip(new, range(len(seen), len(seen) + len(new))))
+        _cache["rows"] = np.concatenate([_cache["rows"], log_likelihoods(marked(new), path, p).astype(np.float32)])
+    return _cache["rows"][[seen[w] for w in words]].astype(np.float64)
 
 
 def predict(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
