@@ -115,21 +115,23 @@ def short_words(words: list[str], found, p: np.ndarray) -> np.ndarray:
         base = i << 40
         keys.extend([base + (at << 32) + v for at, v in found.iter(w)])
     match = np.array(keys, dtype=np.int64)
-    word, at, row, length = match >> 40, match >> 32 & 255, (match & 0xFFFFFFFF) >> 5, match & 31
+    n, languages = len(words), np.arange(p.shape[1])
     lens = np.array([len(w) for w in words])
-    known = np.zeros((len(words), PART + 1), bool)
-    known[word[length == 1], at[length == 1]] = True
-    order = np.argsort(at, kind="stable")
+    word, at, row, length = match >> 40, match >> 32 & 255, (match & 0xFFFFFFFF) >> 5, match & 31
+    unknown = np.full((PART + 1, n), UNKNOWN_P)
+    unknown[at[length == 1], word[length == 1]] = 0.0
+    order = np.argsort(at.astype(np.uint8), kind="stable")
     ends = np.searchsorted(at[order], np.arange(PART + 1))
-    alpha = np.zeros((len(words), PART + 1, p.shape[1]))
-    alpha[:, 0] = 1.0
+    # alpha has a row for each (position, word); a match adds its start's row to its end's
+    start, into, weight = ((at + 1 - length) * n + word)[order], word[order], np.take(p, row[order], 0)
+    alpha = np.zeros(((PART + 1) * n, len(languages)))
+    alpha[:n] = 1.0
     for e in range(int(lens.max(initial=0))):
-        some = order[ends[e] : ends[e + 1]]
-        part = alpha[word[some], e + 1 - length[some]] * p[row[some]]
-        for j in range(p.shape[1]):
-            alpha[:, e + 1, j] = np.bincount(word[some], part[:, j], minlength=len(words))
-        alpha[:, e + 1] += np.where(known[:, e], 0.0, UNKNOWN_P)[:, None] * alpha[:, e]
-    return alpha[np.arange(len(words)), lens]
+        some = slice(ends[e], ends[e + 1])
+        part = np.take(alpha, start[some], 0) * weight[some]
+        got = np.bincount((into[some, None] * len(languages) + languages).ravel(), part.ravel(), minlength=alpha[:n].size)
+        alpha[(e + 1) * n : (e + 2) * n] = got.reshape(n, -1) + unknown[e][:, None] * alpha[e * n : (e + 1) * n]
+    return alpha[lens * n + np.arange(n)]
 
 
 def log_likelihoods(words: list[str], path: str, p: np.ndarray) -> np.ndarray:
@@ -137,8 +139,8 @@ def log_likelihoods(words: list[str], path: str, p: np.ndarray) -> np.ndarray:
     found, table = matcher(path), pieces(path)
     out = np.zeros((len(words), p.shape[1]))
     short = [i for i, w in enumerate(words) if len(w) <= PART]
-    for k in range(0, len(short), 8192):
-        some = short[k : k + 8192]
+    for k in range(0, len(short), 4096):
+        some = short[k : k + 4096]
         out[some] = np.log(np.maximum(short_words([words[i] for i in some], found, p), 1e-300))
     for i, w in enumerate(words):
         if len(w) > PART:
