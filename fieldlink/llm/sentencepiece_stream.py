@@ -30,34 +30,41 @@ CACHE_SEGMENTS = 300_000
 class StreamingViterbi:
     """One segment's best pieces. feed() and finish() return the ids that have become certain."""
 
-    def __init__(self, vocabulary: unigram.Vocabulary, prefixes: frozenset):
+    def __init__(self, vocabulary: unigram.Vocabulary, prefixes: dict[str, int]):
         self.vocabulary, self.prefixes = vocabulary, prefixes
-        self.base, self.end, self.alive = 0, 0, 0  # committed up to; read up to; the first boundary that a piece may still start at
+        self.base, self.end = 0, 0  # committed up to; read up to
+        self.live: list[int] = []  # boundaries before the end from which a piece may still go on, ascending
         self.text = ""  # from base on
         self.best: dict[int, tuple[float, int, int]] = {0: (0.0, -1, -1)}  # boundary: score, piece, its start
 
     def feed(self, chunk: str) -> list[int]:
         out: list[int] = []
-        ids, scores, longest = self.vocabulary.ids, self.vocabulary.scores, self.vocabulary.longest
+        find, scores, unknown, best = self.prefixes.get, self.vocabulary.scores, self.vocabulary.unknown, self.best
+        most, text, base, end, live = 2 * self.vocabulary.longest, self.text, self.base, self.end, self.live
         for char in chunk:
-            self.text += char
-            self.end += 1
-            end, best = self.end, None
-            for start in range(max(self.alive, end - longest), end):
-                piece = ids.get(self.text[start - self.base :])
+            text += char
+            live.append(end)
+            end += 1
+            still, top, own, origin = [], None, -1, -1
+            for start in live:
+                piece = find(text[start - base :])
                 if piece is not None:
-                    score = self.best[start][0] + scores[piece]
-                    if best is None or score > best[0]:
-                        best = (score, piece, start)
-            if char not in ids:
-                score = self.best[end - 1][0] + self.vocabulary.unknown
-                if best is None or score > best[0]:
-                    best = (score, -1, end - 1)
-            self.best[end] = best
-            while self.alive < end and self.text[self.alive - self.base :] not in self.prefixes:
-                self.alive += 1
-            if self.alive == end or end - self.base >= 2 * longest:
-                out += self.commit(self.meeting())
+                    still.append(start)
+                    if piece >= 0:
+                        score = best[start][0] + scores[piece]
+                        if top is None or score > top:
+                            top, own, origin = score, piece, start
+            if find(char, -1) < 0:
+                score = best[end - 1][0] + unknown
+                if top is None or score > top:
+                    top, own, origin = score, -1, end - 1
+            best[end] = (top, own, origin)
+            live = still
+            if not live or end - base >= most:
+                self.text, self.end, self.live = text, end, live
+                out += self.commit(self.meeting() if live else end)
+                text, base = self.text, self.base
+        self.text, self.end, self.live = text, end, live
         return out
 
     def finish(self) -> list[int]:
@@ -65,7 +72,7 @@ class StreamingViterbi:
 
     def meeting(self) -> int:
         """The last boundary on the paths of all boundaries alive."""
-        live = set(range(self.alive, self.end + 1))
+        live = {*self.live, self.end}
         while len(live) > 1:
             last = max(live)
             if last == self.base:
@@ -75,21 +82,26 @@ class StreamingViterbi:
         return live.pop()
 
     def commit(self, boundary: int) -> list[int]:
-        out, at = [], boundary
-        while at > self.base:
-            _, piece, start = self.best[at]
-            out.append([piece] if piece >= 0 else [self.vocabulary.byte_ids[b] for b in self.text[start - self.base : at - self.base].encode("utf-8", "surrogatepass")])
+        out, best, text, base, at = [], self.best, self.text, self.base, boundary
+        while at > base:
+            _, piece, start = best[at]
+            if piece >= 0:
+                out.append(piece)
+            else:
+                out += [self.vocabulary.byte_ids[b] for b in reversed(text[start - base : at - base].encode("utf-8", "surrogatepass"))]
             at = start
-        for b in range(self.base, boundary):
-            self.best.pop(b, None)
-        self.text, self.base = self.text[boundary - self.base :], boundary
-        return [i for ids in reversed(out) for i in ids]
+        for b in range(base, boundary):
+            del best[b]
+        self.text, self.base = text[boundary - base :], boundary
+        out.reverse()
+        return out
 
 
 class Codec:
     def __init__(self, path: str):
         self.vocabulary = v = unigram.load(path)
-        self.prefixes = frozenset(p[:n] for p in v.ids for n in range(1, len(p) + 1))
+        #: Each beginning of a piece, with the piece's id if it is one, else -1.
+        self.prefixes = dict.fromkeys((p[:n] for p in v.ids for n in range(1, len(p))), -1) | v.ids
         self.seen: dict[str, np.ndarray] = {}
         values = {i: bytes([b]) for b, i in v.byte_ids.items()} | {i: v.pieces[i].replace(unigram.MARK, " ").encode() for i in v.normal}
         raw = [values.get(i, b"") for i in range(len(v.pieces))]
