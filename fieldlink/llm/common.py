@@ -6,8 +6,10 @@ slices of bounded bytes, so a worker's memory doesn't follow the batch size.
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 2 << 20
+#: Control and private characters, rare in text.
+MARKS = [chr(c) for c in [*range(1, 9), *range(0xE000, 0xE100)]]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -86,6 +90,11 @@ def ascii_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, list,
     return codes, words, counts
 
 
+def unused_mark(texts: pa.Array) -> str | None:
+    """A character that none of the texts has, to cut them by; None if they have all of MARKS."""
+    return next((c for c in MARKS if not pc.any(pc.match_substring(texts, c)).as_py()), None)
+
+
 def starts_of(counts: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(counts)])
 
@@ -102,3 +111,28 @@ def gather(codes: np.ndarray, counts: np.ndarray, values: np.ndarray, offsets: n
 
 def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(starts_of(counts).astype(np.int32)), pa.array(values, type=kind))
+
+
+class Known:
+    """Ids of the strings that a worker has met, of at most about `most`; encode gives (all ids, ids per string) of new ones."""
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int):
+        self.encode, self.most = encode, most
+        self.forget()
+
+    def forget(self) -> None:
+        self.seen: dict[str, int] = {}
+        self.values, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def ids(self, codes: np.ndarray, words: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, ids per list) of lists of words as flat() has them."""
+        if len(self.seen) > self.most:
+            self.forget()
+        places = np.fromiter(map(self.seen.get, words, itertools.repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(places < 0)
+        if len(new):
+            ids, lengths = self.encode(unknown := [words[i] for i in new])
+            places[new] = np.arange(len(self.seen), len(self.seen) + len(new))
+            self.seen.update(zip(unknown, places[new].tolist()))
+            self.values, self.lengths = np.concatenate([self.values, ids]), np.concatenate([self.lengths, lengths])
+        return gather(places[codes], counts, self.values, starts_of(self.lengths))

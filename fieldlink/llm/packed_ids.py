@@ -12,7 +12,9 @@ is then as long as it. Repeated rows are separate documents, one after the other
 
 Encoding goes through the tokenizers library. Byte-level BPE never merges across
 a space or newline that stands between two visible characters, so texts are cut
-there and each distinct part is encoded once per batch.
+there and a worker encodes each distinct part once for as long as it remembers
+it. New parts go to the library side by side; the bytes that each id stands for
+tell where a part's ids end.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
@@ -34,8 +37,11 @@ MAGIC = b"FXPK"
 HEADER = struct.Struct("<4sHHIIQ")  # magic, version, bits, ids in a block, documents, ids
 BLOCK = 4096
 FILE_IDS = 1 << 20
-CACHE_PARTS = 300_000
+CACHE_PARTS = 600_000
+SLICE_BYTES = 8 << 20
 CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+#: A space or newline beside another blank: such texts are cut by CUT itself.
+BLANKS = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}][ \n]|[ \n][\s\p{Z}\x0b\x1c-\x1f\x{85}]|[ \n]$|^[ \n]"
 
 
 def bits_for(largest: int) -> int:
@@ -103,6 +109,18 @@ class PackedFile:
         return self.range(0, self.ids)
 
 
+def parts_of(texts: pa.Array) -> tuple[np.ndarray, list, np.ndarray]:
+    """flat() of the parts of texts, cut before a single space or newline between visible characters."""
+    mark = common.unused_mark(texts)
+    if mark is None:
+        return common.flat(pa.array([CUT.split(t) for t in texts.to_pylist()], type=pa.list_(pa.string())))
+    marked = pc.replace_substring(pc.replace_substring(texts, " ", mark + " "), "\n", mark + "\n")
+    odd = pc.match_substring_regex(texts, BLANKS)
+    if pc.any(odd).as_py():
+        marked = pc.replace_with_mask(marked, odd, pa.array([CUT.sub(mark, t) for t in texts.filter(odd).to_pylist()], type=pa.string()))
+    return common.flat(pc.split_pattern(marked, mark))
+
+
 class Encoder:
     """The library's ids of parts of text, with a bounded memory of parts seen by this worker."""
 
@@ -112,26 +130,39 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.largest = self.tokenizer.get_vocab_size() - 1
-        self.seen: dict[str, np.ndarray] = {}
-
-    def parts(self, parts: list[str]) -> list[np.ndarray]:
-        if len(self.seen) > CACHE_PARTS:
-            self.seen = {}
-        new = [p for p in parts if p not in self.seen]
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            self.seen.update((p, np.array(e.ids, dtype=np.uint32)) for p, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)))
-        return [self.seen[p] for p in parts]
-
-    def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids, ids per text)."""
-        cut = [CUT.split(t) if t else [] for t in texts]
-        counts = np.array([len(c) for c in cut], dtype=np.int64)
-        coded = pa.array([p for c in cut for p in c], type=pa.large_string()).dictionary_encode()
-        known = self.parts(coded.dictionary.to_pylist())
-        values = np.concatenate([*known, np.zeros(0, np.uint32)]).astype(np.uint32)
-        offsets = common.starts_of(np.array([len(k) for k in known], dtype=np.int64))
-        return common.gather(coded.indices.to_numpy(zero_copy_only=False), counts, values, offsets)
+        added = self.tokenizer.get_added_tokens_decoder()
+        #: Bytes of text that an id stands for: a byte-level token has a character for each.
+        self.widths = np.zeros(self.largest + 1, dtype=np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.widths[i] = len(token.encode()) if i in added else len(token)
+        self.known = common.Known(self.encode, CACHE_PARTS)
+
+    def encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, ids per part). Parts that may stand side by side go to the library as one text."""
+        joins = np.array([len(p) > 1 and p[0] in " \n" and not p[1].isspace() and not p[-1].isspace() for p in parts], dtype=bool)
+        texts, at = [], 0
+        firsts = []  # of the parts in each text
+        while at < len(parts):
+            end = at + 1
+            while end < len(parts) and end - at < 256 and joins[end - 1] and joins[end]:
+                end += 1
+            firsts.append(at)
+            texts.append("".join(parts[at:end]))
+            at = end
+        coded = [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        ids = np.concatenate([*coded, np.zeros(0, np.uint32)]).astype(np.uint32)
+        ends = np.cumsum([len(p.encode()) for p in parts])
+        widths = np.cumsum(self.widths[ids])
+        upto = np.searchsorted(widths, ends, "right")
+        whole = np.concatenate([[0], widths])[upto]
+        if len(parts) and not (np.array_equal(whole, ends) and len(widths) == upto[-1]):  # no byte-level vocabulary
+            coded = [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
+            return np.concatenate(coded), np.array([len(c) for c in coded], dtype=np.int64)
+        return ids, np.diff(upto, prepend=0).astype(np.int64)
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, ids per text); a null text has none."""
+        return self.known.ids(*parts_of(pc.fill_null(texts, "")))
 
 
 @functools.lru_cache(maxsize=2)
@@ -162,8 +193,8 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int | None, doc_id: str = "d
             return out
 
         for batch in batches:
-            for part in common.slices(batch, "text"):
-                ids, lengths = own.texts([t or "" for t in part.column("text").to_pylist()])
+            for part in common.slices(batch, "text", SLICE_BYTES):
+                ids, lengths = own.texts(part.column("text"))
                 if end:
                     ids = np.insert(ids, np.cumsum(lengths), end[0])
                     lengths = lengths + 1
