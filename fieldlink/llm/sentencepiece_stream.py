@@ -15,6 +15,7 @@ repeated rows each get a row; further columns pass through.
 from __future__ import annotations
 
 import functools
+from math import inf
 
 import numpy as np
 import pyarrow as pa
@@ -24,85 +25,106 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 from . import common, unigram
 from .token_counts import segments
 
-CACHE_SEGMENTS = 300_000
+CACHE_SEGMENTS = 600_000
+SLICE_BYTES = 4 << 20
 
 
 class StreamingViterbi:
-    """One segment's best pieces. feed() and finish() return the ids that have become certain."""
+    """One segment's best pieces. feed() and finish() return the ids that have become certain.
 
-    def __init__(self, vocabulary: unigram.Vocabulary, prefixes: dict[str, int]):
+    prefixes is an Aho-Corasick automaton of the pieces. Its matches in the window
+    come by ascending end and, at an end, by ascending start; of equal scores the
+    first stays, and an uncovered character comes last.
+    """
+
+    def __init__(self, vocabulary: unigram.Vocabulary, prefixes):
         self.vocabulary, self.prefixes = vocabulary, prefixes
         self.base, self.end = 0, 0  # committed up to; read up to
-        self.live: list[int] = []  # boundaries before the end from which a piece may still go on, ascending
         self.text = ""  # from base on
-        self.best: dict[int, tuple[float, int, int]] = {0: (0.0, -1, -1)}  # boundary: score, piece, its start
+        self.scores, self.pieces, self.starts = [0.0], [-1], [-1]  # best way to each boundary from base on
 
     def feed(self, chunk: str) -> list[int]:
         out: list[int] = []
-        find, scores, unknown, best = self.prefixes.get, self.vocabulary.scores, self.vocabulary.unknown, self.best
-        most, text, base, end, live = 2 * self.vocabulary.longest, self.text, self.base, self.end, self.live
-        for char in chunk:
-            text += char
-            live.append(end)
-            end += 1
-            still, top, own, origin = [], None, -1, -1
-            for start in live:
-                piece = find(text[start - base :])
-                if piece is not None:
-                    still.append(start)
-                    if piece >= 0:
-                        score = best[start][0] + scores[piece]
-                        if top is None or score > top:
-                            top, own, origin = score, piece, start
-            if find(char, -1) < 0:
-                score = best[end - 1][0] + unknown
-                if top is None or score > top:
-                    top, own, origin = score, -1, end - 1
-            best[end] = (top, own, origin)
-            live = still
-            if not live or end - base >= most:
-                self.text, self.end, self.live = text, end, live
-                out += self.commit(self.meeting() if live else end)
-                text, base = self.text, self.base
-        self.text, self.end, self.live = text, end, live
+        longest = self.vocabulary.longest
+        for at in range(0, len(chunk), longest):
+            self.advance(chunk[at : at + longest])
+            if self.end - self.base >= 2 * longest:
+                out += self.commit(self.meeting())
         return out
 
+    def advance(self, step: str) -> None:
+        scores, pieces, starts = self.scores, self.pieces, self.starts
+        before = closed = self.end - self.base
+        self.text += step
+        self.end += len(step)
+        scores += [-inf] * len(step)
+        pieces += [-1] * len(step)
+        starts += range(before, before + len(step))
+        covered = self.vocabulary.characters.issuperset(step)
+        for at, (length, piece, own) in self.prefixes.iter(self.text):
+            end = at + 1
+            if end <= before:
+                continue
+            if not covered and end > closed + 1:
+                self.close(closed + 1, end)
+                closed = end - 1
+            score = scores[end - length] + own
+            if score > scores[end]:
+                scores[end], pieces[end], starts[end] = score, piece, end - length
+        if not covered:
+            self.close(closed + 1, self.end - self.base + 1)
+
+    def close(self, first: int, end: int) -> None:
+        """At each of these boundaries the character before may be one that no piece covers."""
+        for b in range(first, end):
+            if self.text[b - 1] not in self.vocabulary.characters:
+                score = self.scores[b - 1] + self.vocabulary.unknown
+                if score > self.scores[b]:
+                    self.scores[b], self.pieces[b], self.starts[b] = score, -1, b - 1
+
     def finish(self) -> list[int]:
         return self.commit(self.end)
 
     def meeting(self) -> int:
-        """The last boundary on the paths of all boundaries alive."""
-        live = {*self.live, self.end}
+        """The last boundary on the paths of all boundaries from which a piece may still go on."""
+        last = self.end - self.base
+        live = set(range(max(0, last + 1 - self.vocabulary.longest), last + 1))
         while len(live) > 1:
             last = max(live)
-            if last == self.base:
-                return self.base
             live.remove(last)
-            live.add(self.best[last][2])
-        return live.pop()
+            live.add(self.starts[last])
+        return self.base + live.pop()
 
     def commit(self, boundary: int) -> list[int]:
-        out, best, text, base, at = [], self.best, self.text, self.base, boundary
-        while at > base:
-            _, piece, start = best[at]
+        out, at, text = [], boundary - self.base, self.text
+        while at > 0:
+            piece, start = self.pieces[at], self.starts[at]
             if piece >= 0:
                 out.append(piece)
             else:
-                out += [self.vocabulary.byte_ids[b] for b in reversed(text[start - base : at - base].encode("utf-8", "surrogatepass"))]
+                out += [self.vocabulary.byte_ids[b] for b in reversed(text[start:at].encode("utf-8", "surrogatepass"))]
             at = start
-        for b in range(base, boundary):
-            del best[b]
-        self.text, self.base = text[boundary - base :], boundary
         out.reverse()
+        if boundary < self.end:
+            gone = boundary - self.base
+            self.text = text[gone:]
+            self.scores, self.pieces, self.starts = self.scores[gone:], self.pieces[gone:], [s - gone for s in self.starts[gone:]]
+        else:
+            self.text, self.scores, self.pieces, self.starts = "", self.scores[-1:], [-1], [-1]
+        self.base = boundary
         return out
 
 
 class Codec:
     def __init__(self, path: str):
+        import ahocorasick
+
         self.vocabulary = v = unigram.load(path)
-        #: Each beginning of a piece, with the piece's id if it is one, else -1.
-        self.prefixes = dict.fromkeys((p[:n] for p in v.ids for n in range(1, len(p))), -1) | v.ids
-        self.seen: dict[str, np.ndarray] = {}
+        self.prefixes = ahocorasick.Automaton()
+        for piece, i in v.ids.items():
+            self.prefixes.add_word(piece, (len(piece), i, v.scores[i]))
+        self.prefixes.make_automaton()
+        self.known = common.Known(self.encode_all, CACHE_SEGMENTS)
         values = {i: bytes([b]) for b, i in v.byte_ids.items()} | {i: v.pieces[i].replace(unigram.MARK, " ").encode() for i in v.normal}
         raw = [values.get(i, b"") for i in range(len(v.pieces))]
         self.bytes, self.offsets = np.frombuffer(b"".join(raw), np.uint8), common.starts_of(np.array([len(r) for r in raw], dtype=np.int64))
@@ -111,13 +133,10 @@ class Codec:
         stream = StreamingViterbi(self.vocabulary, self.prefixes)
         return [i for s in range(0, len(segment), chunk) for i in stream.feed(segment[s : s + chunk])] + stream.finish()
 
-    def encode_all(self, found: list[str]) -> list[np.ndarray]:
-        if len(self.seen) > CACHE_SEGMENTS:
-            self.seen = {}
-        for s in found:
-            if s not in self.seen:
-                self.seen[s] = np.array(self.encode(unigram.MARK + s), dtype=np.int32)
-        return [self.seen[s] for s in found]
+    def encode_all(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, ids per segment) of segments without their marks."""
+        each = [self.encode(unigram.MARK + s) for s in found]
+        return np.array([i for ids in each for i in ids], dtype=np.uint32), np.array([len(ids) for ids in each], dtype=np.int64)
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
         """The texts of lists of ids; bytes that are no UTF-8 become the replacement character."""
@@ -153,12 +172,10 @@ def encode(docs: DataFrame, text: str = "text", model: str | None = None) -> Dat
 
     def run(batches):
         for batch in batches:
-            for part in common.slices(batch, text):
-                codes, found, counts = segments(part.column(text))
-                known = codec(path).encode_all(found)
-                values = np.concatenate([*known, np.zeros(0, np.int32)]).astype(np.int32)
-                ids, n = common.gather(codes, counts, values, common.starts_of(np.array([len(k) for k in known], dtype=np.int64)))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), common.list_array(ids, n, pa.int32())], names=[*keep, "ids"])
+            own = codec(path)
+            for part in common.slices(batch, text, SLICE_BYTES):
+                ids, n = own.known.ids(*segments(part.column(text)))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), common.list_array(ids.astype(np.int32), n, pa.int32())], names=[*keep, "ids"])
 
     return docs.select(*(f"`{c}`" for c in keep)).mapInArrow(run, StructType([*schema]).add("ids", ArrayType(IntegerType())))
 

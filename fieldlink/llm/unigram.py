@@ -35,6 +35,7 @@ class Vocabulary:
         norm = math.log(sum(1.0 / (r + 1) for r in range(len(self.normal))))
         self.scores = {i: -math.log(r + 1) - norm for r, i in enumerate(self.normal)}
         self.ids = {self.pieces[i]: i for i in self.normal}
+        self.characters = {p for p in self.ids if len(p) == 1}
         self.longest = max(len(self.pieces[i]) for i in self.normal)
         self.unknown_id = next(i for i in range(len(self.pieces)) if model.is_unknown(i))
         self.least = min([*self.scores.values(), 0.0])
