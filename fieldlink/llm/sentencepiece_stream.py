@@ -25,8 +25,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 from . import common, unigram
 from .token_counts import segments
 
-CACHE_SEGMENTS = 600_000
-SLICE_BYTES = 4 << 20
+CACHE_SEGMENTS = 250_000
+SLICE_BYTES = 2 << 20
 
 
 class StreamingViterbi:
