@@ -134,3 +134,20 @@ def test_language_and_toxicity(spark):
     scored = toxicity.scored(df, toxicity.fit(df)).collect()
     assert np.mean([r.predicted == r.toxic for r in scored if r.toxic is not None]) > 0.95
     assert {r.score for r in toxicity.scored(df, toxicity.fit(df.limit(0))).collect()} == {0.0}
+
+
+def test_toxicity_learns_rare_words_and_stems(spark):
+    """Marking words of fewer than 1 in 200 rows count, and forms never seen share their stem's evidence."""
+    draw = random.Random(9)
+    plain = [f"w{i}" for i in range(400)]
+    text = lambda *marks: " ".join([*draw.choices(plain, k=25), *marks])
+    endings = [a + b for a in "bdfgklmnprst" for b in "aeiou"]
+    rows = [(i, text(), 0) for i in range(2200)]
+    rows += [(3000 + 8 * m + i, text(f"mark{m}"), 1) for m in range(25) for i in range(8)]
+    rows += [(4000 + i, text(f"vileword{e}"), 1) for i, e in enumerate(endings[:40])]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    new = [(i, text(f"mark{i}"), 1) for i in range(25)] + [(100 + i, text(f"vileword{e}"), 1) for i, e in enumerate(endings[40:])] + [(200 + i, text(), 0) for i in range(300)]
+    got = {r.doc_id: r.predicted for r in toxicity.scored(spark.createDataFrame(new, "doc_id long, text string, toxic int"), model).collect()}
+    assert sum(got[i] for i in range(25)) >= 22
+    assert sum(got[100 + i] for i in range(len(endings) - 40)) >= 18
+    assert sum(got[200 + i] for i in range(300)) <= 15
