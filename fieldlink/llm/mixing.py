@@ -1,8 +1,9 @@
 """Operator 10: mixing sources to target weights by Sainte-Laguë apportionment.
 
 Documents are dealt by a seeded hash to shards; in a shard, a source's documents
-stand in seeded order on one line of words, cut into blocks of equally many. A
-shard allots its blocks to sources one by one to the highest quotient
+stand in seeded order on one line of words, cut into blocks of equally many: fewer
+words a block on a short line, so that it has LEAST_BLOCKS too. A
+shard allots its blocks of one size to sources one by one to the highest quotient
 weight / (2 * blocks so far + 1), which gives each (shard, source) a whole number
 of blocks. Those are drawn from its line: full passes first, then a seeded
 systematic draw of the rest, so a block is taken at most once more than another
@@ -26,6 +27,8 @@ from . import common
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
+#: A line of fewer blocks has its blocks halved, down to one word.
+LEAST_BLOCKS = 16
 
 
 def size_of(text: Column) -> Column:
@@ -55,8 +58,17 @@ def targets(sizes: DataFrame, weights=WEIGHTS, epochs: float = 1.5, most: float
     return water.select("source", "source_size", "weight", F.coalesce(F.least(F.col("_water") * F.col("weight"), F.col("source_size") * F.lit(float(most))), F.col("source_size") * F.lit(float(most))).alias("target"))
 
 
+def block_of(words: Column, block: int) -> Column:
+    """Words in a block of a line of so many words."""
+    sizes = [block >> k for k in range(block.bit_length() - 1)]
+    return F.coalesce(*(F.when(words >= LEAST_BLOCKS * b, F.lit(b)) for b in sizes), F.lit(1)).cast("long")
+
+
 def quotas(lines: DataFrame, block: int, most: int) -> DataFrame:
-    """(shard, source, words, blocks, quota) from (shard, source, words, share): Sainte-Laguë in each shard.
+    """(shard, source, words, block, blocks, quota) from (shard, source, words, share): Sainte-Laguë in each shard.
+
+    Lines with blocks of one size share seats. On a line of smaller blocks a seat
+    counts for the words that its blocks have on average, the last one included.
 
     share is what the source should take in the shard, in words. A shard's seats are
     its shares' sum in blocks. Were the divisor one block, a party would get
@@ -65,16 +77,18 @@ def quotas(lines: DataFrame, block: int, most: int) -> DataFrame:
     at most, and so each party's seats by that share of them and one. Seats below
     that range are given, those in it go by highest quotient.
     """
-    own, party = Window.partitionBy("shard"), F.col("share") / block
-    n = lines.withColumn("blocks", F.ceil(F.col("words") / block)).withColumn("_seats", F.round(F.sum("share").over(own) / block)).withColumn("_parties", F.count("*").over(own))
+    own, party = Window.partitionBy("shard", "block"), F.col("share") / F.col("block")
+    cut = lines.withColumn("block", block_of(F.col("words"), block)).withColumn("blocks", F.ceil(F.col("words") / F.col("block")))
+    worth = cut.withColumn("share", F.when(F.col("block") == block, F.col("share")).otherwise(F.col("share") * F.col("blocks") * F.col("block") / F.col("words")))
+    n = worth.withColumn("_seats", F.round(F.sum("share").over(own) / F.col("block"))).withColumn("_parties", F.count("*").over(own))
     ranged = n.withColumn("_off", F.ceil(party * (F.col("_parties") + 1) / F.greatest(2 * F.col("_seats"), F.lit(1))) + 1)
     based = ranged.withColumn("_base", F.greatest(F.floor(party + 0.5) - F.col("_off"), F.lit(0)))
     left = based.withColumn("_left", F.col("_seats") - F.sum("_base").over(own))
     tried = left.withColumn("_next", F.explode(F.sequence(F.lit(0), (2 * F.col("_off") + 1).cast("int"))))
     quotient = party / (2 * (F.col("_base") + F.col("_next")) + 1)
     ranked = tried.withColumn("_rank", F.row_number().over(own.orderBy(quotient.desc(), F.col("source").asc_nulls_last(), F.col("_next"))))
-    seats = ranked.groupBy("shard", "source", "words", "blocks", "_base").agg(F.count_if(F.col("_rank") <= F.col("_left")).alias("_more"))
-    return seats.select("shard", "source", "words", "blocks", F.least(F.col("_base") + F.col("_more"), most * F.col("blocks")).cast("long").alias("quota"))
+    seats = ranked.groupBy("shard", "source", "words", "block", "blocks", "_base").agg(F.count_if(F.col("_rank") <= F.col("_left")).alias("_more"))
+    return seats.select("shard", "source", "words", "block", "blocks", F.least(F.col("_base") + F.col("_more"), most * F.col("blocks")).cast("long").alias("quota"))
 
 
 def seeded(*parts: Column, seed: int) -> Column:
@@ -89,7 +103,7 @@ def drawn_before(at: Column) -> Column:
 
 def plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, epochs: float = 1.5, most: int = 2, block: int = 64, shard_docs: int = 1_000, seed: int = 42) -> DataFrame:
     """A row for each row of docs: doc_id, source, size, source_size, target, taken, and where it stands:
-    start (on its line), blocks, quota, _passes, _rest and _from of its line."""
+    start (on its line), block, blocks, quota, _passes, _rest and _from of its line."""
     sized = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), size_of(F.col(f"`{text}`")).alias("size"))
     rows = common.written(sized, "sizes")
     aim = common.written(targets(rows, weights, epochs, float(most)), "targets")
@@ -100,11 +114,12 @@ def plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
     given = common.written(quotas(shared, block, most), "quotas")
     line = Window.partitionBy("shard", "source").orderBy(seeded(F.col("doc_id"), seed=seed + 1), F.col("doc_id").asc_nulls_first(), "size")
     placed = dealt.withColumn("start", F.sum("size").over(line) - F.col("size"))
-    g = given.select(F.col("shard").alias("_shard"), F.col("source").alias("_source"), "blocks", "quota")
+    g = given.select(F.col("shard").alias("_shard"), F.col("source").alias("_source"), "block", "blocks", "quota")
     joined = placed.join(g, (F.col("shard") == F.col("_shard")) & F.col("source").eqNullSafe(F.col("_source")), "left").drop("_shard", "_source")
-    own = joined.withColumn("blocks", F.coalesce("blocks", F.lit(1)).cast("long")).withColumn("quota", F.coalesce("quota", F.lit(0)))
+    own = joined.withColumn("block", F.coalesce("block", F.lit(1))).withColumn("blocks", F.coalesce("blocks", F.lit(1)).cast("long")).withColumn("quota", F.coalesce("quota", F.lit(0)))
     drawn = own.withColumn("_passes", F.floor(F.col("quota") / F.col("blocks"))).withColumn("_rest", F.col("quota") % F.col("blocks")).withColumn("_from", seeded(F.col("shard"), F.col("source"), seed=seed + 2) % F.col("blocks"))
     # words of the document in drawn blocks: whole blocks by their number, less what lies outside at either end
+    block = F.col("block")
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
     at_end = lambda b: drawn_before(b + 1) - drawn_before(b)
     some = (drawn_before(last + 1) - drawn_before(first)) * block - at_end(first) * (F.col("start") - first * block) - at_end(last) * ((last + 1) * block - F.col("start") - F.col("size"))
@@ -121,12 +136,12 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: in
     the place of the first of them.
     """
     where = plan(docs, doc_id=doc_id, text=text, block=block, seed=seed, **how).where("taken > 0").dropDuplicates(["doc_id"])
-    where = where.select(F.col("doc_id").alias("_id"), "size", "start", "taken", "blocks", "_passes", "_rest", "_from")
+    where = where.select(F.col("doc_id").alias("_id"), "size", "start", "taken", F.col("block").alias("_block"), "blocks", "_passes", "_rest", "_from")
     both = docs.join(where, F.col(f"`{doc_id}`").eqNullSafe(F.col("_id")))
     part = F.col("taken") - F.col("_passes") * F.col("size")
     copies = both.withColumn("_part", part).withColumn("_copy", F.explode(F.sequence(F.lit(1), (F.col("_passes") + (F.col("_part") > 0).cast("long")).cast("int"))))
     words = F.regexp_extract_all(F.col(f"`{text}`"), F.lit(WORD), F.lit(0))
-    at = lambda i: F.floor((F.col("start") + i) / block)
+    at = lambda i: F.floor((F.col("start") + i) / F.col("_block"))
     some = F.array_join(F.filter(words, lambda w, i: drawn_before(at(i) + 1) - drawn_before(at(i)) == 1), " ")
     whole = (F.col("_copy") <= F.col("_passes")) | (F.col("_part") == F.col("size"))
     out = copies.withColumn(text, F.when(whole, F.col(f"`{text}`")).otherwise(some))

@@ -151,3 +151,17 @@ def test_toxicity_learns_rare_words_and_stems(spark):
     assert sum(got[i] for i in range(25)) >= 22
     assert sum(got[100 + i] for i in range(len(endings) - 40)) >= 18
     assert sum(got[200 + i] for i in range(300)) <= 15
+
+
+def test_mixing_gives_a_long_tail_its_targets(spark):
+    """Sources of few and short documents get their targets however many shards there are."""
+    rows = [(i, "w " * 300, f"big{i % 4}") for i in range(6_000)]
+    rows += [(10_000 + i, "w " * 12, "short") for i in range(50)] + [(11_000 + i, "w " * 30, "some") for i in range(50)]
+    rows += [(20_000 + i, "w " * (1 + i % 9), f"tail{i // 2}") for i in range(600)]
+    plan = mixing.plan(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("source").agg({"taken": "sum", "target": "max"}).collect()
+    got = {r["source"]: (r["sum(taken)"], r["max(target)"]) for r in plan}
+    for name in ("short", "some", "big0", "big3"):
+        assert abs(got[name][0] / got[name][1] - 1) < 0.03
+    tail = [x for name, x in got.items() if name.startswith("tail")]
+    assert len(tail) == 300 and abs(sum(a for a, _ in tail) / sum(b for _, b in tail) - 1) < 0.03
+    assert all(abs(a - b) <= 2 for a, b in tail)
