@@ -14,8 +14,7 @@ more than `most` times its words, and what that leaves over is shared again.
 
 Sizes are whole numbers and all orders are by hash and id, so reruns agree. A null
 source is one of its own, last in order. A null or empty text has size 0 and is
-never taken. Rows that repeat an id and text are told apart only by their order;
-they share the line's words either way. Empty input gives no rows.
+never taken. Rows that repeat an id, or have none, each have a place of their own. Empty input gives no rows.
 """
 
 from __future__ import annotations
@@ -101,10 +100,12 @@ def drawn_before(at: Column) -> Column:
     return F.floor((at + F.col("_from")) * F.col("_rest") / F.col("blocks")) - F.floor(F.col("_from") * F.col("_rest") / F.col("blocks"))
 
 
-def plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, epochs: float = 1.5, most: int = 2, block: int = 64, shard_docs: int = 1_000, seed: int = 42) -> DataFrame:
+def plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, epochs: float = 1.5, most: int = 2, block: int = 64, shard_docs: int = 1_000, seed: int = 42, key: str | None = None) -> DataFrame:
     """A row for each row of docs: doc_id, source, size, source_size, target, taken, and where it stands:
-    start (on its line), block, blocks, quota, _passes, _rest and _from of its line."""
-    sized = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), size_of(F.col(f"`{text}`")).alias("size"))
+    start (on its line), block, blocks, quota, _passes, _rest and _from of its line. A `key` that no two rows share goes through."""
+    own = [] if key is None else [F.xxhash64(F.col(f"`{text}`")).alias("_h"), F.col(f"`{key}`").alias("_key")]
+    ties = ["_h", "_key"][: len(own)]
+    sized = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), size_of(F.col(f"`{text}`")).alias("size"), *own)
     rows = common.written(sized, "sizes")
     aim = common.written(targets(rows, weights, epochs, float(most)), "targets")
     shards = max(1, -(-rows.count() // shard_docs))
@@ -112,7 +113,7 @@ def plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
     words = dealt.groupBy("shard", "source").agg(F.sum("size").alias("words")).where("words > 0")
     shared = words.join(aim, words["source"].eqNullSafe(aim["source"])).select("shard", words["source"], "words", (F.col("target") * F.col("words") / F.col("source_size")).alias("share"))
     given = common.written(quotas(shared, block, most), "quotas")
-    line = Window.partitionBy("shard", "source").orderBy(seeded(F.col("doc_id"), seed=seed + 1), F.col("doc_id").asc_nulls_first(), "size")
+    line = Window.partitionBy("shard", "source").orderBy(seeded(F.col("doc_id"), seed=seed + 1), F.col("doc_id").asc_nulls_first(), "size", *ties)
     placed = dealt.withColumn("start", F.sum("size").over(line) - F.col("size"))
     g = given.select(F.col("shard").alias("_shard"), F.col("source").alias("_source"), "block", "blocks", "quota")
     joined = placed.join(g, (F.col("shard") == F.col("_shard")) & F.col("source").eqNullSafe(F.col("_source")), "left").drop("_shard", "_source")
@@ -132,12 +133,13 @@ def plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = 64, seed: int = 42, **how) -> DataFrame:
     """The mix as documents: a row with the whole text for each full pass, and one with the words of its drawn blocks if any.
 
-    Columns are those of docs. Rows of docs that share an id get the same words, by
-    the place of the first of them.
+    Columns are those of docs. Rows of docs that share an id each get the words of
+    their own place.
     """
-    where = plan(docs, doc_id=doc_id, text=text, block=block, seed=seed, **how).where("taken > 0").dropDuplicates(["doc_id"])
-    where = where.select(F.col("doc_id").alias("_id"), "size", "start", "taken", F.col("block").alias("_block"), "blocks", "_passes", "_rest", "_from")
-    both = docs.join(where, F.col(f"`{doc_id}`").eqNullSafe(F.col("_id")))
+    rows = common.numbered(docs, "rows")
+    where = plan(rows, doc_id=doc_id, text=text, block=block, seed=seed, key="_row", **how).where("taken > 0")
+    where = where.select(F.col("_key").alias("_row"), "size", "start", "taken", F.col("block").alias("_block"), "blocks", "_passes", "_rest", "_from")
+    both = rows.join(where, "_row")
     part = F.col("taken") - F.col("_passes") * F.col("size")
     copies = both.withColumn("_part", part).withColumn("_copy", F.explode(F.sequence(F.lit(1), (F.col("_passes") + (F.col("_part") > 0).cast("long")).cast("int"))))
     words = F.regexp_extract_all(F.col(f"`{text}`"), F.lit(WORD), F.lit(0))

@@ -15,10 +15,11 @@
 5. Links join to components by repeated smallest-neighbour steps.
 
 A null or empty text, or one of spaces only, has an empty set and is linked with
-nothing. A null id can't stand for a class; such a row gets its class's component
-if one has an id, else null, and isn't kept. Rows that repeat an id are one node
-of the links; each row gets a row. Further columns don't take part. Sets are
-compared by 64-bit hashes of their shingles.
+nothing. Rows are told apart by an own key, so rows that repeat an id or have none
+are rows of their own. A component is named by its smallest id, null if it has
+none; exactly one row of it is kept: of the smallest id, rows without one last.
+Further columns don't take part. Sets are compared by 64-bit hashes of their
+shingles.
 """
 
 from __future__ import annotations
@@ -327,6 +328,23 @@ def blocked(hard: DataFrame, texts: DataFrame, shingle: int, threshold: tuple[in
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD, bands: int = BANDS, rows: int = ROWS, miss: float = MISS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs."""
+    rows_ = common.numbered(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")), "rows")
+    return grouped(rows_, shingle=shingle, threshold=threshold, bands=bands, rows=rows, miss=miss).drop("_row")
+
+
+def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """near_duplicates() of rows that have `_row`, with it."""
+    placed = common.written(components_of_rows(docs, "_row", text, **how), "placed")
+    names = docs.select("_row", F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("_h"))
+    named = common.written(placed.join(names, "_row"), "named")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_no"), "doc_id", "_h", "_row"))
+    # a table, so that a large component can be dealt to several tasks
+    heads = common.written(named.groupBy("component").agg(first.alias("_head")).select("component", F.col("_head.doc_id").alias("component_id"), F.col("_head._row").alias("_kept")), "component-heads")
+    return named.join(heads, "component").select("_row", "doc_id", "n_shingles", "component_id", (F.col("_row") == F.col("_kept")).alias("kept"))
+
+
+def components_of_rows(docs: DataFrame, doc_id: str, text: str, shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD, bands: int = BANDS, rows: int = ROWS, miss: float = MISS) -> DataFrame:
+    """(_row, n_shingles, component) for each row of docs, by a key that no two rows share."""
     n = bands * rows
     every = common.written(summarised(docs, doc_id, text, shingle, n), "signatures")
     sets = ["n_shingles", "fp1", "fp2"]
@@ -350,4 +368,4 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     place = named.join(final, "id", "left").select(*sets, F.coalesce("component", "id").alias("component_id"))
     placed = every.drop("sig").join(place, sets, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    return placed.select(F.col("doc_id").alias("_row"), "n_shingles", component.alias("component"))
