@@ -6,10 +6,11 @@ slices of bounded bytes, so a worker's memory doesn't follow the batch size.
 
 from __future__ import annotations
 
+import contextlib
 import itertools
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +24,11 @@ MARKS = [chr(c) for c in [*range(1, 9), *range(0xE000, 0xE100)]]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only on one machine (a local master) an own one is made where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -35,11 +38,68 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_scopes: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: computed once, lineage cut, safe when executors go."""
+    """df as a table in the shared folder: computed once, lineage cut, safe when executors go. Inside scratch() it goes when that ends."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._written_at = path
+    return table
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables written inside are deleted at the end, but for those that the yielded function was given."""
+    paths: list[str] = []
+    _scopes.append(paths)
+
+    def keep(df: DataFrame) -> DataFrame:
+        paths.remove(df._written_at)
+        if len(_scopes) > 1:
+            _scopes[-2].append(df._written_at)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _scopes.pop()
+        for p in paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def cleared(df: DataFrame, added: Iterable[str]) -> DataFrame:
+    """df with its own columns that have the name of an added one renamed to doc_<name> (again doc_ in front while that is taken)."""
+    taken, names = {c.lower() for c in df.columns} | {a.lower() for a in added}, []
+    for c in df.columns:
+        new = c
+        if c.lower() in {a.lower() for a in added}:
+            while new.lower() in taken:
+                new = f"doc_{new}"
+            taken.add(new.lower())
+        names.append(new)
+    return df.toDF(*names)
+
+
+def beside(df: DataFrame, column: str, added: Iterable[str]) -> tuple[DataFrame, str]:
+    """cleared(), and the name that `column` has then."""
+    out = cleared(df, added)
+    return out, out.columns[df.columns.index(column)]
+
+
+def positional(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns named by place, so that no name can clash, and the new name of each."""
+    names = {c: f"_c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
+def named_back(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    return df.select(*(F.col(new).alias(old) for old, new in names.items()))
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
@@ -118,8 +178,12 @@ def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.
     return pa.ListArray.from_arrays(pa.array(starts_of(counts).astype(np.int32)), pa.array(values, type=kind))
 
 
+#: Characters of strings that a worker keeps in a memory of those it has seen.
+MEMORY_CHARS = 8 << 20
+
+
 class Known:
-    """Ids of the strings that a worker has met, of at most about `most`; encode gives (all ids, ids per string) of new ones."""
+    """Ids of the strings that a worker has met, of at most about `most` and MEMORY_CHARS characters; encode gives (all ids, ids per string) of new ones."""
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int):
         self.encode, self.most = encode, most
@@ -127,11 +191,12 @@ class Known:
 
     def forget(self) -> None:
         self.seen: dict[str, int] = {}
+        self.chars = 0
         self.values, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def ids(self, codes: np.ndarray, words: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ids per list) of lists of words as flat() has them."""
-        if len(self.seen) > self.most:
+        if len(self.seen) > self.most or self.chars > MEMORY_CHARS:
             self.forget()
         places = np.fromiter(map(self.seen.get, words, itertools.repeat(-1)), np.int64, len(words))
         new = np.flatnonzero(places < 0)
@@ -139,5 +204,6 @@ class Known:
             ids, lengths = self.encode(unknown := [words[i] for i in new])
             places[new] = np.arange(len(self.seen), len(self.seen) + len(new))
             self.seen.update(zip(unknown, places[new].tolist()))
+            self.chars += sum(map(len, unknown))
             self.values, self.lengths = np.concatenate([self.values, ids]), np.concatenate([self.lengths, lengths])
         return gather(places[codes], counts, self.values, starts_of(self.lengths))

@@ -1,17 +1,20 @@
 """Operator 9 [native]: quality rules and robust multivariate outliers.
 
-Base rules count words, repeats and symbols of each text. Then, in each group of
-language and source, a minimum-covariance-determinant estimate (concentration
-steps from a median and median-deviation start, each refitting location and
-scatter on the half of the group that lies nearest) gives a robust Mahalanobis
-distance of each document's transformed statistics; far ones are rejected.
-
-Statistics are whole numbers (fixed point), sums are exact and quantiles are read
-from histograms, so results don't depend on the order of rows. Groups under
-`least` documents share one pooled estimate. Only DataFrame operations run.
+Base rules count words, repeats and symbols of each text. Then each group of
+language and source gets a minimum-covariance-determinant estimate of location and
+scatter of its documents' transformed statistics: from three starts, concentration
+steps refit on the half of the group that lies nearest until the determinant stops
+falling, and the smallest determinant stays. Documents at a far Mahalanobis distance
+are rejected; how far follows from the chi-squared distribution.
+
+Statistics are whole numbers (fixed point) and documents of equal statistics are
+counted together first, so sums are exact, medians come from counts and results
+don't depend on the order of rows. A group's estimate is drawn to that of all
+documents, the more the fewer it has. Only DataFrame operations run.
 
 A null text has no words and fails. Null languages and sources are groups of
-their own. Repeated rows each count; further columns pass through.
+their own. Repeated rows each count. Further columns pass through; one that is named
+like a result comes back as doc_<name>. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -32,6 +35,11 @@ UNIT = 256  # fixed point: 1.0 of a statistic
 FLOOR = UNIT / 2.0
 #: Logarithms of mean word length, symbols a word, repeated words a word and words.
 STATS = ("z_len", "z_sym", "z_rep", "z_words")
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")
+#: The chance of a squared distance beyond which a document is rejected: of 10^12 clean ones about one would be.
+TAIL = 1e-12
+#: Up to so many groups, of some 300 bytes each, are broadcast.
+BROADCAST_GROUPS = 100_000
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -74,82 +82,103 @@ def statistics() -> list[Column]:
     ]
 
 
-def _quantile(rows: DataFrame, by: list[str], value: str, share: float, name: str) -> DataFrame:
-    """The value at which a share of each group's rows is reached, from counts of equal values."""
-    counts = rows.groupBy(*by, value).agg(F.count("*").alias("_n"))
-    order = Window.partitionBy(*by).orderBy(value)
-    run = counts.withColumn("_run", F.sum("_n").over(order)).withColumn("_all", F.sum("_n").over(Window.partitionBy(*by)))
-    return run.where(F.col("_run") >= F.ceil(F.col("_all") * share)).groupBy(*by).agg(F.min(value).alias(name))
+def _spread() -> list[tuple[int, int]]:
+    return [(i, j) for i in range(len(STATS)) for j in range(i + 1)]
 
 
-def _spread(stats: list[str]) -> list[tuple[int, int]]:
-    return [(i, j) for i in range(len(stats)) for j in range(i + 1)]
+def chi_squared(p: float, tail: float) -> float:
+    """The value that a chi-squared variable of len(STATS) = 4 degrees exceeds with chance `tail`, or stays under with chance `p`."""
+    upper = lambda x: math.exp(-x / 2) * (1 + x / 2)
+    low, high, aim = 0.0, 2000.0, tail if p is None else 1 - p
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if upper(mid) > aim else (low, mid)
+    return low
 
 
-def _moments(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Exact sums of the statistics and of their products."""
-    sums = [F.sum(F.col(s)).alias(f"s_{s}") for s in STATS]
-    crosses = [F.sum(F.col(STATS[i]) * F.col(STATS[j])).alias(f"c_{i}_{j}") for i, j in _spread(STATS)]
-    return rows.groupBy(*by).agg(F.count("*").alias("_n"), *sums, *crosses)
+def _few(df: DataFrame) -> DataFrame:
+    """df, a written table of a row a group, for a broadcast if its rows are proven few; else Spark chooses the join."""
+    return F.broadcast(df) if df.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else df
 
 
-def _fitted(moments: DataFrame, by: list[str]) -> DataFrame:
-    """Location m_i and the lower Cholesky factor l_i_j of the scatter, with a floor on the diagonal for statistics that don't vary."""
-    n = F.col("_n").cast("double")
-    out = moments
-    for i, s in enumerate(STATS):
-        out = out.withColumn(f"m_{i}", F.col(f"s_{s}") / n)
-    for i, j in _spread(STATS):
-        ridge = F.lit(FLOOR * FLOOR) if i == j else F.lit(0.0)
-        out = out.withColumn(f"v_{i}_{j}", F.col(f"c_{i}_{j}") / n - F.col(f"m_{i}") * F.col(f"m_{j}") + ridge)
-    return _factored(out, by)
+MEANS, LOWER = [f"m_{i}" for i in range(len(STATS))], [f"l_{i}_{j}" for i, j in _spread()]
+SCATTER = [f"v_{i}_{j}" for i, j in _spread()]
 
 
 def _factored(scatter: DataFrame, by: list[str]) -> DataFrame:
-    out = scatter
-    for i, j in _spread(STATS):
-        rest = reduce(lambda a, k: a - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}"), range(j), F.col(f"v_{i}_{j}"))  # noqa: B023
-        out = out.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1.0))) if i == j else rest / F.col(f"l_{j}_{j}"))
-    return out.select(*by, *(f"m_{i}" for i in range(len(STATS))), *(f"l_{i}_{j}" for i, j in _spread(STATS)))
-
-
-def _distance(rows: DataFrame, fit: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
-    """rows with d2, the squared Mahalanobis distance: |y|^2 where L y = x - m."""
-    out = rows.join(fit, by, how)
-    for i, s in enumerate(STATS):
-        rest = reduce(lambda a, k: a - F.col(f"l_{i}_{k}") * F.col(f"y_{k}"), range(i), F.col(s) - F.col(f"m_{i}"))  # noqa: B023
-        out = out.withColumn(f"y_{i}", rest / F.col(f"l_{i}_{i}"))
-    out = out.withColumn("d2", reduce(lambda a, k: a + F.col(f"y_{k}") * F.col(f"y_{k}"), range(1, len(STATS)), F.col("y_0") * F.col("y_0")))
-    return out.drop(*(f"m_{i}" for i in range(len(STATS))), *(f"l_{i}_{j}" for i, j in _spread(STATS)), *(f"y_{i}" for i in range(len(STATS))))
-
-
-def fit(rows: DataFrame, by: list[str], steps: int = 2) -> DataFrame:
-    """The estimate of each group: start from medians and median deviations, then `steps` concentration steps.
-
-    rows: the group's columns and STATS, written. The result has a row for each group;
-    rows stay where they are, only counts of equal values and sums move.
+    """by, n, MEANS and SCATTER with LOWER, the lower Cholesky factor, and logdet, the logarithm of the scatter's determinant."""
+    steps = []
+    for i, j in _spread():
+        rest = " - ".join([f"v_{i}_{j}", *(f"l_{i}_{k} * l_{j}_{k}" for k in range(j))])
+        steps.append(f"sqrt(greatest({rest}, 1.0D)) AS l_{i}_{j}" if i == j else f"({rest}) / l_{j}_{j} AS l_{i}_{j}")
+    logdet = " + ".join(f"2 * ln(l_{i}_{i})" for i in range(len(STATS)))
+    return scatter.selectExpr(*by, "n", *MEANS, *SCATTER, *steps, f"{logdet} AS logdet")
+
+
+def _distance(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """keep and d2, the squared Mahalanobis distance, of rows with MEANS and LOWER: |y|^2 where L y = x - m."""
+    steps = ["(" + " - ".join([f"{s} - m_{i}", *(f"l_{i}_{k} * y_{k}" for k in range(i))]) + f") / l_{i}_{i} AS y_{i}" for i, s in enumerate(STATS)]
+    return rows.selectExpr(*keep, *steps, " + ".join(f"y_{i} * y_{i}" for i in range(len(STATS))) + " AS d2").select(*keep, "d2")
+
+
+def _moments(rows: DataFrame, by: list[str], values: list[str], ridge: float = 0.0) -> DataFrame:
+    """by, n, MEANS and SCATTER of whole numbers that stand for _n rows each, from exact sums; `ridge` is added to variances."""
+    sums = [F.expr(f"sum({s} * _n) AS s_{i}") for i, s in enumerate(values)]
+    crosses = [F.expr(f"sum({values[i]} * {values[j]} * _n) AS c_{i}_{j}") for i, j in _spread()]
+    scatter = [f"c_{i}_{j} / double(n) - (s_{i} / double(n)) * (s_{j} / double(n)){f' + {ridge}D' if i == j else ''} AS v_{i}_{j}" for i, j in _spread()]
+    return rows.groupBy(*by).agg(F.sum("_n").alias("n"), *sums, *crosses).selectExpr(*by, "n", *(f"s_{i} / double(n) AS m_{i}" for i in range(len(STATS))), *scatter)
+
+
+def starts(cells: DataFrame, hint) -> DataFrame:
+    """Three starts of each group: medians and median deviations without correlation; the same with the correlation of
+    tanh-bounded scores; plain mean and scatter. Medians come from counts of equal values, which tasks add up first."""
+    k = range(len(STATS))
+    mid = cells.groupBy("_group").agg(*(F.expr(f"percentile({s}, 0.5, _n) AS med_{i}") for i, s in enumerate(STATS)))
+    off = cells.join(hint(mid), "_group").groupBy("_group").agg(*(F.expr(f"greatest(percentile(abs({s} - med_{i}), 0.5, _n) * 1.4826D, {FLOOR}D) AS w_{i}") for i, s in enumerate(STATS)))
+    centre = common.written(mid.join(off, "_group"), "medians")
+    bounded = cells.join(hint(centre), "_group").selectExpr("_group", "_n", *(f"cast(round(tanh(({s} - med_{i}) / w_{i}) * 1024) AS long) AS t_{i}" for i, s in enumerate(STATS)))
+    shape = _moments(bounded, ["_group"], [f"t_{i}" for i in k]).selectExpr("_group", "n", *(f"{v} AS t{v}" for v in SCATTER))
+    both = shape.join(centre, "_group")
+    med = [f"med_{i} AS m_{i}" for i in k]
+    first = both.selectExpr("_group", "0 AS _start", "n", *med, *(f"{f'w_{i} * w_{i}' if i == j else '0.0D'} AS v_{i}_{j}" for i, j in _spread()))
+    second = both.selectExpr("_group", "1 AS _start", "n", *med, *(f"w_{i} * w_{j} * {'1.0D' if i == j else f'tv_{i}_{j} / sqrt(greatest(tv_{i}_{i} * tv_{j}_{j}, 1.0D))'} AS v_{i}_{j}" for i, j in _spread()))
+    third = _moments(cells, ["_group"], list(STATS), FLOOR * FLOOR).withColumn("_start", F.lit(2))
+    return common.written(_factored(first.unionByName(second).unionByName(third), ["_group", "_start"]), "mcd")
+
+
+def _bin() -> str:
+    """A squared distance as a whole number, in steps of a 256th of its logarithm, so that a median is one of counted values."""
+    return "cast(floor(log2(1 + d2) * 256) AS int)"
+
+
+def concentrated(cells: DataFrame, fits: DataFrame, hint) -> DataFrame:
+    """A concentration step of each fit: location and scatter of the half of its group that lies nearest. fits is written."""
+    by = ["_group", "_start"]
+    near = _distance(cells.join(hint(fits.select(*by, *MEANS, *LOWER)), "_group"), [*by, *STATS, "_n"]).selectExpr(*by, *STATS, "_n", f"{_bin()} AS _bin")
+    half = near.groupBy(*by).agg(F.expr("percentile(_bin, 0.5, _n) AS _cut"))
+    return _factored(_moments(near.join(hint(half), by).where("_bin <= _cut"), by, list(STATS), FLOOR * FLOOR), by)
+
+
+def fit(cells: DataFrame, settled: float = 0.01) -> DataFrame:
+    """The minimum-covariance-determinant estimate of each group: (_group, n, MEANS, SCATTER), the scatter scaled to be consistent.
+
+    cells: (_group, STATS, _n), written. Each start takes two concentration steps; the
+    one of the smallest determinant goes on until no group's determinant falls by more
+    than a share of `settled`. Rows stay where they are, only counts and sums move.
     """
-    start = None
-    for i, s in enumerate(STATS):
-        middle = _quantile(rows.select(*by, s), by, s, 0.5, f"m_{i}")
-        off = rows.select(*by, s).join(middle, by).select(*by, F.abs(F.col(s) - F.col(f"m_{i}")).alias("_d"))
-        both = middle.join(_quantile(off, by, "_d", 0.5, f"_mad_{i}"), by)
-        start = both if start is None else start.join(both, by)
-    for i, j in _spread(STATS):
-        wide = F.greatest(F.col(f"_mad_{i}") * 1.4826, F.lit(FLOOR))
-        start = start.withColumn(f"v_{i}_{j}", wide * wide if i == j else F.lit(0.0))
-    now = common.written(_factored(start, by), "mcd")
-    bin_ = F.floor(F.log2(1 + F.col("d2")) * 256)
-    for _ in range(steps):
-        near = _distance(rows, now, by).select(*by, *STATS, bin_.alias("_bin"))
-        cut = _quantile(near.select(*by, "_bin"), by, "_bin", 0.5, "_cut")
-        half = near.join(cut, by).where(F.col("_bin") <= F.col("_cut"))
-        now = common.written(_fitted(_moments(half, by), by), "mcd")
+    few = cells.select("_group").distinct().limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    hint = lambda df: F.broadcast(df) if few else df  # noqa: E731  at most three rows a group
+    fields = ["_group", "_start", "n", *MEANS, *SCATTER, *LOWER, "logdet"]
+    smallest = lambda fits, *more: common.written(fits.groupBy("_group").agg(F.expr(f"min_by(struct({', '.join(fields)}), struct(logdet, _start)) AS _b"), *more).select("_b.*", *(["_fell"] if more else [])), "mcd")
+    best, falling = smallest(concentrated(cells, common.written(concentrated(cells, starts(cells, hint), hint), "mcd"), hint)), True
+    while falling:
+        both = best.select(*fields, F.lit(0).alias("_new")).unionByName(concentrated(cells, best, hint).withColumn("_new", F.lit(1)))
+        best = smallest(both, F.expr("max(if(_new = 0, logdet, null)) - min(logdet) AS _fell"))
+        falling = best.where(F.col("_fell") > settled).limit(1).count() > 0
+    median = _distance(cells.join(hint(best.select("_group", *MEANS, *LOWER)), "_group"), ["_group", "_n"]).groupBy("_group").agg(F.expr(f"percentile({_bin()}, 0.5, _n) AS _mid"), F.sum("_n").alias("n"))
     # the half's scatter is too small: scale it so that the median distance is the chi-squared median
-    median = _quantile(_distance(rows, now, by).select(*by, bin_.alias("_bin")), by, "_bin", 0.5, "_mid")
-    chi = len(STATS) * (1 - 2 / (9 * len(STATS))) ** 3
-    scale = F.greatest((F.pow(F.lit(2.0), (F.col("_mid") + 0.5) / 256) - 1) / chi, F.lit(1.0))
-    return common.written(now.join(median, by).withColumn("scale", scale).drop("_mid"), "mcd")
+    scale = f"greatest((pow(2.0D, (_mid + 0.5D) / 256) - 1) / {chi_squared(0.5, 0)}D, 1.0D)"
+    return common.written(best.drop("n").join(hint(median), "_group").selectExpr("_group", "n", *MEANS, *(f"{v} * {scale} AS {v}" for v in SCATTER)), "mcd")
 
 
 POOLED = "pooled"
@@ -163,33 +192,46 @@ def counted(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     return out.withColumn("_own", F.to_json(F.struct(F.col(f"`{lang}`").alias("l"), F.col(f"`{source}`").alias("s"))))
 
 
-def estimates(rows: DataFrame, least: int = 200) -> DataFrame:
-    """fit() of the groups with `least` documents that pass the base rules, and of all such documents together as POOLED."""
-    passed = rows.where(~F.col("base_failed")).select("_own", *STATS)
-    large = passed.groupBy("_own").agg(F.count("*").alias("_size")).where(F.col("_size") >= least).select("_own")
-    own = passed.join(large, "_own", "left_semi").select(F.col("_own").alias("_group"), *STATS)
-    return fit(common.written(own.unionByName(passed.select(F.lit(POOLED).alias("_group"), *STATS)), "quality-stats"), ["_group"])
+def estimates(rows: DataFrame, weight: float = 50.0) -> DataFrame:
+    """(_group, m_i, l_i_j) of each group of documents that pass the base rules, and of all of them as POOLED.
+
+    A group's estimate is drawn to the pooled one, which counts as `weight` documents:
+    so a group of any size has one, a small one mostly that of all.
+    """
+    each = rows.where(~F.col("base_failed")).select(F.explode(F.array("_own", F.lit(POOLED))).alias("_group"), *STATS)
+    found = fit(common.written(each.groupBy("_group", *STATS).agg(F.count("*").alias("_n")), "quality-cells"))
+    all_ = found.where(F.col("_group") == POOLED).selectExpr(*(f"{p} AS p_{p}" for p in [*MEANS, *SCATTER]))
+    mixed = [f"_w * m_{i} + (1 - _w) * p_m_{i} AS m_{i}" for i in range(len(STATS))]
+    mixed += [f"_w * v_{i}_{j} + (1 - _w) * p_v_{i}_{j} + _w * (1 - _w) * (m_{i} - p_m_{i}) * (m_{j} - p_m_{j}) AS v_{i}_{j}" for i, j in _spread()]
+    drawn = found.withColumn("_w", F.expr(f"if(_group = '{POOLED}', 1.0D, n / (n + {float(weight)}D))")).crossJoin(F.broadcast(all_))  # all_ is one row
+    return common.written(_factored(drawn.selectExpr("_group", "n", *mixed), ["_group"]).select("_group", *MEANS, *LOWER), "mcd")
 
 
 def verdicts(rows: DataFrame, fitted: DataFrame, cut: float) -> DataFrame:
     """counted() rows with distance (null if no document passed the base rules) and kept, without the statistics."""
-    known = fitted.select(F.col("_group").alias("_own"), F.col("_group"))
-    named = rows.join(known, "_own", "left").withColumn("_group", F.coalesce("_group", F.lit(POOLED))).drop("_own")
-    far = _distance(named, fitted, ["_group"], "left").withColumn("distance", F.col("d2") / F.col("scale"))
-    return far.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cut)).drop("_group", "d2", "scale", *STATS)
+    others = [c for c in rows.columns if c not in ("_own", *STATS)]
+    pooled = fitted.where(F.col("_group") == POOLED).first()
+    named = _few(fitted.where(F.col("_group") != POOLED)).select(F.col("_group").alias("_own"), *(F.col(c).alias(f"o_{c}") for c in [*MEANS, *LOWER]))
+    own = rows.join(named, "_own", "left").select(*others, *STATS, *(F.coalesce(f"o_{c}", F.lit(pooled and pooled[c]).cast("double")).alias(c) for c in [*MEANS, *LOWER]))
+    far = _distance(own, others)
+    return far.select(*others, F.col("d2").alias("distance"), (~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= cut)).alias("kept"))
 
 
-def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", cut: float = 60.0, least: int = 200) -> DataFrame:
+def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", tail: float = TAIL, weight: float = 50.0) -> DataFrame:
     """docs without the text, with the counts, base_failed, distance (squared, robust) and kept.
 
-    `cut` is the squared distance beyond which a document is rejected. Texts are read once.
+    A document is rejected if a normal one would be as far with a chance under `tail`. Texts are read once.
     """
-    rows = common.written(counted(docs, text, lang, source).drop(text), "quality")
-    return verdicts(rows, estimates(rows, least), cut)
-
-
-def accepted(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", cut: float = 60.0, least: int = 200) -> DataFrame:
-    """The rows of docs that judged() keeps, with their texts, which are read twice and not moved."""
-    rows = counted(docs, text, lang, source)
-    fitted = estimates(common.written(rows.select("_own", "base_failed", *STATS), "quality"), least)
-    return verdicts(rows, fitted, cut).where("kept").select(*(f"`{c}`" for c in docs.columns))
+    plain, names = common.positional(docs)
+    rows = common.written(counted(plain, *(names[c] for c in (text, lang, source))).drop(names[text]), "quality")
+    out = verdicts(rows, estimates(rows, weight), chi_squared(None, tail))
+    given = common.cleared(docs.drop(text).limit(0), RESULTS).columns
+    back = [F.col(new).alias(g) for (c, new), g in zip(((c, n) for c, n in names.items() if c != text), given)]
+    return out.select(*back, *RESULTS)
+
+
+def accepted(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", tail: float = TAIL, weight: float = 50.0) -> DataFrame:
+    """The rows of docs that judged() keeps, as they are. They are written once with their counts, so texts are gone through once."""
+    plain, names = common.positional(docs)
+    rows = common.written(counted(plain, *(names[c] for c in (text, lang, source))), "quality")
+    return common.named_back(verdicts(rows, estimates(rows, weight), chi_squared(None, tail)).where("kept"), names)
