@@ -1,104 +1,150 @@
 """Operator 4: license scans by diagonal voting.
 
-All rolling word k-grams of all texts are joined in Spark, by hash, to the
-k-grams of license templates at their positions. A hit votes for the diagonal
-text position - template position. Diagonals of a phrase that all its k-grams
-vote for are its exact places. For longer templates, neighbouring diagonals (a
-few words put in or left out) merge to a span, and a span counts if enough of the
-template's k-grams stand in it. Hits are verified on the k-gram's words, not only
-its hash.
-
-The templates are a fixed table, broadcast; exploded k-grams are never shuffled,
-only hits are. A null or empty text has 0 words and no label. Repeated rows each
-get a row; rows with the same id and text share their hits.
+All rolling word k-grams of all texts are joined in Spark, by hash, to the k-grams of
+license templates at their positions. A hit votes for the diagonal text position -
+template position; a diagonal holds each template position at most once, so votes are
+distinct positions.
+
+Phrases and short notices are exact templates: a diagonal that all their k-grams vote
+for is a place. For whole texts, the diagonals up to `slack` words to either side of a
+diagonal merge (words put in or left out shift the rest of a text), and the span is
+verified by aligning it: the template's words that hits in it cover, each counted
+once, must be `share` of the template. A diagonal that is as good as any other within
+`slack` stands for a span, the first one of equals, so a dense run of places gives a
+span for every `slack` words at least and hides none of another diagonal. Of whole
+texts of equal first word the fullest counts, then the longer, then the earlier in the
+list.
+
+Templates are a fixed table, broadcast; exploded k-grams are never shuffled, only hits
+are. Hashes are 64 bits over words; a false hit among 10^14 words is not to be
+expected. A null or empty text has 0 words and no label. Repeated rows each get a row;
+rows with the same id and text share their hits. Only the id and the text of a row are
+read: further columns don't take part, whatever their names. An empty table gives no
+rows.
 """
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-K = 2
+from .license_texts import NOTICES, PHRASES, TEXTS
+
+K = 4
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same before letters are lowered.
+ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SLACK, SHARE = 12, 0.75
+
+
+def lower_words(text: str) -> list[str]:
+    """The words of a template."""
+    return re.findall(WORD, text.translate(str.maketrans(UPPER, LOWER)))
+
+
+def word_hashes(text: Column) -> Column:
+    words = F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    return F.transform(words, lambda x: F.xxhash64(x))
+
+
+def _paired(first: str, then: str, apart: int) -> Column:
+    """Hashes of first[i] and then[i + apart] for each place i that has both."""
+    n = f"greatest(size({then}) - {apart}, 0)"
+    return F.expr(f"zip_with(slice({first}, 1, {n}), slice({then}, {apart + 1}, {n}), (a, b) -> xxhash64(a, b))")
+
+
+def _hash(*values: str | int) -> int:
+    """Spark's xxhash64 of a word, or of two hashes."""
+    import xxhash
+
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v.encode("utf-8", "surrogatepass") if isinstance(v, str) else v.to_bytes(8, "little", signed=True), seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def gram_hashes(words: list[str]) -> tuple[list[int], list[int], list[int]]:
+    """64-bit hashes of each word, of each two and of each K = 4 words that follow one another."""
+    one = [_hash(w) for w in words]
+    two = [_hash(a, b) for a, b in zip(one, one[1:])]
+    return one, two, [_hash(a, b) for a, b in zip(two, two[2:])]
 
-#: Phrases and labels that count wherever their words stand consecutively (fixed values).
-PHRASES = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
-
-#: Public license notices and their labels (fixed values).
-TEMPLATES = [
-    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "mit-notice"),
-    ("licensed under the apache license version 2 0", "apache-2.0"),
-    ("you may not use this file except in compliance with the license you may obtain a copy of the license at", "apache-2.0"),
-    ("licensed under the gnu general public license version 3", "gpl-3.0"),
-    ("licensed under the gnu general public license version 2", "gpl-2.0"),
-    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gpl-notice"),
-    ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd"),
-    ("released under the mit license", "mit-notice"),
-    ("licensed under cc by 4 0", "cc-by-4.0"),
-    ("licensed under cc by sa 4 0", "cc-by-sa-4.0"),
-    ("licensed under cc by nc 4 0", "cc-by-nc-4.0"),
-    ("all rights reserved", "all-rights-reserved"),
-]
-
-
-def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
-
-
-def template_grams(spark: SparkSession, phrases, templates, k: int) -> DataFrame:
-    """(template, label, exact, total, t_pos, gram): a row for each k-gram of each template."""
-    rows = [(n, label, exact, len(ws) - k + 1, i, " ".join(ws[i : i + k])) for n, (text, label, exact) in enumerate([*((t, x, True) for t, x in phrases), *((t, x, False) for t, x in templates)]) for ws in [text.split()] for i in range(len(ws) - k + 1)]
-    return spark.createDataFrame(rows, "template int, label string, exact boolean, total int, t_pos int, gram string").withColumn("h", F.xxhash64("gram"))
-
-
-def hits(docs: DataFrame, grams: DataFrame, k: int) -> DataFrame:
-    """docs' key and every k-gram place that agrees with a template place."""
-    cut = docs.select("key", F.explode(F.array(words_of(F.col("text")))).alias("words"))
-    joined = F.col("words")
-    rolled = "words"
-    for i in range(1, k):
-        rolled = f"zip_with({rolled}, slice(words, {i + 1}, size(words)), (a, b) -> a || ' ' || b)"
-    placed = cut.where(F.size(joined) >= k).select("key", F.posexplode(F.expr(rolled)).alias("pos", "gram")).where(F.col("gram").isNotNull())
-    found = placed.withColumn("h", F.xxhash64("gram")).join(F.broadcast(grams.withColumnRenamed("gram", "t_gram")), "h")
-    return found.where(F.col("gram") == F.col("t_gram")).select("key", "template", "label", "exact", "total", "pos", "t_pos").dropDuplicates(["key", "template", "pos", "t_pos"])
-
-
-def diagonals(found: DataFrame) -> DataFrame:
-    """Votes by offset diagonal."""
-    return found.groupBy("key", "template", "label", "exact", "total", (F.col("pos") - F.col("t_pos")).alias("diagonal")).agg(F.count("*").alias("votes"), F.min("t_pos").alias("t_first"), F.max("t_pos").alias("t_last"), F.min("pos").alias("first"), F.max("pos").alias("last"))
-
-
-def spans(votes: DataFrame, k: int, slack: int, share: float) -> DataFrame:
-    """Neighbouring diagonals merged; those spans in which enough of the template stands. first and last are words."""
-    order = Window.partitionBy("key", "template").orderBy("diagonal")
-    apart = (F.col("diagonal") - F.lag("diagonal").over(order) > F.when(F.col("exact"), 0).otherwise(slack)).cast("int")
-    grouped = votes.withColumn("new", F.coalesce(apart, F.lit(0))).withColumn("cluster", F.sum("new").over(order))
-    merged = grouped.groupBy("key", "template", "label", "exact", "total", "cluster").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), (F.max("last") + k - 1).alias("last"))
-    scored = merged.withColumn("score", F.least(F.lit(1.0), F.col("votes") / F.col("total")))
-    fits = F.when(F.col("exact"), F.col("votes") == F.col("total")).otherwise((F.col("score") >= share) & (F.col("last") - F.col("first") < F.col("total") + k - 1 + 4 * slack))
-    # of templates that begin at the same word, the one that stands most fully
-    best = Window.partitionBy("key", "exact", F.when(F.col("exact"), F.col("label")), "first").orderBy(F.col("score").desc(), F.col("total").desc(), "template")
-    return scored.where(fits).withColumn("_rank", F.row_number().over(best)).where("_rank = 1")
-
-
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases=None, templates=None, k: int = K, slack: int = 3, share: float = 0.75) -> tuple[DataFrame, DataFrame]:
-    """(found, rows): found has each span (key, label, exact, first, last, score), rows has each row's id, key and number of words."""
-    phrases, templates = PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates
-    if any(len(t.split()) < k for t, _ in [*phrases, *templates]):
-        raise ValueError(f"each phrase and template needs {k} words")
+
+PLACES = "array<struct<template:int,t_pos:int,k:int>>"
+
+
+def template_places(spark: SparkSession, templates: list[tuple]) -> dict[int, DataFrame]:
+    """For each width 1, 2 and K the table (h, places): where in the templates (words, label, kind) a k-gram stands."""
+    found: dict[int, dict[int, list]] = {1: {}, 2: {}, K: {}}
+    for i, (words, _, kind) in enumerate(templates):
+        k = K if kind == "text" and len(words) >= K else min(2, len(words))
+        for at, h in enumerate(dict(zip((1, 2, K), gram_hashes(words)))[k]):
+            found[k].setdefault(h, []).append((i, at, k))
+    return {k: spark.createDataFrame([(h, p) for h, p in rows.items()], f"h{k} long, p{k} {PLACES}") for k, rows in found.items() if rows}
+
+
+def hits(docs: DataFrame, places: dict[int, DataFrame]) -> DataFrame:
+    """(key, template, t_pos, k, pos): every k-gram place of docs that agrees with a template place."""
+    # explode(array(x)) holds x as computed once
+    own = docs.select("key", F.explode(F.array(word_hashes(F.col("text")))).alias("h1"))
+    own = own.select("key", "h1", F.explode(F.array(_paired("h1", "h1", 1))).alias("h2"))
+    own = own.select("key", "h1", "h2", F.explode(F.array(_paired("h2", "h2", 2))).alias(f"h{K}"))
+    found = own.select("key", F.posexplode(F.arrays_zip(*(f"h{k}" for k in places))).alias("pos", "_h")).select("key", "pos", "_h.*")
+    for k, table in places.items():
+        found = found.join(F.broadcast(table), f"h{k}", "left")
+    some = reduce(lambda a, b: a | b, (F.col(f"p{k}").isNotNull() for k in places))
+    both = F.concat(*(F.coalesce(f"p{k}", F.array().cast(PLACES)) for k in places))
+    return found.where(some).select("key", "pos", F.inline(both)).dropDuplicates(["key", "template", "pos", "t_pos"])
+
+
+def diagonals(found: DataFrame, templates: list[tuple]) -> DataFrame:
+    """Votes by offset diagonal: the template positions, of which there are no more than the template has words."""
+    rows = [(i, label, kind, len(words)) for i, (words, label, kind) in enumerate(templates)]
+    named = found.join(F.broadcast(found.sparkSession.createDataFrame(rows, "template int, label string, kind string, n_words int")), "template")
+    return named.groupBy("key", "template", "label", "kind", "n_words", "k", (F.col("pos") - F.col("t_pos")).alias("diagonal")).agg(F.array_sort(F.collect_set("t_pos")).alias("at"))
+
+
+def spans(votes: DataFrame, slack: int, share: float) -> DataFrame:
+    """(key, template, label, kind, first, last, score): places of exact templates, and verified spans of whole texts."""
+    exact = votes.where((F.col("kind") != "text") & (F.size("at") == F.col("n_words") - F.col("k") + 1))
+    places = exact.select("key", "template", "label", "kind", F.col("diagonal").alias("first"), (F.col("diagonal") + F.col("n_words") - 1).alias("last"), F.lit(1.0).alias("score"))
+    near = Window.partitionBy("key", "template").orderBy("diagonal").rangeBetween(-slack, slack)
+    merged = votes.where("kind = 'text'").withColumn("_near", F.collect_list(F.struct("diagonal", "at")).over(near))
+    covered = F.expr("size(array_distinct(flatten(transform(flatten(transform(_near, x -> x.at)), p -> sequence(p, p + k - 1)))))")
+    aligned = merged.withColumn("score", covered / F.col("n_words")).where(F.col("score") >= share)
+    rank = F.struct("score", F.size("at").alias("_own"), (-F.col("diagonal")).alias("_d"))
+    tops = aligned.withColumn("_rank", rank).withColumn("_best", F.max("_rank").over(near)).where(F.col("_rank") == F.col("_best"))
+    ends = F.expr("array_min(transform(_near, x -> x.diagonal + x.at[0]))").alias("first"), F.expr("array_max(transform(_near, x -> x.diagonal + element_at(x.at, -1))) + k - 1").alias("last")
+    whole = tops.select("key", "template", "label", "kind", *ends, "score", "n_words")
+    fullest = Window.partitionBy("key", "first").orderBy(F.col("score").desc(), F.col("n_words").desc(), "template")
+    return places.unionByName(whole.withColumn("_nth", F.row_number().over(fullest)).where("_nth = 1").drop("_nth", "n_words"))
+
+
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases=None, notices=None, texts=None, slack: int = SLACK, share: float = SHARE) -> tuple[DataFrame, DataFrame]:
+    """(found, rows): found has each span (key, label, kind, first, last, score), rows has each row's id, key and number of words. kind: phrase, notice or text."""
+    given = [(phrases if phrases is not None else PHRASES, "phrase"), (notices if notices is not None else NOTICES, "notice"), (texts if texts is not None else TEXTS, "text")]
+    templates = [(lower_words(t), label, kind) for some, kind in given for t, label in some]
+    if not all(ws for ws, _, _ in templates):
+        raise ValueError("a phrase or template has no word")
     key = F.struct(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("h"))
     keyed = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), key.alias("key"), F.col(f"`{text}`").alias("text"))
-    grams = template_grams(docs.sparkSession, phrases, templates, k)
-    found = spans(diagonals(hits(keyed, grams, k)), k, slack, share)
-    return found.select("key", "label", "exact", "first", "last", "score"), keyed.select("doc_id", "key", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    found = spans(diagonals(hits(keyed, template_places(docs.sparkSession, templates)), templates), slack, share)
+    n_words = F.coalesce(F.regexp_count("text", F.lit(ANY_WORD)), F.lit(0)).cast("long")
+    return found.select("key", "label", "kind", "first", "last", "score"), keyed.select("doc_id", "key", n_words.alias("n_words"))
 
 
 def labelled(docs: DataFrame, **how) -> DataFrame:
-    """A row for each row of docs with what stands in it."""
+    """A row for each row of docs with what stands in it: doc_id, n_words, the places and labels of phrases, all labels and the best score."""
     found, rows = scan(docs, **how)
-    own = F.when(F.col("exact"), F.col("first"))
-    per = found.groupBy("key").agg(F.count(own).alias("n_base"), F.min(own).cast("long").alias("first_word"), F.max(own).cast("long").alias("last_word"), F.array_sort(F.collect_set(F.when(F.col("exact"), F.col("label")))).alias("base"), F.array_sort(F.collect_set("label")).alias("all"), F.max("score").alias("score"))
+    own = F.when(F.col("kind") == "phrase", F.col("first"))
+    per = found.groupBy("key").agg(
+        F.count(own).alias("n_base"), F.min(own).cast("long").alias("first_word"), F.max(own).cast("long").alias("last_word"),
+        F.array_sort(F.collect_set(F.when(F.col("kind") == "phrase", F.col("label")))).alias("base"), F.array_sort(F.collect_set("label")).alias("all"), F.max("score").alias("score"),
+    )
     both = rows.join(per, rows["key"].eqNullSafe(per["key"]), "left")
     return both.select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
