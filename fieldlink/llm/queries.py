@@ -40,12 +40,13 @@ def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> dict |
     """Learned from docs that have a label and of whose id's crc32 the remainder by 5 isn't 0."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     some = common.hash_share(labels.where((common.id_crc() % 5 != 0) & F.col("toxic").isNotNull()), "doc_id", 8_000)
-    return toxicity.fit(docs.select("doc_id", "text").join(some, "doc_id"))
+    rows = docs.select("doc_id", "text", "lang").join(some, "doc_id")
+    return toxicity.fit(common.written(rows, "labelled"), lang="lang")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.documents(spark, sf_dir).select("doc_id", "text")
-    held = docs.withColumn("held_out", F.coalesce(common.id_crc() % 5 == 0, F.lit(False)))
+    docs = common.documents(spark, sf_dir)
+    held = docs.select("doc_id", "text").withColumn("held_out", F.coalesce(common.id_crc() % 5 == 0, F.lit(False)))
     return toxicity.scored(held, toxicity_model(spark, sf_dir, docs)).drop("text")
 
 
@@ -75,7 +76,8 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = tiff.pages(tiff.write(common.documents(spark, sf_dir).select("doc_id", "text")))
-    payload = F.expr("aggregate(pages, cast('' as binary), (all, p) -> concat(all, coalesce(p.pixels, cast('' as binary))))")
+    # joined as hexadecimal text: in proportion to the payload, where concatenating page by page is not
+    payload = F.expr("unhex(array_join(transform(pages, p -> hex(coalesce(p.pixels, cast('' as binary)))), ''))")
     once = read.select("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), F.expr("array_join(pages.feature, '|')").alias("feature"), F.size("pages").cast("long").alias("n_pages"), F.explode(F.array(payload)).alias("payload"))
     return once.select(
         "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
