@@ -8,7 +8,9 @@
    each band's bucket only one member, the head, meets all others (a star), so a
    bucket of n gives n - 1 pairs. Where members are still in different components
    afterwards, the pairs between components follow if they are few for the bucket.
-   Members of other buckets meet block by block in tasks that hand out links only.
+   Members of other buckets are dealt out anew by those of their rarest shingles that
+   two similar sets must have one in common of; buckets that are hard even so meet
+   block by block, as sets, in tasks that hand out links only.
 4. Signatures of a pair are compared batch by batch; after each, the pair goes if
    the posterior chance that its similarity reaches the threshold is under `miss`.
    Survivors are confirmed on the full sets of both texts.
@@ -17,8 +19,9 @@
 A null or empty text, or one of spaces only, has an empty set and is linked with
 nothing. Rows are told apart by an own key, so rows that repeat an id or have none
 are rows of their own. A component is named by its smallest id, null if it has
-none; exactly one row of it is kept: of the smallest id, rows without one last.
-Further columns don't take part. Sets are compared by 64-bit hashes of their
+none; exactly one row of it is kept: of the smallest id, rows without one last. Ids
+may be of any ordered type. Only id and text are read: further columns don't take
+part, whatever their names. An empty table gives no rows. Sets are compared by 64-bit hashes of their
 shingles.
 """
 
@@ -177,7 +180,7 @@ def confirmed(pairs: DataFrame, shingle: int, threshold: tuple[int, int]) -> Dat
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id that links reach, for each id in a link.
 
     Each round, all neighbours of a node are linked to the smallest of them (large
@@ -186,7 +189,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges = common.written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     before = state(edges)
-    for _ in range(most_rounds if before[0] else 0):
+    while before[0]:  # the smallest ids only ever move on to neighbours, so rounds end
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # tables, so that a node of many links can be dealt to several tasks
         least = common.written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
@@ -249,10 +252,23 @@ class Search:
         texts = self.texts(ids)
         return self.some(confirmed(_pairs_with(left, texts, ["text"]), self.shingle, self.threshold))
 
-    def blocks(self, hard: DataFrame) -> DataFrame | None:
-        """The links between components in hard buckets, written; None if there are none."""
+    def stars_and_rest(self, shared: DataFrame, final: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(final, hard): components after the stars of all buckets and the pairs of easy ones, and the buckets that stay hard."""
+        found = self.links(stars(shared))
+        final = final if found is None else joined(final, found)
+        easy, hard = divided(shared, final)
+        found = self.links(across(easy))
+        return (final if found is None else joined(final, found)), hard
+
+    def hard(self, hard: DataFrame, final: DataFrame) -> DataFrame:
+        """final after the links in hard buckets: their members are dealt out anew by the rarest shingles that similar sets must share, and what is hard even so meets in blocks."""
         ids = common.written(hard.select("id").distinct(), "ids")
-        return self.some(blocked(hard, self.texts(ids), self.shingle, self.threshold)) if ids.count() else None
+        if not ids.count():
+            return final
+        elements = common.written(set_elements(self.texts(ids), self.shingle), "elements")
+        final, left = self.stars_and_rest(buckets(common.written(prefixes(elements, self.threshold), "prefixes")), final)
+        found = self.some(blocked(left, elements, self.threshold))
+        return final if found is None else joined(final, found)
 
 
 def buckets(members: DataFrame) -> DataFrame:
@@ -296,50 +312,80 @@ def across(easy: DataFrame) -> DataFrame:
     return x.join(y, "key").where("_c <> _d and (_in or x < y)").select(*ordered("x", "y")).distinct()
 
 
-def blocked(hard: DataFrame, texts: DataFrame, shingle: int, threshold: tuple[int, int]) -> DataFrame:
-    """Links between components in large buckets, on full sets: each two blocks of a bucket's members meet in a task, and only links leave it."""
+def set_elements(texts: DataFrame, shingle: int) -> DataFrame:
+    """(id, h): the distinct shingle hashes of each text of (id, text)."""
+
+    def run(batches):
+        for batch in batches:
+            for part in common.slices(batch, "text"):
+                h, n = distinct_sets(*shingle_hashes(part.column("text"), shingle))
+                ids = part.column("id").to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(h.view(np.int64))], names=["id", "h"])
+
+    return texts.mapInArrow(run, "id long, h long")
+
+
+def prefixes(elements: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(id, key): the rarest elements of each set that two sets of the threshold's similarity must share one of.
+
+    Of two sets so similar, at least share * n elements of each are in both; so the
+    first n - ceil(share * n) + 1 of each in one order of all elements have one in
+    common. The order is by rarity, so what many texts have in common seldom counts.
+    """
+    per, of = threshold
+    rare = common.written(elements.groupBy("h").agg(F.count("*").alias("times")), "element-counts")
+    sets = elements.join(rare, "h").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("times", "h"))).alias("s"))
+    n = F.size("s")
+    first = F.slice("s", F.lit(1), (n - F.ceil(n * per / of) + 1).cast("int"))
+    return sets.select("id", F.explode(first).alias("e")).where("e.times > 1").select("id", F.col("e.h").alias("key"))
+
+
+def blocked(hard: DataFrame, elements: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Links between components in large buckets, on full sets of 8 bytes an element: each two blocks of a bucket's members meet in a task, and only links leave it."""
     per, of = threshold
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = hard.join(texts, "id").withColumn("_b", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    sets = elements.groupBy("id").agg(F.collect_list("h").alias("s"))
+    own = hard.join(sets, "id").withColumn("_b", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), blocks - 1)))
 
     def run(pdf):
-        h, n = distinct_sets(*shingle_hashes(pa.array(pdf["text"], pa.string()), shingle))
-        doc = np.repeat(np.arange(len(n)), n)
+        n = np.array([len(s) for s in pdf["s"]], dtype=np.int64)
+        h, doc = np.concatenate(list(pdf["s"])), np.repeat(np.arange(len(n)), n)
         _, code, times = np.unique(h, return_inverse=True, return_counts=True)
         doc, code = doc[times[code] > 1], code[times[code] > 1]
         _, code = np.unique(code, return_inverse=True)
         order = np.argsort(code, kind="stable")
         doc, code = doc[order], code[order]
-        both = np.zeros((len(n), len(n)), np.float64)
+        both = np.zeros((len(n), len(n)), np.float32)
         for start in range(0, int(code[-1]) + 1 if len(code) else 0, 4096):
             part = slice(np.searchsorted(code, start), np.searchsorted(code, start + 4096))
             m = np.zeros((len(n), 4096), np.float32)
             m[doc[part], code[part] - start] = 1
             both += m @ m.T
         component = pdf["component"].to_numpy()
-        x, y = np.nonzero((of * both >= per * (n[:, None] + n[None] - both)) & (component[:, None] != component[None]))
+        x, y = np.nonzero((of * both.astype(np.float64) >= per * (n[:, None] + n[None] - both.astype(np.float64))) & (component[:, None] != component[None]))
         ids = pdf["id"].to_numpy()
         good = ids[x] < ids[y]
         return pd.DataFrame({"a": ids[x[good]], "b": ids[y[good]]})
 
-    dealt = own.select("key", "id", "component", "text", F.least("_b", "_o").alias("_x"), F.greatest("_b", "_o").alias("_y"))
+    dealt = own.select("key", "id", "component", "s", F.least("_b", "_o").alias("_x"), F.greatest("_b", "_o").alias("_y"))
     return dealt.groupBy("key", "_x", "_y").applyInPandas(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD, bands: int = BANDS, rows: int = ROWS, miss: float = MISS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs."""
-    rows_ = common.numbered(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")), "rows")
+    rows_ = common.numbered(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), "rows")
     return grouped(rows_, shingle=shingle, threshold=threshold, bands=bands, rows=rows, miss=miss).drop("_row")
 
 
 def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """near_duplicates() of rows that have `_row`, with it."""
-    placed = common.written(components_of_rows(docs, "_row", text, **how), "placed")
-    names = docs.select("_row", F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("_h"))
-    named = common.written(placed.join(names, "_row"), "named")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("_no"), "doc_id", "_h", "_row"))
-    # a table, so that a large component can be dealt to several tasks
-    heads = common.written(named.groupBy("component").agg(first.alias("_head")).select("component", F.col("_head.doc_id").alias("component_id"), F.col("_head._row").alias("_kept")), "component-heads")
+    with common.scratch(docs.sparkSession) as keep:
+        placed = common.written(components_of_rows(docs, "_row", text, **how), "placed")
+        names = docs.select("_row", F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("_h"))
+        named = keep(common.written(placed.join(names, "_row"), "named"))
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("_no"), "doc_id", "_h", "_row"))
+        # a table, so that a large component can be dealt to several tasks
+        heads = keep(common.written(named.groupBy("component").agg(first.alias("_head")).select("component", F.col("_head.doc_id").alias("component_id"), F.col("_head._row").alias("_kept")), "component-heads"))
     return named.join(heads, "component").select("_row", "doc_id", "n_shingles", "component_id", (F.col("_row") == F.col("_kept")).alias("kept"))
 
 
@@ -356,15 +402,8 @@ def components_of_rows(docs: DataFrame, doc_id: str, text: str, shingle: int = S
     search = Search(docs, classes, doc_id, text, shingle, threshold, miss)
     key = lambda band: F.xxhash64(F.lit(band), F.substring(F.col("sig"), 4 * rows * band + 1, 4 * rows))
     banded = classes.select("id", F.array(*(key(b) for b in range(bands))).alias("keys"))
-    shared = buckets(banded.select("id", F.explode("keys").alias("key")))
-    found, final = search.links(stars(shared)), named.select("id", F.col("id").alias("component"))
-    if found is not None:
-        final = joined(final, found)
-    easy, hard = divided(shared, final)
-    rest = [search.links(across(easy)), search.blocks(hard)]
-    for more in rest:
-        if more is not None:
-            final = joined(final, more)
+    final, hard = search.stars_and_rest(buckets(banded.select("id", F.explode("keys").alias("key"))), named.select("id", F.col("id").alias("component")))
+    final = search.hard(hard, final)
     place = named.join(final, "id", "left").select(*sets, F.coalesce("component", "id").alias("component_id"))
     placed = every.drop("sig").join(place, sets, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
