@@ -7,19 +7,23 @@ maximisation over the words of labelled documents: Spark counts the words per
 language, each round sums expected piece counts per (language, piece).
 
 A null text, or one without letters, is `und` with score 0. Repeated rows each
-get a row; with nothing to learn from all rows are `und`. Only `text` is read
-when predicting; further columns pass through untouched.
+get a row, an empty table none; with nothing to learn from all rows are `und`. Of
+equal likelihoods the language first in order is taken. Only `text` is read when
+predicting; further columns pass through, one that is named like a result comes back
+as doc_<name>.
 """
 
 from __future__ import annotations
 
 import functools
+import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
 from . import common, unigram
 
@@ -27,6 +31,8 @@ from . import common, unigram
 PART = 24
 UNKNOWN_P = 1e-7
 CACHE_WORDS = 400_000
+#: At most so many languages are learned, those of the most words: a model has a number for each piece and language on the driver.
+MOST_LANGUAGES = 200
 
 
 class Pieces:
@@ -206,8 +212,9 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     table = pieces(path)
     known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = common.written(word_counts(common.hash_share(known, key, most), text, lang), "lang-words")
-    per = {r[0]: r[1] for r in counts.groupBy("lang").agg(F.sum("n")).collect()}
-    languages = sorted(per)
+    most_words = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "lang").limit(MOST_LANGUAGES)
+    languages = sorted(r[0] for r in most_words.collect())
+    counts = counts.where(F.col("lang").isin(languages))
     p = np.repeat(table.start[:, None], len(languages), 1)
     spark = labelled.sparkSession
     for _ in range(rounds if languages else 0):
@@ -229,20 +236,21 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
         c = np.zeros_like(p)
         c[summed["piece"], summed["language"]] = summed["n"]
         p = (c + smoothing * table.start[:, None]) / (c.sum(0) + smoothing)
-    return {"path": path, "languages": languages, "p": np.vstack([p, np.zeros(len(languages))])}
+    return {"id": uuid.uuid4().hex, "path": path, "languages": languages, "p": np.vstack([p, np.zeros(len(languages))])}
 
 
-_cache: dict = {"model": None, "words": {}, "rows": []}
+_cache: dict = {"model": None, "words": {}, "rows": [], "chars": 0}
 
 
-def _word_rows(words: list[str], model_id: int, path: str, p: np.ndarray) -> np.ndarray:
+def _word_rows(words: list[str], model_id: str, path: str, p: np.ndarray) -> np.ndarray:
     """log_likelihoods with a bounded memory of words seen by this worker."""
-    if _cache["model"] != model_id or len(_cache["words"]) > CACHE_WORDS:
-        _cache.update(model=model_id, words={}, rows=np.zeros((0, p.shape[1]), np.float32))
+    if _cache["model"] != model_id or len(_cache["words"]) > CACHE_WORDS or _cache["chars"] > common.MEMORY_CHARS:
+        _cache.update(model=model_id, words={}, rows=np.zeros((0, p.shape[1]), np.float32), chars=0)
     seen = _cache["words"]
     new = [w for w in words if w not in seen]
     if new:
         seen.update(zip(new, range(len(seen), len(seen) + len(new))))
+        _cache["chars"] += sum(map(len, new))
         _cache["rows"] = np.concatenate([_cache["rows"], log_likelihoods(marked(new), path, p).astype(np.float32)])
     return _cache["rows"][[seen[w] for w in words]].astype(np.float64)
 
@@ -250,11 +258,9 @@ def _word_rows(words: list[str], model_id: int, path: str, p: np.ndarray) -> np.
 def predict(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """docs with lang_pred and score (the posterior of that language under equal priors)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    model_id = shared.id if hasattr(shared, "id") else id(model)
-    from pyspark.sql.types import DoubleType, StringType, StructType
-
-    schema = StructType([*(f for f in docs.schema if f.name not in ("lang_pred", "score"))]).add("lang_pred", StringType()).add("score", DoubleType())
-    keep = [f.name for f in schema][:-2]
+    docs, text = common.beside(docs, text, ("lang_pred", "score"))
+    keep = docs.columns
+    schema = StructType([*docs.schema]).add("lang_pred", StringType()).add("score", DoubleType())
 
     def score(batches):
         m = shared.value
@@ -266,7 +272,7 @@ def predict(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
                 best, top = np.full(part.num_rows, "und", dtype=object), np.zeros(part.num_rows)
                 if names:
                     codes, words, counts = common.ascii_words(texts, lower=False)
-                    rows = _word_rows(words, model_id, m["path"], p)
+                    rows = _word_rows(words, m["id"], m["path"], p)
                     doc = np.repeat(np.arange(len(counts)), counts)
                     log = np.stack([np.bincount(doc, rows[codes, j], minlength=len(counts)) for j in range(len(names))], 1) if len(codes) else np.zeros((len(counts), len(names)))
                     q = np.exp(log - log.max(1, keepdims=True))
@@ -275,4 +281,4 @@ def predict(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
                     top = np.where(letters, q.max(1), 0.0)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(best, type=pa.string()), pa.array(top)], names=[*keep, "lang_pred", "score"])
 
-    return docs.select(*(f"`{c}`" for c in keep)).mapInArrow(score, schema)
+    return docs.mapInArrow(score, schema)

@@ -6,8 +6,8 @@ follow the tokenizers library's Unigram model: a later candidate must be strictl
 better, and candidates come by ascending start. A character that no piece covers
 counts one token for each of its UTF-8 bytes.
 
-A null or empty text has 0 tokens; repeated rows each get a row; further columns
-pass through.
+A null or empty text has 0 tokens; repeated rows each get a row, an empty table none.
+Further columns pass through; one that is named like a result comes back as doc_<name>.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ class Counter:
             self.automaton.add_word(piece, (len(piece), self.vocabulary.scores[i]))
         self.automaton.make_automaton()
         self.seen: dict[str, int] = {}
+        self.chars = 0
 
     def count(self, segment: str) -> int:
         """Pieces of the best segmentation."""
@@ -71,12 +72,13 @@ class Counter:
         return pieces[-1]
 
     def counts(self, segments: list[str]) -> np.ndarray:
-        if len(self.seen) > CACHE_SEGMENTS:
-            self.seen = {}
+        if len(self.seen) > CACHE_SEGMENTS or self.chars > common.MEMORY_CHARS:
+            self.seen, self.chars = {}, 0
         seen = self.seen
         for s in segments:
             if s not in seen:
                 seen[s] = self.count(unigram.MARK + s)
+                self.chars += len(s)
         return np.array([seen[s] for s in segments], dtype=np.int64)
 
 
@@ -98,8 +100,8 @@ def segments(texts: pa.Array) -> tuple[np.ndarray, list, np.ndarray]:
 def count_tokens(docs: DataFrame, text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """docs with n_tokens and n_segments."""
     path = vocabulary or unigram.default_path()
-    schema = StructType([f for f in docs.schema if f.name not in ("n_tokens", "n_segments")])
-    keep = [f.name for f in schema]
+    docs, text = common.beside(docs, text, ("n_tokens", "n_segments"))
+    schema, keep = docs.schema, docs.columns
 
     def count(batches):
         for batch in batches:
@@ -109,4 +111,4 @@ def count_tokens(docs: DataFrame, text: str = "text", vocabulary: str | None = N
                 n = np.bincount(doc, counter(path).counts(words)[codes], minlength=len(counts)) if len(codes) else np.zeros(len(counts))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(n.astype(np.int64)), pa.array(counts)], names=[*keep, "n_tokens", "n_segments"])
 
-    return docs.select(*(f"`{c}`" for c in keep)).mapInArrow(count, StructType([*schema]).add("n_tokens", LongType()).add("n_segments", LongType()))
+    return docs.mapInArrow(count, StructType([*schema]).add("n_tokens", LongType()).add("n_segments", LongType()))
