@@ -3,12 +3,15 @@
 Every id takes the bits that the largest id needs. Ids lie in blocks of a fixed
 number; a table of block offsets gives random access, and a block unpacks with
 numpy in one go. A file holds the ids of consecutive documents in ascending id
-order (a null id first, ties by text); a document is never cut. Files are rows of
+order (a null id first, ties by the text's hash); a document is never cut. Files are rows of
 a table that Spark writes to the shared folder, so a lost executor's part is
 simply written again.
 
 A null text is empty. A document may be longer than a file's usual size; its file
-is then as long as it. Repeated rows are separate documents, one after the other.
+is then as long as it. Repeated rows are separate documents, one after the other; rows
+that share an id are dealt to several tasks all the same. An empty table gives no
+rows. Ids must be whole numbers (or null), as files hold 64-bit ids: others raise
+TypeError. Only id and text are read: further columns don't take part.
 
 Encoding goes through the tokenizers library. Byte-level BPE never merges across
 a space or newline that stands between two visible characters, so texts are cut
@@ -29,7 +32,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType
+from pyspark.sql.types import IntegralType, LongType, StringType
 
 from . import common
 
@@ -173,8 +176,11 @@ def encoder(path: str) -> Encoder:
 def encode(docs: DataFrame, tokenizer: str, end_id: int | None, doc_id: str = "doc_id", text: str = "text", shards: int | None = None, file_ids: int = FILE_IDS) -> DataFrame:
     """Packed files in ascending document order: shard, file_no, before (ids of the shard before this file), n_docs, n_ids, image."""
     shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chosen = docs.select(F.col(f"`{doc_id}`").cast(LongType()).alias("doc_id"), F.col(f"`{text}`").cast(StringType()).alias("text"))
-    ordered = chosen.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    if not isinstance(docs.schema[doc_id].dataType, IntegralType):
+        raise TypeError(f"{doc_id} must be a column of whole numbers")
+    chosen = docs.select(F.col(f"`{doc_id}`").cast(LongType()).alias("doc_id"), F.col(f"`{text}`").cast(StringType()).alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("_h"))
+    # rows of one id and hash may stand in any order: _at only deals many of them to several tasks
+    ordered = chosen.withColumn("_at", F.monotonically_increasing_id()).repartitionByRange(shards, "doc_id", "_h", "_at").sortWithinPartitions("doc_id", "_h").select("doc_id", "text")
 
     def write(batches):
         from pyspark import TaskContext
@@ -215,8 +221,8 @@ def read(files: DataFrame) -> DataFrame:
 
     def unpacked(batches):
         for batch in batches:
-            for start, image in zip(batch.column("start").to_pylist(), batch.column("image").to_pylist()):
-                file = PackedFile(image)
+            for start, image in zip(batch.column("start").to_pylist(), batch.column("image")):  # one file image at a time
+                file = PackedFile(image.as_py())
                 ids = file.all().astype("<u4")
                 raw = pa.py_buffer(ids.tobytes())
                 for i in range(0, file.documents, 4096):
