@@ -9,7 +9,8 @@ segment's ids depend on the segment alone and a worker keeps those it has seen.
 A mark stands for a space; one is put before each text and taken off again when
 decoding. Characters without a piece become byte pieces. Decoding gives the text
 back, with a literal mark read as a space. A null or empty text has no ids;
-repeated rows each get a row; further columns pass through.
+repeated rows each get a row, an empty table none. Further columns pass through; one
+that is named like a result comes back as doc_<name>.
 """
 
 from __future__ import annotations
@@ -32,55 +33,64 @@ SLICE_BYTES = 2 << 20
 class StreamingViterbi:
     """One segment's best pieces. feed() and finish() return the ids that have become certain.
 
-    prefixes is an Aho-Corasick automaton of the pieces. Its matches in the window
-    come by ascending end and, at an end, by ascending start; of equal scores the
-    first stays, and an uncovered character comes last.
+    prefixes is an Aho-Corasick automaton of the pieces; it reads the new characters and
+    as many before them as a piece may have. Its matches come by ascending end and, at an
+    end, by ascending start; of equal scores the first stays, and an uncovered character
+    comes last. Where paths don't meet (as in one character repeated), only the window's
+    boundaries grow, and a meeting is looked for again when it has doubled.
     """
 
     def __init__(self, vocabulary: unigram.Vocabulary, prefixes):
         self.vocabulary, self.prefixes = vocabulary, prefixes
         self.base, self.end = 0, 0  # committed up to; read up to
-        self.text = ""  # from base on
+        self.tail = ""  # the last characters read, as many as a piece may have
+        self.unknown: dict[int, str] = {}  # uncovered characters by the boundary after them
         self.scores, self.pieces, self.starts = [0.0], [-1], [-1]  # best way to each boundary from base on
+        self.look_at = 2 * vocabulary.longest
 
     def feed(self, chunk: str) -> list[int]:
         out: list[int] = []
         longest = self.vocabulary.longest
         for at in range(0, len(chunk), longest):
             self.advance(chunk[at : at + longest])
-            if self.end - self.base >= 2 * longest:
+            if self.end - self.base >= self.look_at:
                 out += self.commit(self.meeting())
+                self.look_at = 2 * max(longest, self.end - self.base)
         return out
 
     def advance(self, step: str) -> None:
         scores, pieces, starts = self.scores, self.pieces, self.starts
         before = closed = self.end - self.base
-        self.text += step
         self.end += len(step)
         scores += [-inf] * len(step)
         pieces += [-1] * len(step)
         starts += range(before, before + len(step))
+        text = self.tail + step
+        shift = before - len(self.tail) + 1  # from a character's place in text to the boundary after it
         covered = self.vocabulary.characters.issuperset(step)
-        for at, (length, piece, own) in self.prefixes.iter(self.text):
-            end = at + 1
-            if end <= before:
+        for at, (length, piece, own) in self.prefixes.iter(text):
+            end = at + shift
+            if end <= before or end < length:
                 continue
             if not covered and end > closed + 1:
-                self.close(closed + 1, end)
+                self.close(closed + 1, end, text, shift)
                 closed = end - 1
             score = scores[end - length] + own
             if score > scores[end]:
                 scores[end], pieces[end], starts[end] = score, piece, end - length
         if not covered:
-            self.close(closed + 1, self.end - self.base + 1)
+            self.close(closed + 1, self.end - self.base + 1, text, shift)
+        self.tail = text[-self.vocabulary.longest :]
 
-    def close(self, first: int, end: int) -> None:
+    def close(self, first: int, end: int, text: str, shift: int) -> None:
         """At each of these boundaries the character before may be one that no piece covers."""
         for b in range(first, end):
-            if self.text[b - 1] not in self.vocabulary.characters:
+            character = text[b - shift]
+            if character not in self.vocabulary.characters:
                 score = self.scores[b - 1] + self.vocabulary.unknown
                 if score > self.scores[b]:
                     self.scores[b], self.pieces[b], self.starts[b] = score, -1, b - 1
+                    self.unknown[self.base + b] = character
 
     def finish(self) -> list[int]:
         return self.commit(self.end)
@@ -96,22 +106,20 @@ class StreamingViterbi:
         return self.base + live.pop()
 
     def commit(self, boundary: int) -> list[int]:
-        out, at, text = [], boundary - self.base, self.text
+        out, at = [], boundary - self.base
         while at > 0:
             piece, start = self.pieces[at], self.starts[at]
             if piece >= 0:
                 out.append(piece)
             else:
-                out += [self.vocabulary.byte_ids[b] for b in reversed(text[start:at].encode("utf-8", "surrogatepass"))]
+                out += [self.vocabulary.byte_ids[b] for b in reversed(self.unknown[self.base + at].encode("utf-8", "surrogatepass"))]
             at = start
         out.reverse()
-        if boundary < self.end:
-            gone = boundary - self.base
-            self.text = text[gone:]
+        gone = boundary - self.base
+        if gone:
             self.scores, self.pieces, self.starts = self.scores[gone:], self.pieces[gone:], [s - gone for s in self.starts[gone:]]
-        else:
-            self.text, self.scores, self.pieces, self.starts = "", self.scores[-1:], [-1], [-1]
-        self.base = boundary
+            self.unknown = {b: c for b, c in self.unknown.items() if b > boundary}
+            self.base = boundary
         return out
 
 
@@ -160,15 +168,11 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def _kept(df: DataFrame, *without: str) -> StructType:
-    return StructType([f for f in df.schema if f.name not in without])
-
-
 def encode(docs: DataFrame, text: str = "text", model: str | None = None) -> DataFrame:
     """docs with `ids`."""
     path = model or unigram.default_path()
-    schema = _kept(docs, "ids")
-    keep = [f.name for f in schema]
+    docs, text = common.beside(docs, text, ("ids",))
+    schema, keep = docs.schema, docs.columns
 
     def run(batches):
         for batch in batches:
@@ -177,14 +181,14 @@ def encode(docs: DataFrame, text: str = "text", model: str | None = None) -> Dat
                 ids, n = own.known.ids(*segments(part.column(text)))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), common.list_array(ids.astype(np.int32), n, pa.int32())], names=[*keep, "ids"])
 
-    return docs.select(*(f"`{c}`" for c in keep)).mapInArrow(run, StructType([*schema]).add("ids", ArrayType(IntegerType())))
+    return docs.mapInArrow(run, StructType([*schema]).add("ids", ArrayType(IntegerType())))
 
 
 def decode(encoded: DataFrame, ids: str = "ids", model: str | None = None) -> DataFrame:
     """encoded with `decoded`; null ids give an empty text."""
     path = model or unigram.default_path()
-    schema = _kept(encoded, "decoded")
-    keep = [f.name for f in schema]
+    encoded, ids = common.beside(encoded, ids, ("decoded",))
+    schema, keep = encoded.schema, encoded.columns
 
     def run(batches):
         for batch in batches:
@@ -195,4 +199,4 @@ def decode(encoded: DataFrame, ids: str = "ids", model: str | None = None) -> Da
                 texts = codec(path).decode(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), texts], names=[*keep, "decoded"])
 
-    return encoded.select(*(f"`{c}`" for c in keep)).mapInArrow(run, StructType([*schema]).add("decoded", StringType()))
+    return encoded.mapInArrow(run, StructType([*schema]).add("decoded", StringType()))
