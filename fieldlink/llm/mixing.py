@@ -14,7 +14,9 @@ more than `most` times its words, and what that leaves over is shared again.
 
 Sizes are whole numbers and all orders are by hash and id, so reruns agree. A null
 source is one of its own, last in order. A null or empty text has size 0 and is
-never taken. Rows that repeat an id, or have none, each have a place of their own. Empty input gives no rows.
+never taken. Rows that repeat an id, or have none, each have a place of their own. Only
+id, text and source are read by plan(); mixed() gives back all columns. Empty input
+gives no rows.
 """
 
 from __future__ import annotations
@@ -130,23 +132,25 @@ def plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
     return full.join(a, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
 
 
-def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = 64, seed: int = 42, **how) -> DataFrame:
+def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int = 64, seed: int = 42, **how) -> DataFrame:
     """The mix as documents: a row with the whole text for each full pass, and one with the words of its drawn blocks if any.
 
-    Columns are those of docs. Rows of docs that share an id each get the words of
-    their own place.
+    Columns are those of docs, whatever their names. Rows of docs that share an id each
+    get the words of their own place.
     """
-    rows = common.numbered(docs, "rows")
-    where = plan(rows, doc_id=doc_id, text=text, block=block, seed=seed, key="_row", **how).where("taken > 0")
+    plain, names = common.positional(docs)
+    own = names[text]
+    rows = common.numbered(plain, "rows")
+    where = plan(rows, doc_id=names[doc_id], text=own, source=names[source], block=block, seed=seed, key="_row", **how).where("taken > 0")
     where = where.select(F.col("_key").alias("_row"), "size", "start", "taken", F.col("block").alias("_block"), "blocks", "_passes", "_rest", "_from")
     both = rows.join(where, "_row")
     part = F.col("taken") - F.col("_passes") * F.col("size")
     copies = both.withColumn("_part", part).withColumn("_copy", F.explode(F.sequence(F.lit(1), (F.col("_passes") + (F.col("_part") > 0).cast("long")).cast("int"))))
-    words = F.regexp_extract_all(F.col(f"`{text}`"), F.lit(WORD), F.lit(0))
+    words = F.regexp_extract_all(F.col(own), F.lit(WORD), F.lit(0))
     at = lambda i: F.floor((F.col("start") + i) / F.col("_block"))
     some = F.array_join(F.filter(words, lambda w, i: drawn_before(at(i) + 1) - drawn_before(at(i)) == 1), " ")
     whole = (F.col("_copy") <= F.col("_passes")) | (F.col("_part") == F.col("size"))
-    out = copies.withColumn(text, F.when(whole, F.col(f"`{text}`")).otherwise(some))
+    out = copies.withColumn(own, F.when(whole, F.col(own)).otherwise(some))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length(F.col(f"`{text}`")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*(f"`{c}`" for c in docs.columns))
+        out = out.withColumn(names["n_chars"], F.char_length(F.col(own)).cast(docs.schema["n_chars"].dataType))
+    return common.named_back(out, names)
