@@ -44,7 +44,7 @@ def test_streaming_window_is_bounded():
     text, ids = "▁" + "abcdefghij" * 500, []
     for c in text:
         ids += stream.feed(c)
-        assert len(stream.text) <= 4 * codec.vocabulary.longest
+        assert len(stream.scores) <= 4 * codec.vocabulary.longest + 1
     assert ids + stream.finish() == codec.encode(text)
 
 
@@ -92,15 +92,6 @@ def test_near_duplicates(spark):
     assert got == {(5, 196): (2, False), (2, 196): (2, True), (9, 196): (2, False), (1, 0): (1, True), (3, 0): (3, True), (4, 1): (4, True), (6, 1): (4, False), (7, 96): (7, True), (None, 1): (4, False)}
 
 
-def test_blocks_find_links(spark):
-    base = [f"w{i}" for i in range(100)]
-    rows = [(i, " ".join(base[:i] + ["x"] + base[i + 1 :]) if i else " ".join(base)) for i in range(0, 40, 4)]
-    hard = spark.createDataFrame([(1, i, i, 300) for i, _ in rows], "key long, id long, component long, n long")
-    got = {(r.a, r.b) for r in neardup.blocked(hard, spark.createDataFrame(rows, "id long, text string"), 5, (85, 100)).collect()}
-    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(96)} for i, t in rows}
-    assert got == {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
-
-
 def test_licenses(docs, spark):
     assert licenses.labelled(docs).count() == len(TEXTS) + 2
     rows = [(1, "The MIT License, and MIT-License."), (2, "Licensed under the Apache License, Version 2.0"), (3, None)]

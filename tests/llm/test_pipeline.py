@@ -81,10 +81,10 @@ def test_pipeline_against_a_plain_version(spark, tmp_path):
 
     t, got = library(), defaultdict(list)
     result = corpus_pipeline.run(spark, sf_dir)
-    assert result.columns == ["doc_id", "lang", "source", "ids", "n_ids"]
+    assert result.columns == ["doc_id", "lang", "source", "ids", "n_ids", "round_trip"]
     for r in result.collect():
         words = "".join(t.id_to_token(i) for i in r.ids).replace("▁", " ").split()
-        assert r.n_ids == len(r.ids) and r.source == source[r.doc_id]
+        assert r.round_trip and r.n_ids == len(r.ids) and r.source == source[r.doc_id]
         assert r.ids == t.encode(" ".join(words), add_special_tokens=False).ids
         got[r.doc_id].append(words)
     assert {i: sum(map(len, w)) for i, w in got.items()} == {i: n for i, n in taken.items() if n}
