@@ -1,7 +1,9 @@
 """The corpus pipeline: quality rules, toxicity, near-duplicates, mixing, SentencePiece ids.
 
 Each stage takes what its predecessor kept; run() writes each stage's rows to the
-shared folder and reads them again.
+shared folder and reads them again. All stages but the last give back the columns of
+their input as they are, whatever their names. An empty table goes through as an empty
+one; documents without text fail the quality rules.
 """
 
 from __future__ import annotations
@@ -19,14 +21,15 @@ def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on those labelled, doesn't take for toxic."""
-    return toxicity.scored(docs, queries.toxicity_model(spark, sf_dir, docs)).where("predicted = 0").select(*docs.columns)
+    return toxicity.left(docs, queries.toxicity_model(spark, sf_dir, docs))
 
 
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies: of its smallest id, if it has any."""
-    rows = common.numbered(docs, "rows")
-    kept = neardup.grouped(rows).where("kept").select("_row")
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    plain, names = common.positional(docs)
+    rows = common.numbered(plain, "rows")
+    kept = neardup.grouped(rows, doc_id=names["doc_id"], text=names["text"]).where("kept").select("_row")
+    return common.named_back(rows.join(kept, "_row", "left_semi"), names)
 
 
 def _mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +38,10 @@ def _mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each text of the mix."""
-    encoded = sentencepiece_stream.encode(docs.select("doc_id", "lang", "source", "text"))
-    return encoded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_ids"))
+    """Ids of each text of the mix, and whether they decode to it (a literal word mark reads as a space)."""
+    decoded = sentencepiece_stream.decode(sentencepiece_stream.encode(docs.select("doc_id", "lang", "source", "text")))
+    again = F.coalesce(F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), "▁", " "), F.lit(False))
+    return decoded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_ids"), again.alias("round_trip"))
 
 
 STAGES = [("quality", _quality), ("toxicity", _toxicity), ("near_duplicates", _near_duplicates), ("mixing", _mixing), ("sentencepiece", _sentencepiece)]
