@@ -96,17 +96,18 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(both > 0, F.size(F.array_intersect(a, b)) / both).otherwise(0.0)
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """0 to 100 for two original headers."""
-    x, y = normalize(a), normalize(b)
-    score = F.when(x == y, 60.0).otherwise(0.0) + jaccard(tokens_of(a), tokens_of(b)) * 25 + jaccard(synonym_groups(x), synonym_groups(y)) * 15
+def similarity(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """0 to 100 for two headers, each given by its norm, tokens and groups."""
+    x, y = a["norm"], b["norm"]
+    score = F.when(x == y, 60.0).otherwise(0.0) + jaccard(a["tokens"], b["tokens"]) * 25 + jaccard(a["groups"], b["groups"]) * 15
     return F.when((x == "") | (y == ""), F.lit(0.0)).otherwise(F.least(F.lit(100.0), F.floor(score + 0.5).cast("double")))
 
 
-def similarity_reasons(a: Column, b: Column) -> Column:
-    x, y = normalize(a), normalize(b)
+def similarity_reasons(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """Why two headers are alike; the texts are fixed values."""
+    x, y = a["norm"], b["norm"]
     given = F.array_compact(F.array(
-        F.when(x == y, "Normalized headers match exactly"), F.when(jaccard(tokens_of(a), tokens_of(b)) > 0.35, "Meaningful header token overlap detected"),
-        F.when(jaccard(synonym_groups(x), synonym_groups(y)) > 0, "Financial synonym groups overlap"),
+        F.when(x == y, "Normalized headers match exactly"), F.when(jaccard(a["tokens"], b["tokens"]) > 0.35, "Meaningful header token overlap detected"),
+        F.when(jaccard(a["groups"], b["groups"]) > 0, "Financial synonym groups overlap"),
     ))
     return F.when((x == "") | (y == ""), F.array(F.lit("Header missing on one side"))).otherwise(given)

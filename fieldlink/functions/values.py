@@ -13,6 +13,7 @@ NULL_WORDS = ["", "null", "nil", "none", "na", "n/a", "-", "--", "undefined"]
 #: Words that say nothing about a narration (fixed values).
 TOKEN_STOP_WORDS = "pos swipe atm cash others swt purchase transaction txn entry date time timestamp withdrawal oth live normaltrx normal_trx".split()
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+#: A plain number (fixed value).
 NUMBER = r"^[-+]?\d+(\.\d+)?$"
 
 
@@ -117,13 +118,16 @@ def date_part(c: Column) -> Column:
     return _date_part_of(trimmed(c))
 
 
-def signature_views(df: DataFrame, value: str) -> DataFrame:
-    """df with v_raw, v_date, v_amount, v_pan, v_padded, v_prefix of a normal value, which has no space at its ends."""
-    v = F.col(value)
-    step = df.withColumn("_bare", _bare(v)).withColumn("_short", compact_id(v))
-    made = step.withColumn("v_raw", v).withColumn("v_date", _date_part_of(v)).withColumn("v_amount", _amount_of(F.col("_bare"), F.lower(v))).withColumn("v_pan", card_fingerprint(v))
-    padded = F.when(F.col("_short").rlike(r"^\d+$"), F.regexp_replace("_short", r"^0+(\d)", "$1")).otherwise(F.lower("_short"))
-    return made.withColumn("v_padded", padded).withColumn("v_prefix", F.substring(v, 1, 3)).drop("_bare", "_short")
+def signature_views(df: DataFrame, value: str, views: tuple[str, ...]) -> DataFrame:
+    """df with those of v_raw, v_date, v_amount, v_pan, v_padded, v_prefix that views names, of a normal value, which has no space at its ends."""
+    v, short = F.col(value), F.col("_short")
+    step = df.withColumn("_bare", _bare(v)) if "amount" in views else df
+    step = step.withColumn("_short", compact_id(v)) if "padded" in views else step
+    made = {
+        "raw": lambda: v, "date": lambda: _date_part_of(v), "amount": lambda: _amount_of(F.col("_bare"), F.lower(v)), "pan": lambda: card_fingerprint(v), "prefix": lambda: F.substring(v, 1, 3),
+        "padded": lambda: F.when(short.rlike(r"^\d+$"), F.regexp_replace(short, r"^0+(\d)", "$1")).otherwise(F.lower(short)),
+    }
+    return step.select(*df.columns, *(f().alias(f"v_{k}") for k, f in made.items() if k in views))
 
 
 def zero_stripped(c: Column) -> Column:
@@ -148,19 +152,22 @@ def tokens(c: Column) -> Column:
 
 
 def format_class(c: Column) -> Column:
+    """A text's format by fixed patterns, first hit wins."""
     return F.when(c.rlike(r"^\d{1,3}(,\d{3})*(\.\d+)?$"), "comma-number").when(c.rlike(r"^\d+\.\d+$"), "decimal").when(c.rlike(r"^[₹$€£¥]\d+"), "currency").when(c.rlike(r"^\d{2,4}[/-]\d{1,2}[/-]\d{1,2}"), "date").otherwise("other")
 
 
 def type_class(c: Column) -> Column:
+    """A text's kind by fixed patterns, first hit wins."""
     return F.when(c.rlike(r"^\d+(\.\d+)?$"), "number").when(c.rlike(r"^\d{2,4}[/-]\d{1,2}[/-]\d{1,2}"), "date").when(trimmed(c) == "", "blank").otherwise("text")
 
 
 def is_dirty(c: Column) -> Column:
+    """Whether a text has one of a fixed set of characters, or letters of both cases."""
     return c.rlike(r"""[\s,₹$€£¥()/\[\]{}#@!%^&*_=+|;:'"<>?]""") | (c.rlike("[A-Z]") & (c != F.upper(c)))
 
 
 def predicates(c: Column) -> dict[str, Column]:
-    """What a normal value may be, by name."""
+    """What a normal value may be, by name; the patterns are fixed values."""
     masked = c.rlike(r"^(\d{4,8})[xX*#-]{2,}(\d{2,6})$")
     digits = F.length(F.regexp_replace(c, r"\D", ""))
     return {

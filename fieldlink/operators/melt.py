@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,14 +21,28 @@ def to_text(c: Column, kind: T.DataType) -> Column:
 
 
 def columns(df: DataFrame, side: str) -> DataFrame:
-    """(side, col_idx, col_id, original_name, normalized_name, safe_name): a row for each column."""
+    """(side, col_idx, col_id, original_name, header_tokens, header_groups, normalized_name, safe_name): a row for each column."""
     from ..functions import headers as H
 
     rows = [(side, i, f"{side}_{i + 1}", n) for i, n in enumerate(df.columns)]
-    named = df.sparkSession.createDataFrame(rows, "side string, col_idx int, col_id string, original_name string").withColumn("normalized_name", H.normalize("original_name"))
-    base = F.when(F.col("normalized_name") != "", F.col("normalized_name")).otherwise(F.concat(F.lit("column "), (F.col("col_idx") + 1).cast("string")))
-    n = F.row_number().over(Window.partitionBy("side", base).orderBy("col_idx"))
-    return named.withColumn("safe_name", F.when(n > 1, F.concat(base, F.lit(" "), n.cast("string"))).otherwise(base))
+    named = df.sparkSession.createDataFrame(rows, "side string, col_idx int, col_id string, original_name string").withColumn("header_tokens", H.tokens_of(F.col("original_name")))
+    named = named.withColumn("normalized_name", F.array_join("header_tokens", " ")).withColumn("header_groups", H.synonym_groups(F.col("normalized_name")))
+    made = [r.asDict() for r in named.collect()]  # names of columns are metadata that the driver has
+    safe = safe_names([r["normalized_name"] for r in made])
+    return df.sparkSession.createDataFrame([(*r.values(), s) for r, s in zip(made, safe)], named.schema.add("safe_name", "string"))
+
+
+def safe_names(names: list[str]) -> list[str]:
+    """Each name, or `column {n}` for an empty one, with the first free number from 2 on where it is taken."""
+    used: dict[str, None] = {}
+    for i, name in enumerate(names):
+        base, n = name or f"column {i + 1}", 1
+        made = base
+        while made in used:
+            n += 1
+            made = f"{base} {n}"
+        used[made] = None
+    return list(used)
 
 
 def melt(df: DataFrame, side: str, order: str | None = None) -> DataFrame:

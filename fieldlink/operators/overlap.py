@@ -10,12 +10,14 @@ from ..functions import values as V
 VIEWS = ("raw", "date", "amount", "pan", "padded", "prefix", "token")
 
 
-def signatures(d: DataFrame) -> DataFrame:
-    """(side, col_idx, view, sig), distinct: each column's values in every view."""
-    some = V.signature_views(d.where("value is not null").select("side", "col_idx", "value"), "value")
-    one = F.array(*(F.struct(F.lit(k).alias("view"), F.col(f"v_{k}").alias("sig")) for k in VIEWS if k != "token"))
-    words = F.transform(V.tokens(F.col("value")), lambda t: F.struct(F.lit("token").alias("view"), t.alias("sig")))
-    return some.select("side", "col_idx", F.inline(F.concat(one, words))).where(F.col("sig").isNotNull()).distinct()
+def signatures(d: DataFrame, views: tuple[str, ...] = VIEWS) -> DataFrame:
+    """(side, col_idx, view, sig), distinct: each column's values in the views asked for; only those are made."""
+    some = V.signature_views(d.where("value is not null").select("side", "col_idx", "value"), "value", views)
+    one = F.array(*(F.struct(F.lit(k).alias("view"), F.col(f"v_{k}").cast("string").alias("sig")) for k in views if k != "token"))
+    if "token" in views:
+        one = F.concat(one, F.transform(V.tokens(F.col("value")), lambda t: F.struct(F.lit("token").alias("view"), t.alias("sig"))))
+    made = some.select("side", "col_idx", F.inline(one)).where(F.col("sig").isNotNull())
+    return made if views == ("raw",) else made.distinct()  # values of the dictionary are distinct already
 
 
 def sizes(s: DataFrame) -> DataFrame:

@@ -53,7 +53,22 @@ def first_distinct(d: DataFrame, k: int = 8) -> DataFrame:
 def hints(profiled: DataFrame, sample: DataFrame) -> DataFrame:
     joined = profiled.join(sample, KEYS, "left").withColumn("sample", F.coalesce("sample", F.array().cast("array<string>")))
     has = lambda pattern: F.exists("sample", lambda x: x.rlike(pattern))
-    return joined.withColumn("pattern_hints", F.array_compact(F.array(F.when(F.col("uniqueness_ratio") > 0.9, "mostly_unique"), F.when(F.col("null_ratio") > 0.5, "sparse"), F.when(has(r"\d"), "contains_numeric"), F.when(has("[A-Za-z]"), "contains_text"))))
+    return joined.withColumn("pattern_hints", F.array_compact(F.array(F.when(F.col("uniqueness_ratio") > 0.9, "mostly_unique"), F.when(F.col("null_ratio") > 0.5, "sparse"), F.when(has(V.NUMBER), "contains_numeric"), F.when(has("[A-Za-z]{3,}"), "contains_text"))))
+
+
+def record(cells: DataFrame, names: DataFrame) -> DataFrame:
+    """The whole profile of each column, from cells and columns(): counts, ratios and types, top values, samples, hints and the normalization score."""
+    from . import melt, types
+
+    d = melt.dictionary(cells)
+    base = hints(profile(d), first_distinct(d)).join(names.select("side", "col_idx", "col_id", "original_name", "normalized_name"), KEYS)
+    typed = base.withColumn("observed_type", types.observed_type()).withColumn("column_type", types.column_type())
+    ordered = lambda fields: F.expr(f"transform(array_sort(collect_list(struct(rank, {fields}))), x -> named_struct({', '.join(f'{chr(39)}{f}{chr(39)}, x.{f}' for f in fields.split(', '))}))")
+    top = top_values(d).groupBy(*KEYS).agg(ordered("value, cnt, ratio").alias("top_frequent"))
+    first = first_values(cells)
+    listed = first.groupBy(*KEYS).agg(ordered("value, folded").alias("first_values"))
+    score = normalization_score(first).select(*KEYS, F.col("score").alias("normalization_score"), F.col("level").alias("normalization_level"))
+    return typed.join(top, KEYS, "left").join(listed, KEYS, "left").join(score, KEYS, "left").withColumn("normalization_level", F.coalesce("normalization_level", F.lit("none")))
 
 
 def first_values(cells: DataFrame, k: int = 50) -> DataFrame:

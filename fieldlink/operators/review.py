@@ -11,8 +11,10 @@ def final_mappings(results: DataFrame) -> DataFrame:
 
 
 def explained(results: DataFrame) -> DataFrame:
-    text = F.concat(F.col("source_name"), F.lit(" -> "), F.coalesce("target_name", F.lit("(no match)")), F.lit(" ["), F.coalesce("confidence", F.lit(0)).cast("string"), F.lit("]: "), F.concat_ws("; ", "reason"))
-    return results.select("source_id", text.alias("explanation"))
+    """(source_id, explanation): the scores and reasons of the best match; the wording is fixed."""
+    number = lambda c: F.format_string("%.0f", F.col(f"scores.{c}").cast("double"))
+    text = F.concat(F.lit("Header score "), number("header_score"), F.lit(", Value score "), number("value_score"), F.lit(", Type score "), number("type_score"), F.lit(", Total score "), number("total_score"), F.lit(". Reasons: "), F.array_join("reason", "; "))
+    return results.select("source_id", F.when(F.col("target_id").isNull(), "No confident candidate was found.").otherwise(text).alias("explanation"))
 
 
 def filtered(results: DataFrame, kind: str) -> DataFrame:

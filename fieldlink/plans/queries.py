@@ -1,7 +1,9 @@
-"""The library's registered queries on the driver's tables, and their DuckDB forms."""
+"""The library's registered queries on the driver's tables."""
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from ..functions import headers as H
 from ..functions import values as V
 from ..operators import duplicates, match, melt, overlap, profile, review, types
 from ..sources import files
-from .correlate import correlate
+from ..sources.shared import written
+from .mapping import map_columns
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,7 +33,8 @@ def noisy_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def normalize_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("raw")
-    return noisy_orders(spark, sf_dir).select("o_orderkey", V.null_like(c).alias("null_like"), V.compact_id(c).alias("compact"), V.amount(c).alias("amount"), V.text(c).alias("text"), V.cell(c).alias("cell"), V.zero_stripped(c).alias("stripped"), V.card_fingerprint(c).alias("pan"))
+    cells = V.with_cell(noisy_orders(spark, sf_dir), "raw", "cell")
+    return cells.select("o_orderkey", V.null_like(c).alias("null_like"), V.compact_id(c).alias("compact"), V.amount(c).alias("amount"), V.text(c).alias("text"), "cell", V.zero_stripped(c).alias("stripped"), V.card_fingerprint(c).alias("pan"))
 
 
 def normalize_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,8 +75,14 @@ def header_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def header_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = F.col("shape"), F.col("other")
-    return headers_of_parts(spark, sf_dir).select("p_partkey", H.similarity(a, b).alias("score"), F.array_join(H.similarity_reasons(a, b), "; ").alias("reasons"), F.array_join(H.synonym_groups(H.normalize(a)), ",").alias("groups"), F.array_join(H.family(b), ",").alias("family"), types.alignment(a, F.lit("amount")).alias("alignment"))
+    """Pairs of headers; the features of each distinct header are made once."""
+    pairs = headers_of_parts(spark, sf_dir).select("p_partkey", "shape", "other")
+    each = pairs.select("shape").distinct().withColumn("tokens", H.tokens_of(F.col("shape"))).withColumn("norm", F.array_join("tokens", " ")).withColumn("groups", H.synonym_groups(F.col("norm")))
+    each = each.withColumn("family", H.family(F.col("shape"))).withColumn("alignment", types.alignment(F.col("shape"), F.lit("amount")))
+    features = ["tokens", "norm", "groups", "family", "alignment"]
+    both = pairs.join(each.select("shape", *(F.col(c).alias(f"a_{c}") for c in features)), "shape").join(each.select(F.col("shape").alias("other"), *(F.col(c).alias(f"b_{c}") for c in features)), "other")
+    a, b = ({"norm": F.col(f"{x}_norm"), "tokens": F.col(f"{x}_tokens"), "groups": F.col(f"{x}_groups")} for x in "ab")
+    return both.select("p_partkey", H.similarity(a, b).alias("score"), F.array_join(H.similarity_reasons(a, b), "; ").alias("reasons"), F.array_join("a_groups", ",").alias("groups"), F.array_join("b_family", ",").alias("family"), F.col("a_alignment").alias("alignment"))
 
 
 def _dictionary(spark: SparkSession, sf_dir: str, a: str, b: str | None = None) -> DataFrame:
@@ -82,7 +92,14 @@ def _dictionary(spark: SparkSession, sf_dir: str, a: str, b: str | None = None)
 
 def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = profile.profile(_dictionary(spark, sf_dir, "customer"))
-    return p.select("col_idx", "n_rows", "n_values", "n_distinct", *(F.round(c, 6).alias(c) for c in ("null_ratio", "uniqueness_ratio", "repeated_ratio", "avg_length", "top_share", "r_numeric", "r_integer", "r_text", "r_amount", "r_long_text")), "min_length", "max_length")
+    return p.select("col_idx", "n_rows", "n_values", "n_distinct", *(F.round(c, 6).alias(c) for c in ("null_ratio", "uniqueness_ratio", "repeated_ratio", "avg_length", "top_share", "r_numeric", "r_integer", "r_decimal", "r_date_like", "r_datetime_like", "r_text_like", "r_uppercase", "r_masked_like", "r_text", "r_amount", "r_long_text")), "min_length", "max_length")
+
+
+def profile_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole profile records of noisy cells, in the order of keys."""
+    noisy = noisy_orders(spark, sf_dir)
+    r = profile.record(melt.melt(noisy, "A", order="o_orderkey"), melt.columns(noisy, "A"))
+    return r.select("col_id", "original_name", "normalized_name", "observed_type", "column_type", "n_values", "n_distinct", F.array_join("sample", "|").alias("sample"), F.array_join("pattern_hints", ",").alias("hints"), F.array_join("top_frequent.value", "|").alias("top"), F.array_join("first_values.folded", "|").alias("first"), F.round("normalization_score", 6).alias("score"), F.col("normalization_level").alias("level"))
 
 
 def top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,13 +119,14 @@ def normalization_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def column_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    over = overlap.overlaps(overlap.signatures(_dictionary(spark, sf_dir, "orders", "lineitem"))).where("side_a = 'A' and side_b = 'B' and view in ('raw', 'padded', 'prefix')")
+    """Shared values of each column of orders and lineitem, in all seven views."""
+    over = overlap.overlaps(overlap.signatures(_dictionary(spark, sf_dir, "orders", "lineitem"))).where("side_a = 'A' and side_b = 'B'")
     return over.select("col_a", "col_b", "view", "shared", "size_a", "size_b", *(F.round(c, 6).alias(c) for c in ("coverage_a", "coverage_b", "jaccard", "overlap_ratio")))
 
 
 def best_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each column of orders the column of lineitem that covers most of its values."""
-    over = overlap.overlaps(overlap.signatures(_dictionary(spark, sf_dir, "orders", "lineitem"))).where("side_a = 'A' and side_b = 'B' and view = 'raw'")
+    over = overlap.overlaps(overlap.signatures(_dictionary(spark, sf_dir, "orders", "lineitem"), ("raw",))).where("side_a = 'A' and side_b = 'B'")
     best = over.groupBy("col_a").agg(F.max_by("col_b", F.struct("coverage_a", "coverage_b", -F.col("col_b"))).alias("col_b"), F.round(F.max("coverage_a"), 6).alias("coverage"))
     return best.select("col_a", "col_b", "coverage")
 
@@ -120,12 +138,15 @@ def numeric_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def value_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _dictionary(spark, sf_dir, "customer", "supplier").persist()
-    s, n = overlap.signatures(d), overlap.numbers(d)
+    """Values of customer and supplier, with headers, observed types and null ratios in the weighted total."""
+    a, b = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    d = written(_dictionary(spark, sf_dir, "customer", "supplier"), "dictionary")
+    s, n = written(overlap.signatures(d, ("raw", "prefix")), "signatures"), overlap.numbers(d)
     scores = overlap.value_similarity(overlap.overlaps(s), overlap.numeric_similarity(n.where("side = 'A'"), n.where("side = 'B'")), overlap.sizes(s))
-    named = melt.columns(table(spark, sf_dir, "customer"), "A").select(F.col("col_idx").alias("col_a"), F.col("original_name").alias("_a")).crossJoin(F.broadcast(melt.columns(table(spark, sf_dir, "supplier"), "B").select(F.col("col_idx").alias("col_b"), F.col("original_name").alias("_b"))))
-    whole = scores.withColumnRenamed("score", "value_score").join(named, ["col_a", "col_b"]).withColumn("header_score", H.similarity(F.col("_a"), F.col("_b"))).withColumn("type_score", F.lit(40.0)).withColumn("metadata_score", F.lit(100.0))
-    return match.weighted_total(whole).select("col_a", "col_b", "value_score", F.round("weighted_total", 6).alias("weighted_total"))
+    checked = written(types.checked(melt.columns(a, "A").unionByName(melt.columns(b, "B")).join(profile.profile(d), ["side", "col_idx"], "left")), "columns")
+    wide = match.pairs(checked, overlap.overlaps(s), spark.createDataFrame([], "side string, col_idx int"))
+    whole = scores.withColumnRenamed("score", "value_score").join(wide, (F.col("col_a") == F.col("s_col_idx")) & (F.col("col_b") == F.col("t_col_idx"))).withColumn("metadata_score", match.metadata_score())
+    return match.weighted_total(whole).select("col_a", "col_b", "value_score", "header_score", "type_score", F.col("metadata_score").cast("long").alias("metadata_score"), F.round("weighted_total", 6).alias("weighted_total"))
 
 
 def rows_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,9 +167,15 @@ def reconciliation(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     return a, b
 
 
+@functools.lru_cache(maxsize=4)
+def _mapping(application: str, sf_dir: str):
+    """The mapping of the reconciliation pair, made once for the queries of a session that read parts of it."""
+    return map_columns(*reconciliation(SparkSession.getActiveSession(), sf_dir))
+
+
 def _mapped(part):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return part(correlate(*reconciliation(spark, sf_dir)))
+        return part(_mapping(spark.sparkContext.applicationId, sf_dir))
 
     return query
 
@@ -179,10 +206,12 @@ MAPPED = {
     "duplicate_columns": lambda c: c.duplicates,
     "candidates": lambda c: match.shortlisted(c.pairs).select("s_col_idx", "t_col_idx", F.round("quick_score", 6).alias("quick_score"), "quick_rank", "plausibility", "type_score", "header_score"),
     "decisions": lambda c: c.decisions.select("s_col_idx", "t_col_idx", "decision", "confidence", "status", "rank", "ambiguous", F.array_join("reason", " | ").alias("reason")),
-    "rejected_pairs": lambda c: c.rejected.select("s_col_idx", "t_col_idx", "decision", "confidence"),
+    "rejected_pairs": lambda c: c.rejected.select("s_col_idx", "t_col_idx", "category", "decision", "confidence", "duplicate_penalty", "rejection_reason", F.array_join("reason", " | ").alias("reason"), *(F.round(x, 4).alias(x) for x in ("source_coverage", "target_coverage"))),
+    "match_buckets": lambda c: c.buckets.select("bucket", "category", "s_col_idx", "t_col_idx", "confidence", *(F.round(x, 2).alias(x) for x in ("overlap_score", "transformed_score", "semantic_score")), "low_cardinality", F.col("evidence.exact").cast("long").alias("evidence_exact")),
     "derived_dates": lambda c: c.derived.select("s_col_idx", "t_col_idx", "confidence", "decision"),
     "resolved_conflicts": lambda c: c.resolved.select("s_col_idx", "t_col_idx", "decision", "wins"),
     "mapping_results": lambda c: files.export_rows(c.results),
+    "alternatives": lambda c: c.results.select("source_id", F.array_join("alternatives", ",").alias("alternatives"), "ambiguous"),
     "unmatched_sources": lambda c: c.unmatched,
     "reverse_check": lambda c: c.reverse,
     "mapping_summary": lambda c: c.summary,
@@ -195,151 +224,11 @@ MAPPED = {
 
 
 def queries() -> dict:
-    own = [best_target, normalize_values, normalize_dates, value_tokens, value_classes, type_predicates, header_normalize, header_similarity, column_profile, top_values, pattern_hints, normalization_score, column_overlap, numeric_similarity, value_similarity, rows_equal, feedback_latest, preview, row_and_column_counts]
+    own = [best_target, normalize_values, normalize_dates, value_tokens, value_classes, type_predicates, header_normalize, header_similarity, column_profile, profile_records, top_values, pattern_hints, normalization_score, column_overlap, numeric_similarity, value_similarity, rows_equal, feedback_latest, preview, row_and_column_counts]
     return {f.__name__: f for f in own} | {name: _mapped(part) for name, part in MAPPED.items()}
 
 
-# DuckDB forms. Each takes a SQL expression of a text.
-
-
-def _sub(x: str, pattern: str, by: str = "") -> str:
-    return f"regexp_replace({x}, '{pattern}', '{by}', 'g')"
-
-
-def _trim(x: str) -> str:
-    return _sub(x, r"^\s+|\s+$")
-
-
-def _null_like(x: str) -> str:
-    return f"CASE WHEN lower({_trim(x)}) NOT IN ({', '.join(repr(w) for w in V.NULL_WORDS)}) THEN {_trim(x)} END"
-
-
-def _compact(x: str) -> str:
-    return _sub(x, r"[\s|]+")
-
-
-def _amount(x: str) -> str:
-    bare = _trim(_sub(x, "[₹$€£¥,]"))
-    digits = f"regexp_replace({bare}, '^[-+]', '')"
-    whole = f"coalesce(nullif(ltrim(regexp_extract({digits}, '^(\\d*)', 1), '0'), ''), '0')"
-    part = f"rtrim(regexp_extract({digits}, '\\.(\\d+)$', 1), '0')"
-    return f"CASE WHEN regexp_matches({bare}, '^[-+]?\\d*(\\.\\d+)?$') AND {bare} <> '' THEN CASE WHEN {bare} LIKE '-%' THEN '-' ELSE '' END || {whole} || CASE WHEN {part} <> '' THEN '.' || {part} ELSE '' END ELSE lower({_trim(x)}) END"
-
-
-def _text(x: str) -> str:
-    return _sub(_sub(_trim(f"lower({x})"), r"[\s\-_/]{2,}", " "), r"\s+", " ")
-
-
-def _day_first(x: str, end: str) -> str:
-    p = r"^(\d{1,2})[/-](\d{1,2})[/-](\d{2,4})" + end
-    g = lambda i: f"regexp_extract({_trim(x)}, '{p}', {i})"
-    return f"CASE WHEN regexp_matches({_trim(x)}, '{p}') THEN CASE WHEN length({g(3)}) = 2 THEN '20' ELSE '' END || {g(3)} || '-' || lpad({g(2)}, 2, '0') || '-' || lpad({g(1)}, 2, '0') END"
-
-
-def _year_first(x: str) -> str:
-    """Of the general formats those that the oracle's data have."""
-    p = r"^(\d{4})/(\d{1,2})/(\d{1,2})$"
-    g = lambda i: f"regexp_extract({_trim(x)}, '{p}', {i})"
-    iso = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?$"
-    return f"CASE WHEN regexp_matches({_trim(x)}, '{p}') THEN {g(1)} || '-' || lpad({g(2)}, 2, '0') || '-' || lpad({g(3)}, 2, '0') WHEN regexp_matches({_trim(x)}, '{iso}') THEN substr({_trim(x)}, 1, 10) END"
-
-
-def _date(x: str) -> str:
-    return f"CASE WHEN NOT regexp_matches({_trim(x)}, '{V.NUMBER}') THEN coalesce({_day_first(x, '$')}, {_year_first(x)}) END"
-
-
-def _date_part(x: str) -> str:
-    return f"CASE WHEN regexp_matches({_trim(x)}, '{V.NUMBER}') THEN {_trim(x)} ELSE coalesce({_day_first(x, '')}, {_year_first(x)}, {_trim(x)}) END"
-
-
-def _cell(x: str) -> str:
-    return (
-        f"CASE WHEN {_null_like(x)} IS NULL THEN NULL WHEN regexp_matches({_compact(x)}, '^\\d{{10,}}$') THEN {_compact(x)}"
-        f" WHEN NOT regexp_matches({_trim(x)}, '\\s') AND regexp_matches({_compact(x)}, '^[A-Za-z0-9\\-*#]{{8,}}$') AND regexp_matches({_compact(x)}, '[A-Za-z]') THEN lower({_compact(x)})"
-        f" WHEN {_date(x)} IS NOT NULL THEN {_date(x)} WHEN {_amount(x)} <> lower({_trim(x)}) THEN {_amount(x)} ELSE {_text(x)} END"
-    )
-
-
-def _stripped(x: str) -> str:
-    return f"CASE WHEN regexp_matches({_compact(x)}, '^\\d+$') THEN regexp_replace({_compact(x)}, '^0+(\\d)', '\\1') ELSE lower({_compact(x)}) END"
-
-
-def _pan(x: str) -> str:
-    d, m = _sub(x, r"\D"), r"^(\d{6,8})[*xX#-]+(\d{4})$"
-    return f"CASE WHEN length({d}) >= 12 THEN substr({d}, 1, 8) || right({d}, 4) WHEN length({d}) >= 10 THEN substr({d}, 1, 6) || right({d}, 4) WHEN regexp_matches({_compact(x)}, '{m}') THEN regexp_extract({_compact(x)}, '{m}', 1) || regexp_extract({_compact(x)}, '{m}', 2) END"
-
-
-NOISY = """noisy AS (SELECT o_orderkey, CASE o_orderkey % 9 WHEN 0 THEN 'N/A' WHEN 1 THEN '$' || p || '00' WHEN 2 THEN '-00' || p WHEN 3 THEN lpad(o_orderkey::VARCHAR, 12, '0')
-  WHEN 4 THEN ' ORD-' || lpad(o_orderkey::VARCHAR, 9, '0') WHEN 5 THEN strftime(o_orderdate, '%d/%m/%Y') WHEN 6 THEN strftime(o_orderdate, '%Y/%-m/%-d')
-  WHEN 7 THEN lpad(o_orderkey::VARCHAR, 8, '4') || 'xxxx' || lpad((o_orderkey % 10000)::VARCHAR, 4, '0') ELSE o_orderpriority || ' -- ' || o_orderstatus END AS raw
-  FROM (SELECT *, o_totalprice::DECIMAL(18,2)::VARCHAR AS p FROM orders))"""
-
-
-def _as_text(name: str, kind: str) -> str:
-    if kind == "double":
-        return f"{name}::DECIMAL(38,2)::VARCHAR"
-    return f"CASE WHEN {name} = date_trunc('day', {name}) THEN strftime({name}, '%Y-%m-%d') ELSE strftime({name}, '%Y-%m-%d %H:%M:%S') END" if kind == "ts" else f"{name}::VARCHAR"
-
-
-TABLES = {
-    "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal:double", "c_mktsegment"],
-    "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal:double"],
-    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice:double", "o_orderdate:ts", "o_orderpriority"],
-    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity:double", "l_extendedprice:double", "l_discount:double", "l_tax:double", "l_returnflag", "l_linestatus", "l_shipdate:ts"],
-}
-
-
-def _dict(name: str, out: str) -> str:
-    """Common table expression `out` (col_idx, value, cnt) of a table."""
-    cells = " UNION ALL ".join(f"SELECT {i} AS col_idx, {_as_text(c.split(':')[0], c.partition(':')[2])} AS raw FROM {name}" for i, c in enumerate(TABLES[name]))
-    return f"{out} AS (SELECT col_idx, {_cell('raw')} AS value, sum(cnt)::BIGINT AS cnt FROM (SELECT col_idx, raw, count(*) AS cnt FROM ({cells}) GROUP BY ALL) GROUP BY ALL)"
-
-
-def _over() -> str:
-    sig = lambda d: f"SELECT DISTINCT col_idx, 'raw' AS view, value AS sig FROM {d} WHERE value IS NOT NULL UNION SELECT DISTINCT col_idx, 'padded', {_stripped('value')} FROM {d} WHERE value IS NOT NULL UNION SELECT DISTINCT col_idx, 'prefix', substr(value, 1, 3) FROM {d} WHERE value IS NOT NULL"
-    return f"""{_dict("orders", "da")}, {_dict("lineitem", "db")}, sa AS ({sig("da")}), sb AS ({sig("db")}),
-na AS (SELECT col_idx, view, count(*) AS n FROM sa GROUP BY ALL), nb AS (SELECT col_idx, view, count(*) AS n FROM sb GROUP BY ALL),
-o AS (SELECT s.col_a, s.col_b, s.view, shared, na.n AS size_a, nb.n AS size_b FROM (SELECT sa.col_idx AS col_a, sb.col_idx AS col_b, sa.view, count(*) AS shared FROM sa JOIN sb USING (view, sig) GROUP BY ALL) s
-  JOIN na ON na.col_idx = col_a AND na.view = s.view JOIN nb ON nb.col_idx = col_b AND nb.view = s.view)"""
-
-
 def oracle_sql() -> dict[str, str]:
-    r = "raw"
-    stop = "|".join(V.TOKEN_STOP_WORDS)
-    m = r"^(\d{4,8})[xX*#-]{2,}(\d{2,6})$"
-    is_ = lambda p: f"regexp_matches(v, '{p}')"
-    count = lambda cond: f"count(*) FILTER (WHERE {cond})"
-    share = lambda p: f"round(coalesce(sum(CASE WHEN {p} THEN cnt ELSE 0 END)::DOUBLE / sum(cnt) FILTER (WHERE value IS NOT NULL), 0), 6)"
-    val = lambda p: f"regexp_matches(value, '{p}')"
-    digits = "length(regexp_replace(v, '\\D', '', 'g'))"
-    shapes = ", ".join(repr(s) for s in HEADER_SHAPES)
-    abbreviations = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in H.ABBREVIATIONS.items()) + "}"
-    toks = f"list_filter(list_transform(list_filter(list_transform(regexp_split_to_array(regexp_replace(header, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[_.\\-/\\s]+'), lambda t: regexp_replace(lower(t), '[^a-z0-9]', '', 'g')), lambda t: t <> ''), lambda t: coalesce({abbreviations}[t], t)), lambda t: t NOT IN ('column', 'field', 'value'))"
-    expected = "CASE " + " ".join(f"WHEN regexp_matches(lower(header), '{p}') THEN '{t}'" for p, t in H.EXPECTED) + " ELSE 'unknown' END"
-    stats = lambda d, x: f"SELECT col_idx AS {x}, coalesce(sum(cnt) FILTER (WHERE {val(V.NUMBER)}), 0) AS n, sum(CASE WHEN {val(V.NUMBER)} THEN value::DOUBLE * cnt END) / sum(cnt) FILTER (WHERE {val(V.NUMBER)}) AS mean, sum(CASE WHEN {val(V.NUMBER)} THEN value::DOUBLE * value::DOUBLE * cnt END) / sum(cnt) FILTER (WHERE {val(V.NUMBER)}) AS sq FROM {d} GROUP BY col_idx"
-    return {
-        "normalize_values": f"WITH {NOISY} SELECT o_orderkey, {_null_like(r)} AS null_like, {_compact(r)} AS compact, {_amount(r)} AS amount, {_text(r)} AS text, {_cell(r)} AS cell, {_stripped(r)} AS stripped, {_pan(r)} AS pan FROM noisy",
-        "normalize_dates": f"WITH {NOISY} SELECT o_orderkey, {_date(r)} AS date, {_date_part(r)} AS date_part FROM noisy",
-        "value_tokens": f"SELECT token, count(*) AS n FROM (SELECT unnest(list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower('POS Purchase ' || p_name || ' ' || p_type), '\\b({stop})\\b', ' ', 'g'), '[^a-z0-9]+'), lambda t: length(t) >= 3))) AS token FROM part) GROUP BY token",
-        "value_classes": f"""WITH {NOISY} SELECT CASE WHEN regexp_matches(raw, '^\\d{{1,3}}(,\\d{{3}})*(\\.\\d+)?$') THEN 'comma-number' WHEN regexp_matches(raw, '^\\d+\\.\\d+$') THEN 'decimal' WHEN regexp_matches(raw, '^[₹$€£¥]\\d+') THEN 'currency' WHEN regexp_matches(raw, '^\\d{{2,4}}[/-]\\d{{1,2}}[/-]\\d{{1,2}}') THEN 'date' ELSE 'other' END AS format,
- CASE WHEN regexp_matches(raw, '^\\d+(\\.\\d+)?$') THEN 'number' WHEN regexp_matches(raw, '^\\d{{2,4}}[/-]\\d{{1,2}}[/-]\\d{{1,2}}') THEN 'date' WHEN trim(raw) = '' THEN 'blank' ELSE 'text' END AS type,
- regexp_matches(raw, '[\\s,₹$€£¥()/\\[\\]{{}}#@!%^&*_=+|;:''"<>?]') OR (regexp_matches(raw, '[A-Z]') AND raw <> upper(raw)) AS dirty, count(*) AS n FROM noisy WHERE {_null_like(r)} IS NOT NULL GROUP BY ALL""",
-        "type_predicates": f"""WITH {NOISY}, c AS (SELECT {_cell(r)} AS v FROM noisy) SELECT {count(is_("^\\d{4}-\\d{2}-\\d{2}$"))} AS date, {count(is_("^\\d{4}-\\d{2}-\\d{2}[Tt\\s]\\d{2}:\\d{2}(:\\d{2})?"))} AS datetime, {count(is_(V.NUMBER))} AS "numeric",
- {count("regexp_matches(regexp_replace(v, '[₹$€£¥,\\s]', '', 'g'), '^[-+]?\\d+(\\.\\d{1,4})?$')")} AS amount, {count("regexp_matches(upper(v), '^[A-Z]{3}$')")} AS currency, {count(is_("^(?:\\d[\\s-]*){13,19}$") + " OR " + is_(m))} AS card, {count(is_(m))} AS masked,
- {count(is_(m) + " OR (" + is_("\\*{2,}|[xX]{2,}") + " AND " + is_("\\d{2,}") + ")")} AS masked_run, {count(is_("(?i)^(dr|cr|debit|credit|d|c)$"))} AS drcr, {count(is_("(?i)^(approved|declined|failed|pending|success|error|reversed|00|01|05|09|12)$"))} AS status,
- {count(f"{digits} BETWEEN 8 AND 18 AND NOT {is_(m)}")} AS account, {count(is_("^[A-Za-z0-9\\-_/]{8,}$") + " AND " + is_("[A-Za-z]"))} AS txn_id, {count(is_("[A-Za-z]"))} AS text, {count(is_("\\S\\s+\\S") + " OR length(v) >= 15")} AS long_text FROM c WHERE v IS NOT NULL""",
-        "header_normalize": f"WITH h AS (SELECT p_partkey, [{shapes}][p_partkey % {len(HEADER_SHAPES)} + 1] || '_' || p_brand AS header FROM part) SELECT p_partkey, array_to_string({toks}, ' ') AS normalized, len({toks}) AS n_tokens, {expected} AS expected FROM h",
-        "column_profile": f"""WITH {_dict("customer", "d")} SELECT col_idx, sum(cnt)::BIGINT AS n_rows, (sum(cnt) FILTER (WHERE value IS NOT NULL))::BIGINT AS n_values, count(value) AS n_distinct, round(coalesce(sum(cnt) FILTER (WHERE value IS NULL), 0)::DOUBLE / sum(cnt), 6) AS null_ratio,
- round(count(value)::DOUBLE / sum(cnt) FILTER (WHERE value IS NOT NULL), 6) AS uniqueness_ratio, round((sum(cnt) FILTER (WHERE value IS NOT NULL) - count(value))::DOUBLE / sum(cnt) FILTER (WHERE value IS NOT NULL), 6) AS repeated_ratio, round(sum(length(value) * cnt)::DOUBLE / sum(cnt) FILTER (WHERE value IS NOT NULL), 6) AS avg_length,
- round((max(cnt) FILTER (WHERE value IS NOT NULL))::DOUBLE / sum(cnt) FILTER (WHERE value IS NOT NULL), 6) AS top_share, {share(val(V.NUMBER))} AS r_numeric, {share(val("^[-+]?\\d+$"))} AS r_integer, {share(val("[A-Za-z]"))} AS r_text,
- {share("regexp_matches(regexp_replace(value, '[₹$€£¥,\\s]', '', 'g'), '^[-+]?\\d+(\\.\\d{1,4})?$')")} AS r_amount, {share(val("\\S\\s+\\S") + " OR length(value) >= 15")} AS r_long_text, min(length(value)) AS min_length, max(length(value)) AS max_length FROM d GROUP BY col_idx""",
-        "top_values": f"""WITH c AS (SELECT 1 AS col_idx, c_custkey AS k, c_nationkey::VARCHAR AS raw FROM customer UNION ALL SELECT 2, c_custkey, c_mktsegment FROM customer), d AS (SELECT col_idx, {_cell(r)} AS value, count(*) AS cnt, min(k) AS first FROM c GROUP BY ALL)
- SELECT col_idx, rank, value, cnt FROM (SELECT *, row_number() OVER (PARTITION BY col_idx ORDER BY cnt DESC, first, value) AS rank FROM d WHERE value IS NOT NULL) WHERE rank <= 5""",
-        "column_overlap": f"WITH {_over()} SELECT col_a, col_b, view, shared, size_a, size_b, round(shared::DOUBLE / size_a, 6) AS coverage_a, round(shared::DOUBLE / size_b, 6) AS coverage_b, round(shared::DOUBLE / (size_a + size_b - shared), 6) AS jaccard, round(shared::DOUBLE / least(size_a, size_b), 6) AS overlap_ratio FROM o",
-        "best_target": f"WITH {_over()} SELECT col_a, col_b, round(shared::DOUBLE / size_a, 6) AS coverage FROM o WHERE view = 'raw' QUALIFY row_number() OVER (PARTITION BY col_a ORDER BY shared::DOUBLE / size_a DESC, shared::DOUBLE / size_b DESC, col_b) = 1",
-        "numeric_similarity": f"WITH {_dict('customer', 'da')}, {_dict('supplier', 'db')}, a AS ({stats('da', 'col_a')}), b AS ({stats('db', 'col_b')}) SELECT col_a, col_b, round(CASE WHEN a.n < 5 OR b.n < 5 THEN 0 ELSE 1 - least(1, (abs(a.mean - b.mean) + abs(sqrt(greatest(a.sq - a.mean * a.mean, 0)) - sqrt(greatest(b.sq - b.mean * b.mean, 0)))) / (2 * greatest(abs(a.mean), abs(b.mean), 1))) END, 5)::DOUBLE AS \"numeric\" FROM a, b",
-        "rows_equal": "SELECT 'a' AS a, 'b' AS b, 1.0::DOUBLE AS share UNION ALL SELECT 'a', 'c', round(avg(CASE WHEN o_orderkey % 10 = 0 THEN 0 ELSE 1 END)::DOUBLE, 6) FROM orders",
-        "feedback_latest": "SELECT user_id AS source_id, event_type AS verdict, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
-        "preview": f"SELECT {_cell('k')} AS o_orderkey, {_cell('o_orderpriority')} AS o_orderpriority, {_cell('p')} AS o_totalprice FROM (SELECT o_orderkey::VARCHAR AS k, o_orderpriority, o_totalprice::DECIMAL(38,2)::VARCHAR AS p FROM orders ORDER BY o_orderkey LIMIT 10)",
-        "row_and_column_counts": "SELECT count(*) AS row_count, 11::BIGINT AS column_count FROM lineitem",
-    }
+    from . import oracles
+
+    return oracles.oracle_sql()

@@ -19,22 +19,35 @@ def detect_delimiter(spark: SparkSession, path: str) -> str:
 
 
 def read_text_table(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
-    """All cells as text; the first row names the columns if it has a cell with a value. Blank rows go; malformed files fail."""
+    """All cells as text; the first row names the columns if it has a cell with a value. Blank rows go; malformed files fail.
+
+    With a header a table is as wide as that; without one, as its longest row.
+    """
+    from ..operators.melt import safe_names
+
     sep = delimiter or detect_delimiter(spark, path)
+
+    def rows_of(width: int, mode: str) -> DataFrame:
+        schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
+        raw = spark.read.schema(schema).csv(path, sep=sep, header=False, quote='"', escape='"', multiLine=True, mode=mode)
+        return raw.where(F.concat_ws("", *(F.trim(F.coalesce(c, F.lit(""))) for c in raw.columns)) != "").withColumn("_row", F.monotonically_increasing_id())
+
     width = len(spark.read.csv(path, sep=sep, quote='"', escape='"', multiLine=True).columns)
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
-    raw = spark.read.schema(schema).csv(path, sep=sep, header=False, quote='"', escape='"', multiLine=True, mode="FAILFAST" if width > 1 else "PERMISSIVE")
-    filled = raw.where(F.concat_ws("", *(F.trim(F.coalesce(c, F.lit(""))) for c in raw.columns)) != "").withColumn("_row", F.monotonically_increasing_id())
-    first = filled.orderBy("_row").limit(1).select("_row", *(V.null_like(F.col(c)).alias(c) for c in raw.columns)).first()
-    names = [(first[c] if first else None) or f"Column_{i + 1}" for i, c in enumerate(raw.columns)]
-    has_header = first is not None and any(first[c] for c in raw.columns)
-    rows = filled.where(F.col("_row") > first["_row"]) if has_header else filled
-    seen: dict[str, int] = {}
-    unique = []
-    for n in names:
-        seen[n] = seen.get(n, 0) + 1
-        unique.append(n if seen[n] == 1 else f"{n} {seen[n]}")
-    return rows.drop("_row").toDF(*unique)
+    filled = rows_of(width, "FAILFAST" if width > 1 else "PERMISSIVE") if width else None
+    wide = rows_of(width, "PERMISSIVE")
+    first = wide.orderBy("_row").limit(1).select("_row", *(V.null_like(F.col(c)).alias(c) for c in wide.columns if c != "_row")).first()
+    cells = [c for c in wide.columns if c != "_row"]
+    if first is not None and any(first[c] for c in cells):
+        names = [first[c] or f"Column_{i + 1}" for i, c in enumerate(cells)]
+        return filled.where(F.col("_row") > first["_row"]).drop("_row").toDF(*safe_names(names))
+    # no header: a row has at most one cell more than its line has delimiters
+    most = spark.read.text(path).agg(F.coalesce(F.max(F.length("value") - F.length(F.translate("value", sep, ""))), F.lit(0))).first()[0] + 1
+    every = rows_of(max(most, width), "PERMISSIVE")
+    cells = [c for c in every.columns if c != "_row"]
+    used = every.agg(*(F.count(c).alias(c) for c in cells)).first()
+    last = max((i for i, c in enumerate(cells) if used[c]), default=width - 1)
+    kept = cells[: max(width, last + 1)]
+    return every.select(*(F.col(c).alias(f"Column_{i + 1}") for i, c in enumerate(kept)))
 
 
 def preview(df: DataFrame, order: list[str], k: int = 10) -> DataFrame:
@@ -45,10 +58,11 @@ def preview(df: DataFrame, order: list[str], k: int = 10) -> DataFrame:
 
 
 def export_rows(results: DataFrame) -> DataFrame:
-    """Mapping rows as they are written: reasons joined, defaults for what is missing."""
+    """Mapping rows as they are written: eleven columns (their names are fixed), reasons joined, defaults for what is missing."""
     return results.select(
-        "source_id", "source_name", F.coalesce("source_type", F.lit("unknown")).alias("source_type"), F.coalesce("target_id", F.lit("")).alias("target_id"), F.coalesce("target_name", F.lit("")).alias("target_name"),
-        F.coalesce("confidence", F.lit(0)).alias("confidence"), F.coalesce("status", F.lit("unmatched")).alias("status"), "category", "decision", F.coalesce(F.array_join("reason", " | "), F.lit("")).alias("reason"), F.coalesce(F.array_join("alternatives", " | "), F.lit("")).alias("alternatives"),
+        F.col("source_id").alias("sourceColumnId"), F.col("source_name").alias("sourceColumnName"), F.col("source_type").alias("sourceObservedType"), F.col("category").alias("mappingCategory"), F.col("decision").alias("finalMappingDecision"),
+        F.coalesce("target_id", F.lit("")).alias("targetColumnId"), F.coalesce("target_name", F.lit("")).alias("targetColumnName"), F.coalesce("target_type", F.lit("unknown")).alias("targetObservedType"),
+        F.coalesce("confidence", F.lit(0)).alias("confidence"), F.coalesce("status", F.lit("unmatched")).alias("status"), F.array_join("reason", " | ").alias("reason"),
     )
 
 
