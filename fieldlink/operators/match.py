@@ -60,7 +60,7 @@ def metadata_score() -> Column:
 
 
 def scored(candidates: DataFrame) -> DataFrame:
-    """Confidence, status, scores, evidence and reasons."""
+    """Confidence, status, scores, evidence and reasons (their wording is fixed)."""
     rs, rt, tr, sem = F.round("raw_s", 4), F.round("raw_t", 4), F.round("max_transform", 4), F.round(F.col("token_j") * 100, 2)
     raw = rs * 48 + rt * 20 + tr * 18 + sem / 100 * 14 + F.col("type_score") / 100 * 16 + F.col("plausibility") / 100 * 16
     raw = raw - F.when(F.col("t_duplicate"), 45).otherwise(0) - F.when(F.col("low_cardinality"), 12).otherwise(0) - F.when(F.col("plausibility") < 45, 15).otherwise(0)

@@ -33,13 +33,13 @@ def read_text_table(spark: SparkSession, path: str, delimiter: str | None = None
         return raw.where(F.concat_ws("", *(F.trim(F.coalesce(c, F.lit(""))) for c in raw.columns)) != "").withColumn("_row", F.monotonically_increasing_id())
 
     width = len(spark.read.csv(path, sep=sep, quote='"', escape='"', multiLine=True).columns)
-    filled = rows_of(width, "FAILFAST" if width > 1 else "PERMISSIVE") if width else None
     wide = rows_of(width, "PERMISSIVE")
-    first = wide.orderBy("_row").limit(1).select("_row", *(V.null_like(F.col(c)).alias(c) for c in wide.columns if c != "_row")).first()
     cells = [c for c in wide.columns if c != "_row"]
+    first = wide.orderBy("_row").limit(1).select("_row", *(V.null_like(F.col(c)).alias(c) for c in cells)).first()
     if first is not None and any(first[c] for c in cells):
         names = [first[c] or f"Column_{i + 1}" for i, c in enumerate(cells)]
-        return filled.where(F.col("_row") > first["_row"]).drop("_row").toDF(*safe_names(names))
+        checked = rows_of(width, "FAILFAST") if width > 1 else wide
+        return checked.where(F.col("_row") > first["_row"]).drop("_row").toDF(*safe_names(names))
     # no header: a row has at most one cell more than its line has delimiters
     most = spark.read.text(path).agg(F.coalesce(F.max(F.length("value") - F.length(F.translate("value", sep, ""))), F.lit(0))).first()[0] + 1
     every = rows_of(max(most, width), "PERMISSIVE")
