@@ -68,18 +68,17 @@ def by_length(words: list[str], most: int = 4096):
         start = end
 
 
-def forward(rows: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """alpha[word, position, language] over pieces' rows; p has a last row of zeros, for no piece."""
+def forward(rows: np.ndarray, p: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """alpha[word, position] of each word in its own language over pieces' rows; p has a last row of zeros, for no piece."""
     words, n, most = rows.shape
-    alpha = np.zeros((words, n + 1, p.shape[1]))
+    alpha = np.zeros((words, n + 1))
     alpha[:, 0] = 1.0
     for s in range(n):
-        known = (rows[:, s, 0] >= 0)[:, None]
-        alpha[:, s + 1] += np.where(known, 0.0, alpha[:, s] * UNKNOWN_P)
+        alpha[:, s + 1] += np.where(rows[:, s, 0] >= 0, 0.0, alpha[:, s] * UNKNOWN_P)
         for m in range(1, min(most, n - s) + 1):
             r = rows[:, s, m - 1]
             if (r >= 0).any():
-                alpha[:, s + m] += alpha[:, s] * p[r]
+                alpha[:, s + m] += alpha[:, s] * p[r, own]
     return alpha
 
 
@@ -162,8 +161,7 @@ def expected(words: list[str], language: np.ndarray, count: np.ndarray, table: P
             continue
         rows = table.rows([words[i] for i in group])
         own, times = language[group], count[group].astype(float)
-        at = np.arange(len(group))
-        alpha = forward(rows, p)[at, :, own]
+        alpha = forward(rows, p, own)
         beta = np.zeros_like(alpha)
         beta[:, n] = 1.0
         for s in range(n - 1, -1, -1):
