@@ -7,6 +7,7 @@ slices of bounded bytes, so a worker's memory doesn't follow the batch size.
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import functools
 import itertools
 import tempfile
@@ -165,6 +166,13 @@ def unused_mark(texts: pa.Array) -> str | None:
     return next((c for c in MARKS if not pc.any(pc.match_substring(texts, c)).as_py()), None)
 
 
+def give_back() -> None:
+    """Memory freed by this process goes back to the system, where the C library has a call for it; it would keep that of many small arrays."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def starts_of(counts: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(counts)])
 
