@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, langid, licenses, mixing, neardup, packed_ids, quality, sentencepiece_stream, tiff, token_counts, toxicity, whitening
+from . import common, langid, licenses, mixing, neardup, packed_ids, quality, sentencepiece_stream, spelling, tiff, token_counts, toxicity, whitening
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,13 +94,17 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(common.documents(spark, sf_dir).select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(common.documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return whitening.components(rows, "embedding").select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_packed_ids, op4_license_scan, op5_near_duplicates, op6_toxicity, op7_sentencepiece, op8_tiff, op9_quality_rules, op10_mixing, op12_whitening)}
+    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_packed_ids, op4_license_scan, op5_near_duplicates, op6_toxicity, op7_sentencepiece, op8_tiff, op9_quality_rules, op10_mixing, op11_spelling_variants, op12_whitening)}
 
 
 def oracle_sql() -> dict:
