@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, langid, licenses, mixing, neardup, packed_ids, quality, sentencepiece_stream, spelling, tiff, token_counts, toxicity, whitening
+from . import attention, common, langid, licenses, mixing, neardup, packed_ids, quality, sentencepiece_stream, spelling, tiff, token_counts, toxicity, whitening
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,8 +103,18 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.components(rows, "embedding").select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
 
 
+def op13_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").where((common.id_crc() % 5 != 0) & F.col("quality").isNotNull())
+    # at most about 8,000 ids
+    some = F.broadcast(common.hash_share(labels, "doc_id", 8_000))
+    model = attention.fit(common.written(docs.join(some, "doc_id"), "labelled"), cut=0.3)
+    held = docs.withColumn("held_out", F.coalesce(common.id_crc() % 5 == 0, F.lit(False)))
+    return attention.scored(held, model, cut=0.3).drop("text")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_packed_ids, op4_license_scan, op5_near_duplicates, op6_toxicity, op7_sentencepiece, op8_tiff, op9_quality_rules, op10_mixing, op11_spelling_variants, op12_whitening)}
+    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_packed_ids, op4_license_scan, op5_near_duplicates, op6_toxicity, op7_sentencepiece, op8_tiff, op9_quality_rules, op10_mixing, op11_spelling_variants, op12_whitening, op13_quality_attention)}
 
 
 def oracle_sql() -> dict:
