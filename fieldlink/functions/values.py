@@ -27,6 +27,11 @@ def null_like(c: Column) -> Column:
     return F.when(~F.lower(t).isin(NULL_WORDS), t)
 
 
+def has_value(c: Column) -> Column:
+    """Whether null_like() isn't null, without a regular expression."""
+    return F.coalesce(~F.lower(F.btrim(c, F.lit(" \t\n\x0b\x0c\r"))).isin(NULL_WORDS), F.lit(False))
+
+
 def compact_id(c: Column) -> Column:
     return F.regexp_replace(c, r"[\s|]+", "")
 
@@ -152,17 +157,17 @@ def tokens(c: Column) -> Column:
 
 
 def format_class(c: Column) -> Column:
-    """A text's format by fixed patterns, first hit wins."""
+    """A text's format by patterns (fixed values), first hit wins."""
     return F.when(c.rlike(r"^\d{1,3}(,\d{3})*(\.\d+)?$"), "comma-number").when(c.rlike(r"^\d+\.\d+$"), "decimal").when(c.rlike(r"^[₹$€£¥]\d+"), "currency").when(c.rlike(r"^\d{2,4}[/-]\d{1,2}[/-]\d{1,2}"), "date").otherwise("other")
 
 
 def type_class(c: Column) -> Column:
-    """A text's kind by fixed patterns, first hit wins."""
+    """A text's kind by patterns (fixed values), first hit wins."""
     return F.when(c.rlike(r"^\d+(\.\d+)?$"), "number").when(c.rlike(r"^\d{2,4}[/-]\d{1,2}[/-]\d{1,2}"), "date").when(trimmed(c) == "", "blank").otherwise("text")
 
 
 def is_dirty(c: Column) -> Column:
-    """Whether a text has one of a fixed set of characters, or letters of both cases."""
+    """Whether a text has one of a set of characters (fixed values), or letters of both cases."""
     return c.rlike(r"""[\s,₹$€£¥()/\[\]{}#@!%^&*_=+|;:'"<>?]""") | (c.rlike("[A-Z]") & (c != F.upper(c)))
 
 

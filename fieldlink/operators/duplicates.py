@@ -25,6 +25,8 @@ def near_pairs(over: DataFrame, side: str, limits: dict[str, float]) -> DataFram
     return over.where((F.col("side_a") == side) & (F.col("side_b") == side) & hit).select(F.col("side_a").alias("side"), F.col("col_a").alias("a"), F.col("col_b").alias("b")).distinct()
 
 
+#: Why a column goes (fixed texts).
+SOURCE_REASON, TARGET_REASON = "Near-identical source column detected; weaker duplicate rejected", "Near-identical target column detected; weaker duplicate rejected"
 TARGET_LIMITS = {"raw": 0.97, "amount": 0.98, "date": 0.98, "pan": 0.95}
 SOURCE_LIMITS = {"raw": 0.999, "amount": 0.999}
 
@@ -49,8 +51,10 @@ def clusters(pairs: DataFrame) -> DataFrame:
 
 
 def duplicates(clustered: DataFrame, checked: DataFrame) -> DataFrame:
-    """(side, col_idx, canonical_idx): columns that repeat another of their cluster."""
-    scored = clustered.join(checked.select("side", "col_idx", canonical_score().alias("_score")), ["side", "col_idx"])
+    """(side, col_idx, col_id, original_name, canonical_idx, canonical_id, canonical_name, reason): columns that repeat another of their cluster."""
+    named = ["col_id", "original_name"]
+    scored = clustered.join(checked.select("side", "col_idx", *named, canonical_score().alias("_score")), ["side", "col_idx"])
     order = Window.partitionBy("side", "cluster").orderBy(F.col("_score").desc(), "col_idx")
-    ranked = scored.withColumn("_rank", F.row_number().over(order)).withColumn("canonical_idx", F.first("col_idx").over(order))
-    return ranked.where("_rank > 1").select("side", "col_idx", "canonical_idx")
+    ranked = scored.withColumn("_rank", F.row_number().over(order)).withColumn("_first", F.first(F.struct("col_idx", *named)).over(order))
+    reason = F.when(F.col("side") == "A", SOURCE_REASON).otherwise(TARGET_REASON)
+    return ranked.where("_rank > 1").select("side", "col_idx", *named, F.col("_first.col_idx").alias("canonical_idx"), F.col("_first.col_id").alias("canonical_id"), F.col("_first.original_name").alias("canonical_name"), reason.alias("reason"))

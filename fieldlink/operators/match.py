@@ -146,9 +146,15 @@ def derived(all_: DataFrame, decided_: DataFrame) -> DataFrame:
 
 
 def resolved(decided_: DataFrame) -> DataFrame:
-    """Accepted rows with wins: each target keeps one source, by confidence and header fit, then bucket, column order and place."""
-    order = Window.partitionBy("t_col_idx").orderBy((F.col("confidence") + 0.4 * F.col("s_alignment")).desc(), F.array_position(F.array(*map(F.lit, BUCKETS)), F.col("decision")), "s_col_idx")
-    return decided_.where("accepted").withColumn("wins", F.row_number().over(order) == 1)
+    """Accepted rows with wins: each target keeps one source, by confidence and header fit, then bucket, column order and place.
+
+    Targets are settled in the order in which accepted rows first name them, by bucket, source and place: `turn`
+    is where a row's target stands in that order.
+    """
+    bucket = F.array_position(F.array(*map(F.lit, BUCKETS)), F.col("decision"))
+    target = Window.partitionBy("t_col_idx")
+    order = target.orderBy((F.col("confidence") + 0.4 * F.col("s_alignment")).desc(), bucket, "s_col_idx")
+    return decided_.where("accepted").withColumn("wins", F.row_number().over(order) == 1).withColumn("turn", F.min(F.struct(bucket, "s_col_idx", "place")).over(target))
 
 
 def buckets(resolved_: DataFrame) -> DataFrame:
@@ -178,19 +184,19 @@ def results(checked: DataFrame, decided_: DataFrame, resolved_: DataFrame) -> Da
     return full.withColumn("category", F.coalesce("category", F.lit("unmatched"))).withColumn("status", F.coalesce("status", F.lit("unmatched"))).withColumn("decision", F.coalesce("decision", F.lit("UNMATCHED"))).withColumn("confidence", F.coalesce("confidence", F.lit(0)))
 
 
-#: Why a source has no target (fixed texts).
-NOTHING_FOUND = "No accepted correlation found after strict validation"
-REPEATED = "Near-identical source column detected; weaker duplicate rejected"
+#: Why a source has no target.
+NOTHING_FOUND = "No accepted match found after strict validation"
 
 
 def unmatched(results_: DataFrame, dups: DataFrame, resolved_: DataFrame, checked: DataFrame) -> DataFrame:
-    """(source_id, source_name, decision, confidence, rejection_reason): sources without a target, sources that repeat another column, and sources that lost every target; each once."""
-    none = results_.where("decision = 'UNMATCHED'").select("source_id", F.lit("UNMATCHED").alias("decision"), F.lit(0).alias("confidence"), F.lit(NOTHING_FOUND).alias("rejection_reason"), F.lit(1).alias("_o"), F.lit(0).alias("_t"))
+    """(source_id, source_name, decision, confidence, rejection_reason): sources without a target, sources that repeat another column, and sources that lost every target, by the loss that left them without one; each once."""
+    none = results_.where("decision = 'UNMATCHED'").select("source_id", F.lit("UNMATCHED").alias("decision"), F.lit(0).alias("confidence"), F.lit(NOTHING_FOUND).alias("rejection_reason"), F.lit(1).alias("_o"))
     named = checked.select("side", "col_idx", F.col("col_id").alias("source_id"))
-    repeats = dups.where("side = 'A'").join(named, ["side", "col_idx"]).select("source_id", F.lit("REJECT_DUPLICATE").alias("decision"), F.lit(0).alias("confidence"), F.lit(REPEATED).alias("rejection_reason"), F.lit(2).alias("_o"), F.lit(0).alias("_t"))
+    repeats = dups.where("side = 'A'").join(named, ["side", "col_idx"]).select("source_id", F.lit("REJECT_DUPLICATE").alias("decision"), F.lit(0).alias("confidence"), F.col("reason").alias("rejection_reason"), F.lit(2).alias("_o"))
     all_lost = resolved_.groupBy("s_col_id").agg(F.max("wins").alias("_any")).where(~F.col("_any")).select("s_col_id")
-    lost = losers(resolved_).join(all_lost, "s_col_id").select(F.col("s_col_id").alias("source_id"), F.lit("REJECT_DUPLICATE").alias("decision"), "confidence", "rejection_reason", F.lit(3).alias("_o"), F.col("t_col_idx").alias("_t"))
-    first = none.unionByName(repeats).unionByName(lost).groupBy("source_id").agg(F.min_by(F.struct("decision", "confidence", "rejection_reason"), F.struct("_o", "_t")).alias("_f"))
+    last = losers(resolved_).groupBy("s_col_id").agg(F.max_by(F.struct("confidence", "rejection_reason"), "turn").alias("_l"))
+    lost = last.join(all_lost, "s_col_id").select(F.col("s_col_id").alias("source_id"), F.lit("REJECT_DUPLICATE").alias("decision"), "_l.confidence", "_l.rejection_reason", F.lit(3).alias("_o"))
+    first = none.unionByName(repeats).unionByName(lost).groupBy("source_id").agg(F.min_by(F.struct("decision", "confidence", "rejection_reason"), "_o").alias("_f"))
     return first.join(checked.select(F.col("col_id").alias("source_id"), F.col("original_name").alias("source_name")), "source_id").select("source_id", "source_name", "_f.*")
 
 

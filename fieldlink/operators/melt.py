@@ -9,10 +9,38 @@ from pyspark.sql import types as T
 from ..functions import values as V
 
 
+def _shortest(x: Column, own: Column) -> Column:
+    """The shortest text that reads back as the double x, or its own text if that is no longer than any."""
+    # up to 15 digits tell a double: nothing shorter reads back as it. Beyond, the JVM's text may have a digit too many
+    tried = [F.format_string(f"%.{n}e", x) for n in (14, 15)]
+    return F.when(F.length(own) <= 16, own).otherwise(F.coalesce(*(F.when(t.try_cast("double") == x, t) for t in tried), own))
+
+
+def _unscaled(t: Column) -> Column:
+    """A number's text without an exponent, by which its point moves, and without zeros at the end of its fraction."""
+    whole, part = F.regexp_extract(t, r"^(\d+)", 1), F.regexp_extract(t, r"\.(\d+)", 1)
+    digits = F.concat(whole, part)
+    at = F.length(whole) + F.coalesce(F.regexp_extract(t, r"[eE]([-+]?\d+)$", 1).try_cast("int"), F.lit(0))
+    zeros = lambda n: F.repeat(F.lit("0"), F.greatest(n, F.lit(0)))
+    left = F.when(at > 0, F.concat(F.substring(digits, F.lit(1), at), zeros(at - F.length(digits)))).otherwise("0")
+    right = F.concat(zeros(-at), F.substring(digits, F.greatest(at, F.lit(0)) + 1, F.length(digits)))
+    return F.regexp_replace(F.concat(left, F.lit("."), right), r"\.?0*$", "")
+
+
+def double_text(c: Column) -> Column:
+    """A float or double as its shortest exact decimal text, without an exponent; equal values have equal texts, NaN has none."""
+    x = c.cast("double")
+    own = F.abs(x).cast("string")
+    # lambdas name a part once; few values come here
+    rare = F.get(F.transform(F.array(F.struct(F.abs(x).alias("x"), own.alias("t"))), lambda s: F.get(F.transform(F.array(_shortest(s["x"], s["t"])), _unscaled), 0)), 0)
+    plain = F.when(own.endswith(".0") & ~own.contains("E"), F.left(own, F.length(own) - 2)).when(own.contains("E") | ((F.length(own) > 16) & own.contains(".")), rare).otherwise(own)
+    return F.when(~F.isnan(x), F.concat(F.when(x < 0, "-").otherwise(""), plain))
+
+
 def to_text(c: Column, kind: T.DataType) -> Column:
     """A native value as the text both sides are compared by; a date without time is a date only."""
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        return c.try_cast("decimal(38,2)").cast("string")
+        return double_text(c)
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return F.when(c == F.date_trunc("day", c), F.date_format(c, "yyyy-MM-dd")).otherwise(F.date_format(c, "yyyy-MM-dd HH:mm:ss"))
     if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
@@ -45,9 +73,10 @@ def safe_names(names: list[str]) -> list[str]:
     return list(used)
 
 
-def melt(df: DataFrame, side: str, order: str | None = None) -> DataFrame:
-    """(side, col_idx, row_idx, raw): a row for each cell. Without `order`, rows count as they are read."""
-    texts = [to_text(F.col(f"`{f.name}`"), f.dataType).alias(str(i)) for i, f in enumerate(df.schema)]
+def melt(df: DataFrame, side: str, order: str | None = None, hidden: bool = False) -> DataFrame:
+    """(side, col_idx, row_idx, raw): a row for each cell. Without `order`, rows count as they are read; `hidden` says that the ordering column is none of the table's."""
+    fields = [f for f in df.schema if not (hidden and f.name == order)]
+    texts = [to_text(F.col(f"`{f.name}`"), f.dataType).alias(str(i)) for i, f in enumerate(fields)]
     row = (F.col(f"`{order}`") if order else F.monotonically_increasing_id()).alias("row_idx")
     wide = df.select(row, *texts)
     return wide.unpivot(["row_idx"], [str(i) for i in range(len(texts))], "col_idx", "raw").select(F.lit(side).alias("side"), F.col("col_idx").cast("int").alias("col_idx"), "row_idx", "raw")

@@ -42,11 +42,19 @@ def overlaps(s: DataFrame) -> DataFrame:
 
 
 def numbers(d: DataFrame) -> DataFrame:
-    """Mean and population deviation of a column's numbers; null value texts are left out."""
-    x = F.when(F.col("value").rlike(V.NUMBER), F.col("value").try_cast("double"))
-    n = F.sum(F.when(x.isNotNull(), F.col("cnt")))
-    mean = F.sum(x * F.col("cnt")) / n
-    return d.groupBy("side", "col_idx").agg(F.coalesce(n, F.lit(0)).alias("n"), mean.alias("mean"), F.sqrt(F.greatest(F.sum(x * x * F.col("cnt")) / n - mean * mean, F.lit(0.0))).alias("std"))
+    """Mean and population deviation of a column's numbers; null value texts are left out.
+
+    Two passes over the dictionary: the second takes squares about the first's mean and
+    corrects that by what is left over, so large numbers close together lose nothing.
+    """
+    keys, cnt = ["side", "col_idx"], F.col("cnt")
+    x = d.select(*keys, "cnt", F.when(F.col("value").rlike(V.NUMBER), F.col("value").try_cast("double")).alias("x"))
+    some = x.where(F.col("x").isNotNull())
+    rough = some.groupBy(*keys).agg(F.sum("cnt").alias("n"), (F.sum(F.col("x") * cnt) / F.sum("cnt")).alias("_m"))
+    off = F.col("x") - F.col("_m")
+    about = some.join(F.broadcast(rough), keys).groupBy(*keys).agg(F.max("n").alias("n"), F.max("_m").alias("_m"), (F.sum(off * cnt) / F.max("n")).alias("_left"), (F.sum(off * off * cnt) / F.max("n")).alias("_sq"))
+    moments = about.select(*keys, "n", (F.col("_m") + F.col("_left")).alias("mean"), F.sqrt(F.greatest(F.col("_sq") - F.col("_left") * F.col("_left"), F.lit(0.0))).alias("std"))
+    return x.select(*keys).distinct().join(F.broadcast(moments), keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def numeric_similarity(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -59,13 +67,17 @@ def numeric_similarity(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def value_similarity(over: DataFrame, numeric: DataFrame, sizes_: DataFrame, a: str = "A", b: str = "B") -> DataFrame:
-    """(col_a, col_b, score): 0 to 100 of overlap, Jaccard, prefixes and distribution."""
+    """(col_a, col_b, score, reasons): 0 to 100 of overlap, Jaccard, prefixes and distribution, and what speaks for it or takes from it (fixed texts and limits)."""
     wide = over.where((F.col("side_a") == a) & (F.col("side_b") == b)).groupBy("col_a", "col_b").agg(*(F.coalesce(F.max(F.when(F.col("view") == v, F.col(m))), F.lit(0.0)).alias(n) for n, v, m in (("_o", "raw", "overlap_ratio"), ("_j", "raw", "jaccard"), ("_p", "prefix", "jaccard"))))
     raw = sizes_.where("view = 'raw'")
     n = lambda side, name: raw.where(F.col("side") == side).select(F.col("col_idx").alias(f"col_{name}"), F.col("size").alias(f"_n{name}"))
     full = numeric.join(wide, ["col_a", "col_b"], "left").join(n(a, "a"), "col_a", "left").join(n(b, "b"), "col_b", "left").na.fill(0, ["_o", "_j", "_p", "_na", "_nb"])
     score = (F.col("_o") * 45 + F.col("_j") * 25 + F.col("_p") * 10 + F.col("numeric") * 20) * F.when((F.col("_na") < 5) | (F.col("_nb") < 5), 0.85).otherwise(1.0)
-    return full.select("col_a", "col_b", F.least(F.lit(100.0), F.floor(score + 0.5)).cast("double").alias("score"))
+    reasons = F.array_compact(F.array(
+        F.when(F.col("_o") > 0.8, "High normalized value overlap").when(F.col("_o") > 0.45, "Partial value overlap found"), F.when(F.col("numeric") > 0.65, "Numeric distribution appears aligned"),
+        F.when(F.col("_p") > 0.5, "Common value prefix/suffix patterns detected"), F.when((F.col("_na") < 5) | (F.col("_nb") < 5), "Low distinct value volume; confidence reduced"),
+    ))
+    return full.select("col_a", "col_b", F.least(F.lit(100.0), F.floor(score + 0.5)).cast("double").alias("score"), reasons.alias("reasons"))
 
 
 def rows_equal(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import values as V
+from ..sources.shared import written
 
 KEYS = ["side", "col_idx"]
 
@@ -29,7 +30,7 @@ def profile(d: DataFrame) -> DataFrame:
         F.coalesce(F.try_divide(F.sum(F.when(v.isNull(), cnt).otherwise(0)), F.sum(cnt)), F.lit(1.0)).alias("null_ratio"),
         F.coalesce(F.try_divide(F.count(v), n), F.lit(0.0)).alias("uniqueness_ratio"),
         F.coalesce(F.try_divide(n - F.count(v), n), F.lit(0.0)).alias("repeated_ratio"),
-        F.min(F.length(v)).alias("min_length"), F.max(F.length(v)).alias("max_length"), F.try_divide(F.sum(F.length(v) * cnt), n).alias("avg_length"),
+        F.coalesce(F.min(F.length(v)), F.lit(0)).alias("min_length"), F.coalesce(F.max(F.length(v)), F.lit(0)).alias("max_length"), F.coalesce(F.try_divide(F.sum(F.length(v) * cnt), n), F.lit(0.0)).alias("avg_length"),
         F.coalesce(F.try_divide(F.max(F.when(v.isNotNull(), cnt)), n), F.lit(0.0)).alias("top_share"),
         *shares, *(_share(c, n).alias(f"r_{k}") for k, c in more.items()),
     )
@@ -60,22 +61,26 @@ def record(cells: DataFrame, names: DataFrame) -> DataFrame:
     """The whole profile of each column, from cells and columns(): counts, ratios and types, top values, samples, hints and the normalization score."""
     from . import melt, types
 
-    d = melt.dictionary(cells)
+    d = written(melt.dictionary(cells), "dictionary")
     base = hints(profile(d), first_distinct(d)).join(names.select("side", "col_idx", "col_id", "original_name", "normalized_name"), KEYS)
     typed = base.withColumn("observed_type", types.observed_type()).withColumn("column_type", types.column_type())
     ordered = lambda fields: F.expr(f"transform(array_sort(collect_list(struct(rank, {fields}))), x -> named_struct({', '.join(f'{chr(39)}{f}{chr(39)}, x.{f}' for f in fields.split(', '))}))")
     top = top_values(d).groupBy(*KEYS).agg(ordered("value, cnt, ratio").alias("top_frequent"))
-    first = first_values(cells)
+    first = written(first_values(cells).coalesce(1), "first-values")  # k rows a column
     listed = first.groupBy(*KEYS).agg(ordered("value, folded").alias("first_values"))
     score = normalization_score(first).select(*KEYS, F.col("score").alias("normalization_score"), F.col("level").alias("normalization_level"))
     return typed.join(top, KEYS, "left").join(listed, KEYS, "left").join(score, KEYS, "left").withColumn("normalization_level", F.coalesce("normalization_level", F.lit("none")))
 
 
 def first_values(cells: DataFrame, k: int = 50) -> DataFrame:
-    """The first k values of each column in row order: (side, col_idx, rank, value, folded)."""
+    """The first k values of each column in row order: (side, col_idx, rank, value, folded).
+
+    A cell has a value exactly where its text is none of the null words; so the rank limit comes
+    first, in part before the shuffle, and only k cells of a column are normalized.
+    """
     rank = F.row_number().over(Window.partitionBy(*KEYS).orderBy("row_idx"))
-    some = V.with_cell(cells, "raw", "value").where(F.col("value").isNotNull())
-    return some.withColumn("rank", rank).where(F.col("rank") <= k).select(*KEYS, "rank", "value", F.lower(F.trim("value")).alias("folded"))
+    first = cells.where(V.has_value(F.col("raw"))).withColumn("rank", rank).where(F.col("rank") <= k)
+    return V.with_cell(first, "raw", "value").select(*KEYS, "rank", "value", F.lower(F.trim("value")).alias("folded"))
 
 
 def normalization_score(first: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def _r(name: str) -> Column:
 
 
 def observed_type(masked: str = "masked_run") -> Column:
-    """Type by value ratios of profile(); ordered thresholds."""
+    """Type by value ratios of profile(); order and thresholds are fixed values."""
     return (
         F.when(_r("currency") > 0.8, "currency").when(_r("datetime") > 0.72, "datetime").when(_r("date") > 0.75, "date").when(_r("drcr") > 0.8, "debit_credit")
         .when((_r("card") > 0.55) & (_r(masked) > 0.25), "masked_pan").when(_r("card") > 0.55, "card_number").when(_r("status") > 0.75, "status_code")
@@ -51,7 +51,7 @@ def observed_type(masked: str = "masked_run") -> Column:
 
 
 def column_type() -> Column:
-    """Type by header and values: ordered header rules, then observed_type()."""
+    """Type by header and values: header rules, then observed_type(); order, words and thresholds are fixed values."""
     h = lambda *terms: F.col("normalized_name").rlike("|".join(terms))
     observed = observed_type()
     return (
@@ -75,6 +75,12 @@ def compatibility(source: Column, target: Column) -> Column:
     return F.when(source == target, 100).when(hit, 72).when((source == "unknown") | (target == "unknown"), 40).otherwise(15).cast("double")
 
 
+def compatibility_reason(source: Column, target: Column) -> Column:
+    """What compatibility() says, in words (fixed texts)."""
+    score = compatibility(source, target)
+    return F.when(score == 100, "Inferred types are identical").when(score == 72, "Inferred financial types are compatible").when(score == 40, "One side has uncertain type inference").otherwise("Inferred types appear incompatible")
+
+
 def alignment(name: Column, kind: Column) -> Column:
     """How well a header's expected type fits the observed one."""
     expected = H.expected_type(name)

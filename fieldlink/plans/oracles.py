@@ -86,9 +86,18 @@ NOISY = """noisy AS (SELECT o_orderkey, CASE o_orderkey % 9 WHEN 0 THEN 'N/A' WH
   FROM (SELECT *, o_totalprice::DECIMAL(18,2)::VARCHAR AS p FROM orders))"""
 
 
+def _double(x: str) -> str:
+    """The shortest text of a double, its point moved by the exponent."""
+    v = f"abs({x})::VARCHAR"
+    whole, part = f"regexp_extract({v}, '^(\\d+)', 1)", f"regexp_extract({v}, '\\.(\\d+)', 1)"
+    digits, at = f"({whole} || {part})", f"(length({whole}) + coalesce(try_cast(regexp_extract({v}, 'e([-+]?\\d+)$', 1) AS INT), 0))"
+    moved = f"CASE WHEN {at} <= 0 THEN '0.' || repeat('0', -{at}) || rtrim({digits}, '0') WHEN {at} >= length({digits}) THEN {digits} || repeat('0', {at} - length({digits})) ELSE substr({digits}, 1, {at}) || '.' || rtrim(substr({digits}, {at} + 1), '0') END"
+    return f"CASE WHEN {x} < 0 THEN '-' ELSE '' END || CASE WHEN contains({v}, 'e') THEN {moved} ELSE regexp_replace({v}, '\\.0$', '') END"
+
+
 def _as_text(name: str, kind: str) -> str:
     if kind == "double":
-        return f"{name}::DECIMAL(38,2)::VARCHAR"
+        return _double(name)
     return f"CASE WHEN {name} = date_trunc('day', {name}) THEN strftime({name}, '%Y-%m-%d') ELSE strftime({name}, '%Y-%m-%d %H:%M:%S') END" if kind == "ts" else f"{name}::VARCHAR"
 
 
@@ -217,6 +226,17 @@ COLUMN_TYPE = """CASE WHEN regexp_matches(norm, 'debit|withdrawal|dr') THEN 'deb
  WHEN regexp_matches(norm, 'transaction|txn|trace|rrn|stan|identifier') THEN 'transaction_id' WHEN regexp_matches(norm, 'reference|ref') THEN 'reference_number' WHEN observed_type <> 'unknown' THEN observed_type WHEN r_spaced > 0.4 THEN 'narration_text' ELSE 'unknown' END"""
 
 
+def _moments(d: str, keys: str) -> str:
+    """(keys, n, mean, std) of a dictionary's numbers."""
+    numbers = f"SELECT {keys}, cnt, try_cast(value AS DOUBLE) AS x FROM {d} WHERE regexp_matches(value, '{NUMBER}')"
+    about = f"SELECT *, sum(x * cnt) OVER (PARTITION BY {keys}) / sum(cnt) OVER (PARTITION BY {keys}) AS mu FROM ({numbers})"
+    return f"SELECT {keys}, coalesce(n, 0) AS n, mean, std FROM (SELECT DISTINCT {keys} FROM {d}) LEFT JOIN (SELECT {keys}, sum(cnt) AS n, any_value(mu) AS mean, sqrt(sum(cnt * (x - mu) * (x - mu)) / sum(cnt)) AS std FROM ({about}) GROUP BY {keys}) USING ({keys})"
+
+
+def _numeric(a: str, b: str) -> str:
+    return f"CASE WHEN {a}.n < 5 OR {b}.n < 5 THEN 0 ELSE 1 - least(1, (abs({a}.mean - {b}.mean) + abs({a}.std - {b}.std)) / (2 * greatest(abs({a}.mean), abs({b}.mean), 1))) END"
+
+
 def _typed(d: str, names: str, out: str) -> str:
     """Common table expressions up to `out`: each column's ratios, types and header features. d: (side, col_idx, value, cnt); names: (side, col_idx, name)."""
     n = "sum(cnt) FILTER (WHERE value IS NOT NULL)"
@@ -235,7 +255,6 @@ def oracle_sql() -> dict[str, str]:
     share = lambda p: f"round(coalesce(sum(CASE WHEN {p} THEN cnt ELSE 0 END)::DOUBLE / sum(cnt) FILTER (WHERE value IS NOT NULL), 0), 6)"
     val = lambda p: f"regexp_matches(value, '{p}')"
     digits = "length(regexp_replace(v, '\\D', '', 'g'))"
-    stats = lambda d, x: f"SELECT col_idx AS {x}, coalesce(sum(cnt) FILTER (WHERE {val(NUMBER)}), 0) AS n, sum(CASE WHEN {val(NUMBER)} THEN value::DOUBLE * cnt END) / sum(cnt) FILTER (WHERE {val(NUMBER)}) AS mean, sum(CASE WHEN {val(NUMBER)} THEN value::DOUBLE * value::DOUBLE * cnt END) / sum(cnt) FILTER (WHERE {val(NUMBER)}) AS sq FROM {d} GROUP BY col_idx"
     return mapping_sql() | more_sql() | {
         "normalize_values": f"WITH {NOISY} SELECT o_orderkey, {_null_like(r)} AS null_like, {_compact(r)} AS compact, {_amount(r)} AS amount, {_text(r)} AS text, {_cell(r)} AS cell, {_stripped(r)} AS stripped, {_pan(r)} AS pan FROM noisy",
         "normalize_dates": f"WITH {NOISY} SELECT o_orderkey, {_date(r)} AS date, {_date_part(r)} AS date_part FROM noisy",
@@ -257,10 +276,12 @@ def oracle_sql() -> dict[str, str]:
  SELECT col_idx, rank, value, cnt FROM (SELECT *, row_number() OVER (PARTITION BY col_idx ORDER BY cnt DESC, first, value) AS rank FROM d WHERE value IS NOT NULL) WHERE rank <= 5""",
         "column_overlap": f"WITH {_over()} SELECT col_a, col_b, view, shared, size_a, size_b, round(shared::DOUBLE / size_a, 6) AS coverage_a, round(shared::DOUBLE / size_b, 6) AS coverage_b, round(shared::DOUBLE / (size_a + size_b - shared), 6) AS jaccard, round(shared::DOUBLE / least(size_a, size_b), 6) AS overlap_ratio FROM o",
         "best_target": f"WITH {_over()} SELECT col_a, col_b, round(shared::DOUBLE / size_a, 6) AS coverage FROM o WHERE view = 'raw' QUALIFY row_number() OVER (PARTITION BY col_a ORDER BY shared::DOUBLE / size_a DESC, shared::DOUBLE / size_b DESC, col_b) = 1",
-        "numeric_similarity": f"WITH {_dict('customer', 'da')}, {_dict('supplier', 'db')}, a AS ({stats('da', 'col_a')}), b AS ({stats('db', 'col_b')}) SELECT col_a, col_b, round(CASE WHEN a.n < 5 OR b.n < 5 THEN 0 ELSE 1 - least(1, (abs(a.mean - b.mean) + abs(sqrt(greatest(a.sq - a.mean * a.mean, 0)) - sqrt(greatest(b.sq - b.mean * b.mean, 0)))) / (2 * greatest(abs(a.mean), abs(b.mean), 1))) END, 5)::DOUBLE AS \"numeric\" FROM a, b",
+        "numeric_similarity": f"WITH {_dict('customer', 'da')}, {_dict('supplier', 'db')}, a AS ({_moments('da', 'col_idx')}), b AS ({_moments('db', 'col_idx')}) SELECT a.col_idx AS col_a, b.col_idx AS col_b, round({_numeric('a', 'b')}, 5)::DOUBLE AS \"numeric\" FROM a, b",
+        "numeric_spread": "SELECT col_idx, count(x) AS n, round(avg(x), 4) AS mean, round(stddev_pop(x - lo), 4) AS std FROM (SELECT *, min(x) OVER (PARTITION BY col_idx) AS lo FROM (SELECT 0 AS col_idx, (1000000000000 + o_orderkey)::DOUBLE AS x FROM orders UNION ALL SELECT 1, o_totalprice FROM orders UNION ALL SELECT 2, o_custkey::DOUBLE FROM orders)) GROUP BY col_idx",
+        "double_texts": f"SELECT l_orderkey, l_linenumber, {_double('(l_extendedprice * l_discount / 1e7)')} AS rate, {_double('(l_extendedprice * 1e36)')} AS large, {_double('(l_extendedprice / -3e0)')} AS third, {_double('(l_quantity / 1e308 / 1e12)')} AS tiny, {_double('l_tax')} AS tax FROM lineitem",
         "rows_equal": "SELECT 'a' AS a, 'b' AS b, 1.0::DOUBLE AS share UNION ALL SELECT 'a', 'c', round(avg(CASE WHEN o_orderkey % 10 = 0 THEN 0 ELSE 1 END)::DOUBLE, 6) FROM orders",
         "feedback_latest": "SELECT user_id AS source_id, event_type AS verdict, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
-        "preview": f"SELECT {_cell('k')} AS o_orderkey, {_cell('o_orderpriority')} AS o_orderpriority, {_cell('p')} AS o_totalprice FROM (SELECT o_orderkey::VARCHAR AS k, o_orderpriority, o_totalprice::DECIMAL(38,2)::VARCHAR AS p FROM orders ORDER BY o_orderkey LIMIT 10)",
+        "preview": f"SELECT {_cell('k')} AS o_orderkey, {_cell('o_orderpriority')} AS o_orderpriority, {_cell('p')} AS o_totalprice FROM (SELECT o_orderkey::VARCHAR AS k, o_orderpriority, {_double('o_totalprice')} AS p FROM orders ORDER BY o_orderkey LIMIT 10)",
         "row_and_column_counts": "SELECT count(*) AS row_count, 11::BIGINT AS column_count FROM lineitem",
     }
 
@@ -279,7 +300,7 @@ def _reconciliation() -> str:
     return f"src AS (SELECT *, o_orderkey AS k, o_totalprice::DECIMAL(18,2)::VARCHAR AS price FROM orders), cells AS ({cells}), names(side, col_idx, name) AS (VALUES {names})"
 
 
-NOTHING, WEAKER = "No accepted correlation found after strict validation", "Near-identical source column detected; weaker duplicate rejected"
+NOTHING, WEAKER, WEAKER_TARGET = "No accepted match found after strict validation", "Near-identical source column detected; weaker duplicate rejected", "Near-identical target column detected; weaker duplicate rejected"
 
 
 def _mapping() -> str:
@@ -343,7 +364,8 @@ sc AS (SELECT *, greatest(0, least(100, floor(rs * 48 + rt * 20 + tr * 18 + sem
 dc0 AS (SELECT *, CASE WHEN len(rsn) > 0 THEN rsn ELSE ['Evidence remains limited'] END AS reason, CASE WHEN confidence >= 80 THEN 'matched' WHEN confidence >= 40 THEN 'weak' ELSE 'unmatched' END AS status, {decision} AS decision, {why} AS why FROM sc),
 dc1 AS (SELECT *, decision LIKE 'ACCEPT%' AS accepted, row_number() OVER (PARTITION BY s ORDER BY confidence DESC, quick_rank) AS place, confidence - lead(confidence) OVER (PARTITION BY s ORDER BY confidence DESC, quick_rank) AS gap FROM dc0),
 dc AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY s ORDER BY accepted::INT DESC, confidence DESC, quick_rank) AS rank, coalesce(bool_or(place = 1 AND gap < 8) OVER (PARTITION BY s), false) OR sum(accepted::INT) OVER (PARTITION BY s) > 1 AS ambiguous FROM dc1),
-rv AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY t ORDER BY confidence + 0.4 * s_al DESC, list_position(['ACCEPT_EXACT', 'ACCEPT_EXACT_PARTIAL', 'ACCEPT_STRONG_DOMAIN_MATCH', 'ACCEPT_TRANSFORMED', 'ACCEPT_SEMANTIC'], decision), s) = 1 AS wins FROM dc WHERE accepted),
+rv AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY t ORDER BY confidence + 0.4 * s_al DESC, list_position(['ACCEPT_EXACT', 'ACCEPT_EXACT_PARTIAL', 'ACCEPT_STRONG_DOMAIN_MATCH', 'ACCEPT_TRANSFORMED', 'ACCEPT_SEMANTIC'], decision), s) = 1 AS wins,
+  min(list_position(['ACCEPT_EXACT', 'ACCEPT_EXACT_PARTIAL', 'ACCEPT_STRONG_DOMAIN_MATCH', 'ACCEPT_TRANSFORMED', 'ACCEPT_SEMANTIC'], decision) * 1000000000000 + s * 1000000 + place) OVER (PARTITION BY t) AS turn FROM dc WHERE accepted),
 ls AS (SELECT l.*, 'Weaker duplicate candidate for ' || l.t_name || '; ' || w.s_name || ' is the stronger business mapping' AS lost FROM rv l JOIN rv w ON w.t = l.t AND w.wins WHERE NOT l.wins),
 rj AS (SELECT s, t, confidence, CASE WHEN decision = 'UNMATCHED' THEN 'REJECT_WEAK' ELSE decision END AS decision, why, reason, rs, rt FROM dc WHERE NOT accepted UNION ALL SELECT s, t, confidence, 'REJECT_DUPLICATE', lost, reason, rs, rt FROM ls),
 dv AS (SELECT pr.s, pr.t, floor(date_s * 100 + 0.5)::BIGINT AS confidence FROM pr WHERE s_type IN {dates} AND t_type IN {dates} AND date_s >= 0.78 AND (regexp_matches(lower(t_name), '{DERIVED}') OR NOT EXISTS (FROM rv WHERE rv.s = pr.s AND rv.t = pr.t))),
@@ -352,10 +374,10 @@ rs0 AS (SELECT ck.col_idx AS s, ck.col_id AS source_id, ck.name AS source_name,
   coalesce(CASE WHEN lost IS NULL THEN bs.confidence END, 0) AS confidence, coalesce(CASE WHEN lost IS NULL THEN bs.status END, 'unmatched') AS status, coalesce(CASE WHEN lost IS NULL THEN {category.format('bs.decision')} END, 'unmatched') AS category,
   CASE WHEN bs.s IS NULL THEN 'UNMATCHED' WHEN lost IS NULL THEN bs.decision ELSE 'REJECT_DUPLICATE' END AS decision, CASE WHEN bs.s IS NULL THEN ['{NOTHING}'] WHEN lost IS NULL THEN bs.reason ELSE [lost] END AS reason, bs.header_score, bs.rs, bs.rt, bs.type_score FROM ck LEFT JOIN bs ON bs.s = ck.col_idx WHERE side = 'A'),
 res AS MATERIALIZED (SELECT rs0.*, coalesce((SELECT list(t_id ORDER BY place)[1:3] FROM dc WHERE dc.s = rs0.s AND dc.t IS DISTINCT FROM rs0.best), []) AS alternatives, coalesce((SELECT bool_or(ambiguous) FROM dc WHERE dc.s = rs0.s), false) AS ambiguous FROM rs0),
-um AS (SELECT source_id, source_name, decision, confidence, rejection_reason FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY o, tt) AS nth FROM (
+um AS (SELECT source_id, source_name, decision, confidence, rejection_reason FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY o, tt DESC) AS nth FROM (
   SELECT source_id, source_name, 'UNMATCHED' AS decision, 0 AS confidence, '{NOTHING}' AS rejection_reason, 1 AS o, 0 AS tt FROM res WHERE decision = 'UNMATCHED'
   UNION ALL SELECT col_id, name, 'REJECT_DUPLICATE', 0, '{WEAKER}', 2, 0 FROM dups JOIN ck USING (side, col_idx) WHERE side = 'A'
-  UNION ALL SELECT s_id, s_name, 'REJECT_DUPLICATE', confidence, lost, 3, t FROM ls WHERE NOT EXISTS (FROM rv WHERE rv.s = ls.s AND rv.wins))) WHERE nth = 1),
+  UNION ALL SELECT s_id, s_name, 'REJECT_DUPLICATE', confidence, lost, 3, turn FROM ls WHERE NOT EXISTS (FROM rv WHERE rv.s = ls.s AND rv.wins))) WHERE nth = 1),
 over_ AS (SELECT source_id, CASE WHEN s % 4 = 0 THEN 'B_1' END AS override_id FROM res WHERE (s + 1) % 4 < 2)"""
 
 
@@ -365,7 +387,7 @@ def mapping_sql() -> dict[str, str]:
         "schema_check": "SELECT side, col_idx::INT AS col_idx, observed_type, column_type, expected_type, trust, shifted, alignment FROM ck",
         "schema_warnings": """SELECT side, 'HEADER_VALUE_INCONSISTENT' AS code, 'warning' AS severity, 'Header ' || name || ' is inconsistent with observed values' AS message, col_id AS affected FROM ck WHERE low
  UNION ALL SELECT side, 'SCHEMA_SHIFT_SUSPECTED', 'critical', 'Multiple adjacent header/value mismatches indicate possible schema shift', string_agg(col_id, ',' ORDER BY col_idx) FROM ck WHERE low AND shifted GROUP BY side""",
-        "duplicate_columns": "SELECT side, col_idx::INT AS col_idx, canonical_idx::INT AS canonical_idx FROM dups",
+        "duplicate_columns": f"SELECT d.side, d.col_idx::INT AS col_idx, x.col_id, x.name AS original_name, canonical_idx::INT AS canonical_idx, y.col_id AS canonical_id, y.name AS canonical_name, CASE WHEN d.side = 'A' THEN '{WEAKER}' ELSE '{WEAKER_TARGET}' END AS reason FROM dups d JOIN ck x ON x.side = d.side AND x.col_idx = d.col_idx JOIN ck y ON y.side = d.side AND y.col_idx = canonical_idx",
         "candidates": "SELECT s AS s_col_idx, t AS t_col_idx, round(quick, 6) AS quick_score, quick_rank::INT AS quick_rank, plausibility, type_score, header_score FROM short WHERE quick_rank <= 7",
         "decisions": "SELECT s AS s_col_idx, t AS t_col_idx, decision, confidence, status, rank::INT AS rank, ambiguous, array_to_string(reason, ' | ') AS reason FROM dc",
         "rejected_pairs": "SELECT s AS s_col_idx, t AS t_col_idx, CASE WHEN decision = 'REJECT_DUPLICATE' THEN 'duplicate_or_suspicious' ELSE 'rejected' END AS category, decision, confidence, CASE WHEN decision = 'REJECT_DUPLICATE' THEN 100 ELSE 0 END AS duplicate_penalty, why AS rejection_reason, array_to_string(reason, ' | ') AS reason, round(rs, 4) AS source_coverage, round(rt, 4) AS target_coverage FROM rj",
@@ -381,13 +403,13 @@ def mapping_sql() -> dict[str, str]:
         "explanations": "SELECT source_id, CASE WHEN target_id IS NULL THEN 'No confident candidate was found.' ELSE 'Header score ' || header_score::BIGINT || ', Value score ' || floor((rs * 70 + rt * 30) * 100 + 0.5)::BIGINT || ', Type score ' || type_score::BIGINT || ', Total score ' || confidence || '. Reasons: ' || array_to_string(reason, '; ') END AS explanation FROM res",
         "accepted_results": "SELECT source_id, target_id, category FROM res WHERE category IN ('exact', 'transformed', 'semantic')",
         "overridden_targets": "SELECT res.source_id, CASE WHEN o.source_id IS NOT NULL AND o.override_id IS NULL THEN 'Unmatched (manual)' WHEN o.source_id IS NOT NULL THEN coalesce(ck.name, o.override_id) ELSE coalesce(target_name, '-') END AS effective_target FROM res LEFT JOIN over_ o USING (source_id) LEFT JOIN ck ON ck.col_id = o.override_id",
-        "feedback_entries": "SELECT res.source_id, CASE WHEN o.source_id IS NOT NULL THEN o.override_id ELSE target_id END AS target_id, 'correct' AS verdict FROM res LEFT JOIN over_ o USING (source_id)",
+        "feedback_entries": "SELECT res.source_id, CASE WHEN o.source_id IS NOT NULL THEN o.override_id ELSE target_id END AS target_id, 'correct' AS verdict, TIMESTAMP '2026-01-01 00:00:00' AS updated_at FROM res LEFT JOIN over_ o USING (source_id)",
     }
     return {name: f"WITH RECURSIVE {_mapping()} {final}" for name, final in finals.items()}
 
 
 def more_sql() -> dict[str, str]:
-    events = "SELECT 0 AS col_idx, event_id AS k, event_id::VARCHAR AS raw FROM events UNION ALL SELECT 1, event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') FROM events UNION ALL SELECT 2, event_id, user_id::VARCHAR FROM events UNION ALL SELECT 3, event_id, event_type FROM events UNION ALL SELECT 4, event_id, value::DECIMAL(38,2)::VARCHAR FROM events UNION ALL SELECT 5, event_id, props FROM events"
+    events = f"SELECT 0 AS col_idx, event_id AS k, event_id::VARCHAR AS raw FROM events UNION ALL SELECT 1, event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') FROM events UNION ALL SELECT 2, event_id, user_id::VARCHAR FROM events UNION ALL SELECT 3, event_id, event_type FROM events UNION ALL SELECT 4, event_id, {_double('value')} FROM events UNION ALL SELECT 5, event_id, props FROM events"
     noisy = "SELECT 0 AS col_idx, o_orderkey AS k, o_orderkey::VARCHAR AS raw FROM noisy UNION ALL SELECT 1, o_orderkey, raw FROM noisy"
     values = lambda cells: f"v AS MATERIALIZED (SELECT col_idx, k, value FROM ({cells}) JOIN (SELECT DISTINCT raw, {_cell('raw')} AS value FROM ({cells})) USING (raw))"
     hints = f"""dv AS (SELECT col_idx, value, count(*) AS cnt, min(k) AS first FROM v WHERE value IS NOT NULL GROUP BY ALL), tot AS (SELECT col_idx, count(*) AS n, count(value) AS nv, count(DISTINCT value) AS nd FROM v GROUP BY col_idx),
@@ -403,8 +425,9 @@ def more_sql() -> dict[str, str]:
     why = f"CASE WHEN x.norm = '' OR y.norm = '' THEN 'Header missing on one side' ELSE concat_ws('; ', CASE WHEN x.norm = y.norm THEN 'Normalized headers match exactly' END, CASE WHEN {_jaccard('x.toks', 'y.toks')} > 0.35 THEN 'Meaningful header token overlap detected' END, CASE WHEN {_jaccard('x.grps', 'y.grps')} > 0 THEN 'Financial synonym groups overlap' END) END"
     both = "dd AS MATERIALIZED (SELECT 'A' AS side, * FROM da UNION ALL SELECT 'B', * FROM db)"
     names = ", ".join(f"('{s}', {i}, '{c.split(':')[0]}')" for s, t in (("A", "customer"), ("B", "supplier")) for i, c in enumerate(TABLES[t]))
-    stat = f"st AS (SELECT side, col_idx, coalesce(sum(cnt) FILTER (WHERE regexp_matches(value, '{NUMBER}')), 0) AS n, sum(CASE WHEN regexp_matches(value, '{NUMBER}') THEN value::DOUBLE * cnt END) / sum(cnt) FILTER (WHERE regexp_matches(value, '{NUMBER}')) AS mean, sum(CASE WHEN regexp_matches(value, '{NUMBER}') THEN value::DOUBLE * value::DOUBLE * cnt END) / sum(cnt) FILTER (WHERE regexp_matches(value, '{NUMBER}')) AS sq, count(value) AS nd FROM dd GROUP BY ALL)"
-    numeric = "CASE WHEN p.n < 5 OR q.n < 5 THEN 0 ELSE 1 - least(1, (abs(p.mean - q.mean) + abs(sqrt(greatest(p.sq - p.mean * p.mean, 0)) - sqrt(greatest(q.sq - q.mean * q.mean, 0)))) / (2 * greatest(abs(p.mean), abs(q.mean), 1))) END"
+    stat = f"st AS (SELECT * FROM ({_moments('dd', 'side, col_idx')}) JOIN (SELECT side, col_idx, count(value) AS nd FROM dd GROUP BY ALL) USING (side, col_idx))"
+    reasons = "concat_ws('; ', CASE WHEN o > 0.8 THEN 'High normalized value overlap' WHEN o > 0.45 THEN 'Partial value overlap found' END, CASE WHEN nm > 0.65 THEN 'Numeric distribution appears aligned' END, CASE WHEN px > 0.5 THEN 'Common value prefix/suffix patterns detected' END, CASE WHEN few THEN 'Low distinct value volume; confidence reduced' END)"
+    kinds = "CASE type_score WHEN 100 THEN 'Inferred types are identical' WHEN 72 THEN 'Inferred financial types are compatible' WHEN 40 THEN 'One side has uncertain type inference' ELSE 'Inferred types appear incompatible' END"
     return {
         "pattern_hints": f"WITH {values(events)}, {hints} SELECT col_idx, coalesce(sample, '') AS sample, hints FROM hn",
         "normalization_score": f"WITH {NOISY}, {values(noisy)}, {score} SELECT col_idx, round(format_difference, 6) AS format_difference, round(mixed_type, 6) AS mixed_type, round(dirty_value, 6) AS dirty_value, round(score, 6) AS score, level FROM nl",
@@ -415,8 +438,8 @@ def more_sql() -> dict[str, str]:
         "value_similarity": f"""WITH {_dict('customer', 'da')}, {_dict('supplier', 'db')}, {both}, pn(side, col_idx, name) AS (VALUES {names}), {_typed('dd', 'pn', 'ty')}, {stat},
  sg AS (SELECT DISTINCT side, col_idx, value, substr(value, 1, 3) AS pre FROM dd WHERE value IS NOT NULL), pre AS (SELECT DISTINCT side, col_idx, pre FROM sg), np AS (SELECT side, col_idx, count(*) AS n FROM pre GROUP BY ALL),
  sv AS (SELECT x.col_idx AS a, y.col_idx AS b, count(*) AS c FROM sg x JOIN sg y ON x.value = y.value AND x.side = 'A' AND y.side = 'B' GROUP BY ALL), sp AS (SELECT x.col_idx AS a, y.col_idx AS b, count(*) AS c FROM pre x JOIN pre y ON x.pre = y.pre AND x.side = 'A' AND y.side = 'B' GROUP BY ALL),
- w AS (SELECT p.col_idx AS col_a, q.col_idx AS col_b, least(100, floor((coalesce(sv.c::DOUBLE / least(p.nd, q.nd), 0) * 45 + coalesce(sv.c::DOUBLE / (p.nd + q.nd - sv.c), 0) * 25 + coalesce(sp.c::DOUBLE / (np.n + nq.n - sp.c), 0) * 10 + ({numeric}) * 20) * CASE WHEN p.nd < 5 OR q.nd < 5 THEN 0.85 ELSE 1 END + 0.5))::DOUBLE AS value_score
-   FROM (FROM st WHERE side = 'A') p CROSS JOIN (FROM st WHERE side = 'B') q JOIN np ON np.side = 'A' AND np.col_idx = p.col_idx JOIN np nq ON nq.side = 'B' AND nq.col_idx = q.col_idx LEFT JOIN sv ON sv.a = p.col_idx AND sv.b = q.col_idx LEFT JOIN sp ON sp.a = p.col_idx AND sp.b = q.col_idx)
- SELECT col_a, col_b, value_score, header_score, type_score, metadata_score, round(0.30 * header_score + 0.45 * value_score + 0.20 * type_score + 0.05 * metadata_score, 6)::DOUBLE AS weighted_total FROM (SELECT w.*, {_header_score('s', 't')} AS header_score, {_compatible('s.observed_type', 't.observed_type')} AS type_score, floor((1 - abs(s.null_ratio - t.null_ratio)) * 100 + 0.5)::BIGINT AS metadata_score
+ w AS (SELECT *, least(100, floor((o * 45 + j * 25 + px * 10 + nm * 20) * CASE WHEN few THEN 0.85 ELSE 1 END + 0.5))::DOUBLE AS value_score, {reasons} AS value_reasons FROM (SELECT p.col_idx AS col_a, q.col_idx AS col_b, coalesce(sv.c::DOUBLE / least(p.nd, q.nd), 0) AS o, coalesce(sv.c::DOUBLE / (p.nd + q.nd - sv.c), 0) AS j, coalesce(sp.c::DOUBLE / (np.n + nq.n - sp.c), 0) AS px, {_numeric('p', 'q')} AS nm, p.nd < 5 OR q.nd < 5 AS few
+   FROM (FROM st WHERE side = 'A') p CROSS JOIN (FROM st WHERE side = 'B') q JOIN np ON np.side = 'A' AND np.col_idx = p.col_idx JOIN np nq ON nq.side = 'B' AND nq.col_idx = q.col_idx LEFT JOIN sv ON sv.a = p.col_idx AND sv.b = q.col_idx LEFT JOIN sp ON sp.a = p.col_idx AND sp.b = q.col_idx))
+ SELECT col_a, col_b, value_score, value_reasons, {kinds} AS type_reason, header_score, type_score, metadata_score, round(0.30 * header_score + 0.45 * value_score + 0.20 * type_score + 0.05 * metadata_score, 6)::DOUBLE AS weighted_total FROM (SELECT w.*, {_header_score('s', 't')} AS header_score, {_compatible('s.observed_type', 't.observed_type')} AS type_score, floor((1 - abs(s.null_ratio - t.null_ratio)) * 100 + 0.5)::BIGINT AS metadata_score
   FROM w JOIN ty s ON s.side = 'A' AND s.col_idx = col_a JOIN ty t ON t.side = 'B' AND t.col_idx = col_b)""",
     }

@@ -137,6 +137,20 @@ def numeric_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.numeric_similarity(n.where("side = 'A'"), n.where("side = 'B'")).select("col_a", "col_b", F.round("numeric", 5).alias("numeric"))
 
 
+def numeric_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moments of large numbers close together, of prices and of small ones."""
+    o = table(spark, sf_dir, "orders").select((F.col("o_orderkey") + 1_000_000_000_000).alias("id"), "o_totalprice", "o_custkey")
+    n = overlap.numbers(melt.dictionary(melt.melt(o, "A")))
+    return n.select("col_idx", "n", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"))
+
+
+def double_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Doubles below a cent, above 10^38, of 16 and more digits and subnormal ones as text."""
+    x = F.col("l_extendedprice")
+    numbers = {"rate": x * F.col("l_discount") / F.lit(1e7), "large": x * F.lit(1e36), "third": x / F.lit(-3.0), "tiny": F.col("l_quantity") / F.lit(1e308) / F.lit(1e12), "tax": F.col("l_tax")}
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *(melt.double_text(c).alias(name) for name, c in numbers.items()))
+
+
 def value_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of customer and supplier, with headers, observed types and null ratios in the weighted total."""
     a, b = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
@@ -146,7 +160,8 @@ def value_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     checked = written(types.checked(melt.columns(a, "A").unionByName(melt.columns(b, "B")).join(profile.profile(d), ["side", "col_idx"], "left")), "columns")
     wide = match.pairs(checked, overlap.overlaps(s), spark.createDataFrame([], "side string, col_idx int"))
     whole = scores.withColumnRenamed("score", "value_score").join(wide, (F.col("col_a") == F.col("s_col_idx")) & (F.col("col_b") == F.col("t_col_idx"))).withColumn("metadata_score", match.metadata_score())
-    return match.weighted_total(whole).select("col_a", "col_b", "value_score", "header_score", "type_score", F.col("metadata_score").cast("long").alias("metadata_score"), F.round("weighted_total", 6).alias("weighted_total"))
+    kinds = types.compatibility_reason(F.col("s_observed_type"), F.col("t_observed_type"))
+    return match.weighted_total(whole).select("col_a", "col_b", "value_score", F.array_join("reasons", "; ").alias("value_reasons"), kinds.alias("type_reason"), "header_score", "type_score", F.col("metadata_score").cast("long").alias("metadata_score"), F.round("weighted_total", 6).alias("weighted_total"))
 
 
 def rows_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,12 +234,12 @@ MAPPED = {
     "explanations": lambda c: review.explained(c.results),
     "accepted_results": lambda c: review.filtered(c.results, "accepted").select("source_id", "target_id", "category"),
     "overridden_targets": lambda c: review.effective_target(c.results, _overrides(c), c.columns.where("side = 'B'")).select("source_id", "effective_target"),
-    "feedback_entries": lambda c: review.feedback_rows(c.results.select("source_id", F.lit("correct").alias("verdict"), F.lit("2026-01-01").cast("timestamp").alias("updated_at")), c.results, _overrides(c)).select("source_id", "target_id", "verdict"),
+    "feedback_entries": lambda c: review.feedback_rows(c.results.select("source_id", F.lit("correct").alias("verdict"), F.lit("2026-01-01").cast("timestamp_ntz").alias("updated_at")), c.results, _overrides(c)).select("source_id", "target_id", "verdict", "updated_at"),
 }
 
 
 def queries() -> dict:
-    own = [best_target, normalize_values, normalize_dates, value_tokens, value_classes, type_predicates, header_normalize, header_similarity, column_profile, profile_records, top_values, pattern_hints, normalization_score, column_overlap, numeric_similarity, value_similarity, rows_equal, feedback_latest, preview, row_and_column_counts]
+    own = [best_target, normalize_values, normalize_dates, value_tokens, value_classes, type_predicates, header_normalize, header_similarity, column_profile, profile_records, top_values, pattern_hints, normalization_score, column_overlap, numeric_similarity, numeric_spread, double_texts, value_similarity, rows_equal, feedback_latest, preview, row_and_column_counts]
     return {f.__name__: f for f in own} | {name: _mapped(part) for name, part in MAPPED.items()}
 
 

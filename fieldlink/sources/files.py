@@ -54,7 +54,11 @@ def preview(df: DataFrame, order: list[str], k: int = 10) -> DataFrame:
     """The first k rows, normalized."""
     from ..operators.melt import to_text
 
-    return df.orderBy(*order).limit(k).select(*(V.cell(to_text(F.col(f"`{f.name}`"), f.dataType)).alias(f.name) for f in df.schema))
+    first = df.orderBy(*order).limit(k)
+    rows = first.select(*(to_text(F.col(f"`{f.name}`"), f.dataType).alias(f"_p{i}") for i, f in enumerate(first.schema)))
+    for i in range(len(df.columns)):
+        rows = V.with_cell(rows, f"_p{i}", f"_p{i}")
+    return rows.select(*(F.col(f"_p{i}").alias(name) for i, name in enumerate(df.columns)))
 
 
 def export_rows(results: DataFrame) -> DataFrame:
