@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values as V
+from .melt import to_text
 
+#: Pairs that a task compares at once.
+PAIRS = 512
 VIEWS = ("raw", "date", "amount", "pan", "padded", "prefix", "token")
 
 
@@ -80,11 +85,41 @@ def value_similarity(over: DataFrame, numeric: DataFrame, sizes_: DataFrame, a:
     return full.select("col_a", "col_b", F.least(F.lit(100.0), F.floor(score + 0.5)).cast("double").alias("score"), reasons.alias("reasons"))
 
 
+def row_misses(df: DataFrame, pairs: list[tuple[int, int]], allowed: float | None = None) -> DataFrame:
+    """(a, b, misses, n): for each pair of columns (by place) the rows in which their normal values differ, null being null's equal, in one scan.
+
+    Cells go by as one long column, row after row, so plans don't grow with the columns and each
+    cell is normalized once. Tasks count all pairs at once and leave a pair that misses more than
+    `allowed` rows already; its count only says so then.
+    """
+    used = sorted({c for p in pairs for c in p})
+    fields = [df.schema[c] for c in used]
+    wide = df.select(*(to_text(F.col(f"`{f.name}`"), f.dataType).alias(str(i)) for i, f in enumerate(fields)))
+    cells = V.with_cell(wide.unpivot([], wide.columns, "_c", "_raw").select("_raw"), "_raw", "value")
+    a, b = (np.array([used.index(p[k]) for p in pairs], np.int64) for k in (0, 1))
+    c, most = len(used), allowed if allowed is not None else float("inf")
+
+    def run(batches):
+        misses, n, rest = np.zeros(len(a), np.int64), 0, pa.array([], pa.string())
+        alive = np.arange(len(a))
+        for batch in batches:
+            values = pa.concat_arrays([rest, batch.column("value").cast(pa.string())])
+            whole = len(values) // c * c
+            codes = values.slice(0, whole).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).reshape(-1, c)
+            rest, n = values.slice(whole), n + len(codes)
+            for at in range(0, len(alive), PAIRS):
+                some = alive[at : at + PAIRS]
+                misses[some] += (codes[:, a[some]] != codes[:, b[some]]).sum(0)
+            alive = alive[misses[alive] <= most]
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.arange(len(a)), misses, np.full(len(a), n))], names=["pair", "misses", "n"])
+
+    counted = cells.mapInArrow(run, "pair long, misses long, n long").groupBy("pair").agg(F.sum("misses").alias("misses"), F.sum("n").alias("n"))
+    named = df.sparkSession.createDataFrame([(i, x, y) for i, (x, y) in enumerate(pairs)], "pair long, a int, b int")
+    return named.join(counted, "pair", "left").select("a", "b", F.coalesce("misses", F.lit(0)).alias("misses"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def rows_equal(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """(a, b, share): share of rows in which two columns' normal values agree, null with null; one pass."""
-    cells = df
-    for name in dict.fromkeys(x for pair in pairs for x in pair):
-        cells = V.with_cell(cells.withColumn("_raw", F.col(f"`{name}`").cast("string")), "_raw", name)
-    same = lambda a, b: F.avg(F.col(f"`{a}`").eqNullSafe(F.col(f"`{b}`")).cast("double"))
-    wide = cells.agg(*(same(a, b).alias(f"_{i}") for i, (a, b) in enumerate(pairs)))
-    return wide.select(F.inline(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.coalesce(f"_{i}", F.lit(0.0)).alias("share")) for i, (a, b) in enumerate(pairs)))))
+    """(a, b, share): share of rows in which two columns' normal values agree, null with null; 0 without rows."""
+    places = {name: i for i, name in enumerate(df.columns)}
+    names = F.array(*map(F.lit, df.columns))
+    return row_misses(df, [(places[x], places[y]) for x, y in pairs]).select(F.get(names, F.col("a")).alias("a"), F.get(names, F.col("b")).alias("b"), F.coalesce(1 - F.try_divide("misses", "n"), F.lit(0.0)).alias("share"))

@@ -42,7 +42,7 @@ def map_columns(a: DataFrame, b: DataFrame) -> Mapping:
     profiled = columns.join(profile.profile(d), ["side", "col_idx"], "left").na.fill(0.0).na.fill(0)
     checked = written(types.checked(profiled).coalesce(1), "columns")
     over = written(overlap.overlaps(overlap.signatures(d, VIEWS)).coalesce(1), "overlaps")
-    near = duplicates.near_pairs(over, "B", duplicates.TARGET_LIMITS).unionByName(duplicates.near_pairs(over, "A", duplicates.SOURCE_LIMITS)).unionByName(equal_columns(a, checked))
+    near = duplicates.near_pairs(over, "B", duplicates.TARGET_LIMITS).unionByName(duplicates.near_pairs(over, "A", duplicates.SOURCE_LIMITS)).unionByName(equal_columns(a, checked, over))
     dups = written(duplicates.duplicates(duplicates.clusters(near.distinct()), checked).coalesce(1), "duplicates")
     all_ = written(match.pairs(checked, over, dups).coalesce(1), "pairs")
     decisions = written(match.decided(match.scored(match.shortlisted(all_))).coalesce(1), "decisions")
@@ -54,21 +54,24 @@ def map_columns(a: DataFrame, b: DataFrame) -> Mapping:
     return Mapping(d, columns, over, checked, types.warnings(checked), dups, all_, decisions, resolved, rejected, match.buckets(resolved), derived, results, unmatched, match.reverse_check(checked, results), match.summary(results, resolved, derived, rejected, unmatched))
 
 
-def equal_columns(a: DataFrame, checked: DataFrame, least: float = 0.999, chunk: int = 250) -> DataFrame:
-    """(side, a, b): columns of table A that agree row by row in a share of `least` rows.
+def equal_columns(a: DataFrame, checked: DataFrame, over: DataFrame, least: float = duplicates.SOURCE_LIMITS["raw"]) -> DataFrame:
+    """(side, a, b): columns of table A that agree row by row in a share of `least` rows, but for those that shared values make near already.
 
-    Such columns differ in at most (1 - least) of their rows: so do their numbers of
-    nulls and of distinct values, by which pairs are chosen from the profile. The pairs
-    left are counted in one pass for each `chunk` of them.
+    A value that only one of two such columns has costs a row at least; so the inverted index leaves pairs that
+    share all but a few distinct values, with about as many nulls. Those are counted in one
+    scan; the driver holds two numbers for each.
     """
     own = checked.where("side = 'A'").select("col_idx", "n_rows", "n_values", "n_distinct")
     x, y = (own.select(*(F.col(c).alias(f"{c}_{n}") for c in own.columns)) for n in "ab")
-    off = F.col("n_rows_a") * (1 - least)
-    alike = (F.abs(F.col("n_values_a") - F.col("n_values_b")) <= off) & (F.abs(F.col("n_distinct_a") - F.col("n_distinct_b")) <= 2 * off)
-    pairs = [(r[0], r[1]) for r in x.join(F.broadcast(y), (F.col("col_idx_a") < F.col("col_idx_b")) & alike).select("col_idx_a", "col_idx_b").orderBy("col_idx_a", "col_idx_b").collect()]
-    out = a.sparkSession.createDataFrame([], "side string, a int, b int")
-    texts = a.select(*(melt.to_text(F.col(f"`{f.name}`"), f.dataType).alias(str(i)) for i, f in enumerate(a.schema)))
-    for at in range(0, len(pairs), chunk):
-        shares = overlap.rows_equal(texts, [(str(p), str(q)) for p, q in pairs[at : at + chunk]])
-        out = out.unionByName(shares.where(F.col("share") >= least).select(F.lit("A").alias("side"), F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b")))
-    return out
+    inner = over.where("side_a = 'A' and side_b = 'A'")
+    held = inner.where("view = 'raw'").select(F.col("col_a").alias("col_idx_a"), F.col("col_b").alias("col_idx_b"), "shared")
+    done = duplicates.near_pairs(inner, "A", duplicates.SOURCE_LIMITS).select(F.col("a").alias("col_idx_a"), F.col("b").alias("col_idx_b"))
+    off, shared = F.col("n_rows_a") * (1 - least) + 1e-9, F.coalesce("shared", F.lit(0))
+    alike = (F.col("col_idx_a") < F.col("col_idx_b")) & (F.abs(F.col("n_values_a") - F.col("n_values_b")) <= off)
+    both = x.join(F.broadcast(y), alike).join(held, ["col_idx_a", "col_idx_b"], "left").where((F.col("n_distinct_a") - shared <= off) & (F.col("n_distinct_b") - shared <= off) & (F.col("n_rows_a") > 0))
+    rows = both.join(done, ["col_idx_a", "col_idx_b"], "left_anti").select("col_idx_a", "col_idx_b", "n_rows_a").collect()
+    if not rows:
+        return a.sparkSession.createDataFrame([], "side string, a int, b int")
+    pairs = sorted((r.col_idx_a, r.col_idx_b) for r in rows)
+    counted = overlap.row_misses(a, pairs, rows[0].n_rows_a * (1 - least) + 1e-9)
+    return counted.where(1 - F.try_divide("misses", "n") >= least).select(F.lit("A").alias("side"), "a", "b")

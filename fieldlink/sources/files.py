@@ -4,50 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import values as V
-
-DELIMITERS = [",", "\t", "|", ";"]
-
+from . import delimited
 
 def detect_delimiter(spark: SparkSession, path: str) -> str:
-    """The delimiter found most often in the first five lines; the earlier of equals."""
-    lines = spark.read.text(path).limit(5)
-    counts = lines.agg(*(F.coalesce(F.sum(F.length("value") - F.length(F.translate("value", d, ""))), F.lit(0)).alias(str(i)) for i, d in enumerate(DELIMITERS))).first()
-    return DELIMITERS[max(range(len(DELIMITERS)), key=lambda i: (counts[i], -i))]
+    """The delimiter found most often in the first five lines of a file, or of the first of several; the earlier of equals."""
+    return delimited.Source(spark, path).delimiters().orderBy("file").first().sep
 
 
-def read_text_table(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
-    """All cells as text; the first row names the columns if it has a cell with a value. Blank rows go; malformed files fail.
+def read_text_table(spark: SparkSession, path: str, delimiter: str | None = None, order: str | None = None) -> DataFrame:
+    """All cells as text; the first row of each file names the columns if it has a cell with a value. Blank rows go, short ones are filled up and long ones cut; broken quotes fail.
 
-    With a header a table is as wide as that; without one, as its longest row.
+    `order` names a further column with a row's place: by file, then by record, however files are split.
     """
-    from ..operators.melt import safe_names
-
-    sep = delimiter or detect_delimiter(spark, path)
-
-    def rows_of(width: int, mode: str) -> DataFrame:
-        schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
-        raw = spark.read.schema(schema).csv(path, sep=sep, header=False, quote='"', escape='"', multiLine=True, mode=mode)
-        return raw.where(F.concat_ws("", *(F.trim(F.coalesce(c, F.lit(""))) for c in raw.columns)) != "").withColumn("_row", F.monotonically_increasing_id())
-
-    width = len(spark.read.csv(path, sep=sep, quote='"', escape='"', multiLine=True).columns)
-    wide = rows_of(width, "PERMISSIVE")
-    cells = [c for c in wide.columns if c != "_row"]
-    first = wide.orderBy("_row").limit(1).select("_row", *(V.null_like(F.col(c)).alias(c) for c in cells)).first()
-    if first is not None and any(first[c] for c in cells):
-        names = [first[c] or f"Column_{i + 1}" for i, c in enumerate(cells)]
-        checked = rows_of(width, "FAILFAST") if width > 1 else wide
-        return checked.where(F.col("_row") > first["_row"]).drop("_row").toDF(*safe_names(names))
-    # no header: a row has at most one cell more than its line has delimiters
-    most = spark.read.text(path).agg(F.coalesce(F.max(F.length("value") - F.length(F.translate("value", sep, ""))), F.lit(0))).first()[0] + 1
-    every = rows_of(max(most, width), "PERMISSIVE")
-    cells = [c for c in every.columns if c != "_row"]
-    used = every.agg(*(F.count(c).alias(c) for c in cells)).first()
-    last = max((i for i, c in enumerate(cells) if used[c]), default=width - 1)
-    kept = cells[: max(width, last + 1)]
-    return every.select(*(F.col(c).alias(f"Column_{i + 1}") for i, c in enumerate(kept)))
+    return delimited.table(spark, path, delimiter, order)
 
 
 def preview(df: DataFrame, order: list[str], k: int = 10) -> DataFrame:

@@ -9,6 +9,7 @@ from fieldlink.operators import match, melt, overlap, profile, review
 from fieldlink.plans.mapping import map_columns
 from fieldlink.sources import files
 
+#: The pair whose answers are traced by hand (fixed values).
 FILE_A = """REPLACED_AMOUNT,PART_TRAN_TYPE,ACCOUNT_NUMBER,TRANSACTION_DATE_TIME,RRN,OTHER_SOURCE
 1200.00,2026-03-01 10:10:00,1200.00,1234567811111111,amazon marketplace payment,alpha
 35.90,2026-03-02 11:20:00,35.90,4567123499992222,coffee bean cafe purchase,beta
@@ -85,7 +86,7 @@ def test_exports_and_explanations(pair, spark, tmp_path):
     back = spark.read.csv(f"file://{tmp_path}/csv", header=True, quote='"', escape='"')
     assert back.columns == ["sourceColumnId", "sourceColumnName", "sourceObservedType", "mappingCategory", "finalMappingDecision", "targetColumnId", "targetColumnName", "targetObservedType", "confidence", "status", "reason"]
     got = {r.sourceColumnId: r for r in back.collect()}
-    assert (got["A_6"].targetObservedType, got["A_6"].confidence, got["A_6"].reason) == ("unknown", "0", "No accepted correlation found after strict validation")
+    assert (got["A_6"].targetObservedType, got["A_6"].confidence, got["A_6"].reason) == ("unknown", "0", "No accepted match found after strict validation")
     files.write_json(pair.results, f"file://{tmp_path}/json")
     lines = [json.loads(x) for p in (tmp_path / "json").glob("part-*") for x in p.read_text().splitlines()]
     assert {x["source_id"] for x in lines} == {f"A_{i}" for i in range(1, 7)}
