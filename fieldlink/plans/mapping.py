@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import duplicates, match, melt, overlap, profile, types
-from ..sources.shared import written
+from ..sources.shared import small, written
 
 #: Views of values that the mapping compares.
 VIEWS = ("raw", "date", "amount", "pan", "padded", "token")
@@ -40,16 +40,16 @@ def map_columns(a: DataFrame, b: DataFrame) -> Mapping:
     d = written(melt.dictionary(melt.melt(a, "A").unionByName(melt.melt(b, "B"))), "dictionary")
     columns = melt.columns(a, "A").unionByName(melt.columns(b, "B"))
     profiled = columns.join(profile.profile(d), ["side", "col_idx"], "left").na.fill(0.0).na.fill(0)
-    checked = written(types.checked(profiled).coalesce(1), "columns")
-    over = written(overlap.overlaps(overlap.signatures(d, VIEWS)).coalesce(1), "overlaps")
+    checked = small(types.checked(profiled), "columns")
+    over = small(overlap.overlaps(overlap.signatures(d, VIEWS)), "overlaps")
     near = duplicates.near_pairs(over, "B", duplicates.TARGET_LIMITS).unionByName(duplicates.near_pairs(over, "A", duplicates.SOURCE_LIMITS)).unionByName(equal_columns(a, checked, over))
-    dups = written(duplicates.duplicates(duplicates.clusters(near.distinct()), checked).coalesce(1), "duplicates")
-    all_ = written(match.pairs(checked, over, dups).coalesce(1), "pairs")
-    decisions = written(match.decided(match.scored(match.shortlisted(all_))).coalesce(1), "decisions")
-    resolved = written(match.resolved(decisions).coalesce(1), "resolved")
+    dups = small(duplicates.duplicates(duplicates.clusters(near.distinct()), checked), "duplicates")
+    all_ = small(match.pairs(checked, over, dups), "pairs")
+    decisions = small(match.decided(match.scored(match.shortlisted(all_))), "decisions")
+    resolved = small(match.resolved(decisions), "resolved")
     rejected = match.rejected(decisions, resolved)
     derived = match.derived(all_, decisions)
-    results = written(match.results(checked, decisions, resolved).coalesce(1), "results")
+    results = small(match.results(checked, decisions, resolved), "results")
     unmatched = match.unmatched(results, dups, resolved, checked)
     return Mapping(d, columns, over, checked, types.warnings(checked), dups, all_, decisions, resolved, rejected, match.buckets(resolved), derived, results, unmatched, match.reverse_check(checked, results), match.summary(results, resolved, derived, rejected, unmatched))
 

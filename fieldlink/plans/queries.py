@@ -183,14 +183,19 @@ def reconciliation(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 
 
 @functools.lru_cache(maxsize=4)
-def _mapping(application: str, sf_dir: str):
-    """The mapping of the reconciliation pair, made once for the queries of a session that read parts of it."""
+def _mapping(application: str, sf_dir: str, files: tuple):
+    """The mapping of the reconciliation pair, made once for the queries of a session that read parts of it as long as the files stay as they are."""
     return map_columns(*reconciliation(SparkSession.getActiveSession(), sf_dir))
 
 
+def _stamp(df: DataFrame) -> tuple:
+    """The files of a table, with sizes and times of change."""
+    return tuple(sorted(tuple(r) for r in df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct().collect()))
+
+
 def _mapped(part):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return part(_mapping(spark.sparkContext.applicationId, sf_dir))
+        return part(_mapping(spark.sparkContext.applicationId, sf_dir, _stamp(table(spark, sf_dir, "orders"))))
 
     return query
 

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 @functools.lru_cache(maxsize=1)
@@ -24,6 +25,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _nullable(kind: T.DataType) -> T.DataType:
+    """The type with nulls allowed everywhere, as rows read back have it."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _nullable(f.dataType), True) for f in kind])
+    return T.ArrayType(_nullable(kind.elementType), True) if isinstance(kind, T.ArrayType) else kind
+
+
+#: Rows that small() keeps in the plan.
+SMALL = 50_000
+
+
+def small(df: DataFrame, name: str) -> DataFrame:
+    """df computed once: as rows within later plans if they are at most SMALL, else as a table of its own. For frames of a row a column or pair of columns."""
+    df = df.to(_nullable(df.schema))
+    rows = df.coalesce(1).limit(SMALL + 1).toArrow()
+    return written(df, name) if rows.num_rows > SMALL else df.sparkSession.createDataFrame(rows, schema=df.schema)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table of its own: computed once, and later plans start from it."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
