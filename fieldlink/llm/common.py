@@ -7,10 +7,9 @@ slices of bounded bytes, so a worker's memory doesn't follow the batch size.
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import ctypes
-import functools
 import itertools
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable
 
@@ -20,39 +19,27 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 SLICE_BYTES = 2 << 20
 #: Control and private characters, rare in text.
 MARKS = [chr(c) for c in [*range(1, 9), *range(0xE000, 0xE100)]]
 
 
-@functools.lru_cache(maxsize=1)
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="spark-shared-")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only on one machine (a local master) an own one is made where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = _own_folder()
-    return found.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-_scopes: list[list[str]] = []
+#: Tables written in the scopes that are open in this context, so in this thread.
+_scopes: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("scopes", default=())
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: computed once, lineage cut, safe when executors go. Inside scratch() it goes when that ends."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    if _scopes:
-        _scopes[-1].append(path)
+    if _scopes.get():
+        _scopes.get()[-1].append(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._written_at = path
     return table
@@ -62,21 +49,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def scratch(spark: SparkSession):
     """Tables written inside are deleted at the end, but for those that the yielded function was given."""
     paths: list[str] = []
-    _scopes.append(paths)
+    outer = _scopes.get()
+    token = _scopes.set((*outer, paths))
 
     def keep(df: DataFrame) -> DataFrame:
         paths.remove(df._written_at)
-        if len(_scopes) > 1:
-            _scopes[-2].append(df._written_at)
+        if outer:
+            outer[-1].append(df._written_at)
         return df
 
     try:
         yield keep
     finally:
-        _scopes.pop()
-        for p in paths:
-            path = spark._jvm.org.apache.hadoop.fs.Path(p)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _scopes.reset(token)
+        deleted(spark, paths)
+
+
+def deleted(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Deletes tables by their paths."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cleared(df: DataFrame, added: Iterable[str]) -> DataFrame:
@@ -130,9 +123,9 @@ def hash_share(df: DataFrame, key: str, most: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 20)) < int(most / n * (1 << 20)))
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES):
-    """Parts of the batch of about `most` bytes of text; a longer text is a part of its own."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+def slices(batch: pa.RecordBatch, *columns: str, most: int = SLICE_BYTES):
+    """Parts of the batch of about `most` bytes of text in all columns; a row of more is a part of its own."""
+    sizes = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
     total, start = np.cumsum(sizes), 0
     while start < len(sizes):
         before = total[start - 1] if start else 0

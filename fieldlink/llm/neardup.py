@@ -44,7 +44,9 @@ BANDS, ROWS = 24, 7
 MISS = 1e-4
 #: A bucket's pairs between components are listed if they are up to this many times its members; else its members meet in blocks.
 EASY = 8
-BLOCK = 128
+BLOCK, BLOCK_BYTES = 128, 2 << 20
+#: Shares of the table by which elements are ordered, rare ones first (a number each comes to the driver).
+SHARES = 1 << 20
 #: Up to so many ids (8 bytes each) are broadcast.
 BROADCAST_IDS = 200_000
 BATCH = 24
@@ -165,7 +167,7 @@ def confirmed(pairs: DataFrame, shingle: int, threshold: tuple[int, int]) -> Dat
 
     def run(batches):
         for part in batches:
-            for s in common.slices(part, "text_a"):
+            for s in common.slices(part, "text_a", "text_b"):
                 sets = [distinct_sets(*shingle_hashes(s.column(c), shingle)) for c in ("text_a", "text_b")]
                 (x, nx), (y, ny) = sets
                 doc = np.concatenate([np.repeat(np.arange(len(nx)), nx), np.repeat(np.arange(len(ny)), ny)])
@@ -230,13 +232,10 @@ class Search:
         self.shingle, self.threshold, self.miss = shingle, threshold, miss
         self.numbered = classes.select("id", F.col("n_shingles").alias("n"), "sig")
         self.docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-        known = self.docs.select("id").where("id is not null")
-        self.repeated = known.groupBy("id").count().where("count > 1").limit(1).count() > 0
 
     def texts(self, ids: DataFrame) -> DataFrame:
         """Few ids go to the texts, else the texts are dealt out by id."""
-        texts = self.docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
-        return common.written(texts.groupBy("id").agg(F.min("text").alias("text")) if self.repeated else texts, "texts")
+        return common.written(self.docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi"), "texts")
 
     @staticmethod
     def some(links: DataFrame) -> DataFrame | None:
@@ -265,9 +264,9 @@ class Search:
         ids = common.written(hard.select("id").distinct(), "ids")
         if not ids.count():
             return final
-        elements = common.written(set_elements(self.texts(ids), self.shingle), "elements")
-        final, left = self.stars_and_rest(buckets(common.written(prefixes(elements, self.threshold), "prefixes")), final)
-        found = self.some(blocked(left, elements, self.threshold))
+        sets = common.written(sets_of(self.texts(ids), self.shingle), "sets")
+        final, left = self.stars_and_rest(buckets(common.written(prefixes(sets, self.threshold), "prefixes")), final)
+        found = self.some(blocked(left, sets, self.threshold))
         return final if found is None else joined(final, found)
 
 
@@ -312,44 +311,73 @@ def across(easy: DataFrame) -> DataFrame:
     return x.join(y, "key").where("_c <> _d and (_in or x < y)").select(*ordered("x", "y")).distinct()
 
 
-def set_elements(texts: DataFrame, shingle: int) -> DataFrame:
-    """(id, h): the distinct shingle hashes of each text of (id, text)."""
+def sets_of(texts: DataFrame, shingle: int) -> DataFrame:
+    """(id, size, s): the distinct shingle hashes of each text of (id, text), sorted, as bytes."""
 
     def run(batches):
         for batch in batches:
             for part in common.slices(batch, "text"):
                 h, n = distinct_sets(*shingle_hashes(part.column("text"), shingle))
-                ids = part.column("id").to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(h.view(np.int64))], names=["id", "h"])
+                ends = common.starts_of(n)
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n), pa.array([h[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:])], pa.binary())], names=["id", "size", "s"])
 
-    return texts.mapInArrow(run, "id long, h long")
+    return texts.mapInArrow(run, "id long, size long, s binary")
 
 
-def prefixes(elements: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+def times_of(sets: DataFrame) -> np.ndarray:
+    """How many elements of all sets fall into each of SHARES shares of the hashes."""
+
+    def run(batches):
+        total = np.zeros(SHARES, np.int64)
+        for batch in batches:
+            for s in batch.column("s").to_pylist():
+                np.add.at(total, np.frombuffer(s, np.uint64) % np.uint64(SHARES), 1)
+        share = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(share, pa.int32()), pa.array(total[share])], names=["share", "times"])
+
+    found = sets.mapInArrow(run, "share int, times long").groupBy("share").agg(F.sum("times").alias("times")).toArrow()
+    out = np.zeros(SHARES, np.int64)
+    out[found.column("share").to_numpy()] = found.column("times").to_numpy()
+    return out
+
+
+def prefixes(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """(id, key): the rarest elements of each set that two sets of the threshold's similarity must share one of.
 
     Of two sets so similar, at least share * n elements of each are in both; so the
     first n - ceil(share * n) + 1 of each in one order of all elements have one in
-    common. The order is by rarity, so what many texts have in common seldom counts.
+    common. The order is by how full an element's share of the hashes is, a table of fixed size, so what many texts have in
+    common seldom counts; an element alone in its share is in no other set.
     """
     per, of = threshold
-    rare = common.written(elements.groupBy("h").agg(F.count("*").alias("times")), "element-counts")
-    sets = elements.join(rare, "h").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("times", "h"))).alias("s"))
-    n = F.size("s")
-    first = F.slice("s", F.lit(1), (n - F.ceil(n * per / of) + 1).cast("int"))
-    return sets.select("id", F.explode(first).alias("e")).where("e.times > 1").select("id", F.col("e.h").alias("key"))
+    times = sets.sparkSession.sparkContext.broadcast(times_of(sets).astype(np.int32))
+
+    def run(batches):
+        for batch in batches:
+            ids, keys = [], []
+            for i, s in zip(batch.column("id").to_pylist(), batch.column("s").to_pylist()):
+                h = np.frombuffer(s, np.uint64)
+                often = times.value[h % np.uint64(SHARES)]
+                first = np.lexsort((h, often))[: len(h) - -(-len(h) * per // of) + 1]
+                keys.append(h[first[often[first] > 1]])
+                ids.append(np.full(len(keys[-1]), i, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*ids, np.zeros(0, np.int64)])), pa.array(np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64))], names=["id", "key"])
+
+    return sets.mapInArrow(run, "id long, key long")
 
 
-def blocked(hard: DataFrame, elements: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Links between components in large buckets, on full sets of 8 bytes an element: each two blocks of a bucket's members meet in a task, and only links leave it."""
+def blocked(hard: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Links between components in large buckets, on full sets: each two blocks of a bucket's members, of BLOCK sets and BLOCK_BYTES at most on average, meet in a task, and only links leave it."""
     per, of = threshold
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    sets = elements.groupBy("id").agg(F.collect_list("h").alias("s"))
-    own = hard.join(sets, "id").withColumn("_b", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    held = hard.join(sets.select("id", "size"), "id").groupBy("key").agg(F.count("*").alias("_sets"), (8 * F.sum("size")).alias("_bytes"))
+    many = held.select("key", F.ceil(F.greatest(F.col("_sets") / BLOCK, F.col("_bytes") / BLOCK_BYTES)).cast("int").alias("_blocks"))
+    placed = hard.select("key", "id", "component").join(many, "key").withColumn("_b", F.pmod(F.xxhash64("id"), "_blocks").cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    dealt = placed.select("key", "id", "component", F.least("_b", "_o").alias("_x"), F.greatest("_b", "_o").alias("_y")).join(sets.select("id", "s"), "id")
 
     def run(pdf):
-        n = np.array([len(s) for s in pdf["s"]], dtype=np.int64)
-        h, doc = np.concatenate(list(pdf["s"])), np.repeat(np.arange(len(n)), n)
+        sets_ = [np.frombuffer(s, np.uint64) for s in pdf["s"]]
+        n = np.array([len(s) for s in sets_], dtype=np.int64)
+        h, doc = np.concatenate(sets_), np.repeat(np.arange(len(n)), n)
         _, code, times = np.unique(h, return_inverse=True, return_counts=True)
         doc, code = doc[times[code] > 1], code[times[code] > 1]
         _, code = np.unique(code, return_inverse=True)
@@ -367,7 +395,6 @@ def blocked(hard: DataFrame, elements: DataFrame, threshold: tuple[int, int]) ->
         good = ids[x] < ids[y]
         return pd.DataFrame({"a": ids[x[good]], "b": ids[y[good]]})
 
-    dealt = own.select("key", "id", "component", "s", F.least("_b", "_o").alias("_x"), F.greatest("_b", "_o").alias("_y"))
     return dealt.groupBy("key", "_x", "_y").applyInPandas(run, "a long, b long").distinct()
 
 

@@ -199,7 +199,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int | None, doc_id: str = "d
             return out
 
         for batch in batches:
-            for part in common.slices(batch, "text", SLICE_BYTES):
+            for part in common.slices(batch, "text", most=SLICE_BYTES):
                 ids, lengths = own.texts(part.column("text"))
                 if end:
                     ids = np.insert(ids, np.cumsum(lengths), end[0])

@@ -177,7 +177,7 @@ def encode(docs: DataFrame, text: str = "text", model: str | None = None) -> Dat
     def run(batches):
         for batch in batches:
             own = codec(path)
-            for part in common.slices(batch, text, SLICE_BYTES):
+            for part in common.slices(batch, text, most=SLICE_BYTES):
                 ids, n = own.known.ids(*segments(part.column(text)))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), common.list_array(ids.astype(np.int32), n, pa.int32())], names=[*keep, "ids"])
 

@@ -108,7 +108,7 @@ def words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: in
 
     def run(batches):
         for batch in batches:
-            for part in common.slices(batch, "t", SLICE):
+            for part in common.slices(batch, "t", most=SLICE):
                 word, n = counted(part.column("i"), part.column("t"), least, modulus)
                 yield pa.RecordBatch.from_arrays([word, pa.array(n, pa.int64())], names=["word", "n"])
 

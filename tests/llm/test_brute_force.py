@@ -2,6 +2,7 @@
 
 import math
 import random
+from concurrent.futures import ThreadPoolExecutor
 import struct
 import zlib
 
@@ -98,10 +99,11 @@ def test_spans_of_whole_texts(spark):
 # op5
 
 
-@pytest.mark.parametrize("easy", [8, 0])
-def test_links_in_a_large_bucket_of_middling_similarity(spark, monkeypatch, easy):
-    """Texts of one template, at similarity 0.75 to each other, and near copies of some. With no bucket easy, all go on to shingles and blocks."""
+@pytest.mark.parametrize("easy,known", [(8, 200_000), (0, 200_000), (0, 0)])
+def test_links_in_a_large_bucket_of_middling_similarity(spark, monkeypatch, easy, known):
+    """Texts of one template, at similarity 0.75 to each other, and near copies of some. With no bucket easy, all go on to shingles and blocks; with no ids few, texts are dealt out by id."""
     monkeypatch.setattr(neardup, "EASY", easy)
+    monkeypatch.setattr(neardup, "BROADCAST_IDS", known)
     draw = random.Random(2)
     base = [f"w{i}" for i in range(300)]
     texts = []
@@ -122,12 +124,14 @@ def test_links_in_a_large_bucket_of_middling_similarity(spark, monkeypatch, easy
     assert got == dict(enumerate(root))
 
 
-def test_blocks_find_links(spark):
+@pytest.mark.parametrize("n_bytes", [2 << 20, 2000])
+def test_blocks_find_links(spark, monkeypatch, n_bytes):
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", n_bytes)
     base = [f"w{i}" for i in range(100)]
     rows = [(i, " ".join(base[:i] + ["x"] + base[i + 1 :]) if i else " ".join(base)) for i in range(0, 40, 4)]
     hard = spark.createDataFrame([(1, i, i, 300) for i, _ in rows], "key long, id long, component long, n long")
-    elements = neardup.set_elements(spark.createDataFrame(rows, "id long, text string"), 5)
-    got = {(r.a, r.b) for r in neardup.blocked(hard, elements, (85, 100)).collect()}
+    held = neardup.sets_of(spark.createDataFrame(rows, "id long, text string"), 5)
+    got = {(r.a, r.b) for r in neardup.blocked(hard, held, (85, 100)).collect()}
     sets = {i: {tuple(t.split()[k : k + 5]) for k in range(96)} for i, t in rows}
     assert got == {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
 
@@ -350,3 +354,26 @@ def test_scratch_tables_go(spark, tmp_path, monkeypatch):
     with common.scratch(spark) as keep:
         kept, gone = keep(common.written(docs, "kept")), common.written(docs, "gone")
     assert kept.count() == 9 and not list(tmp_path.glob("gone*")) and gone is not None
+
+
+def test_scratch_of_one_thread_keeps_off_another(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
+    with common.scratch(spark), ThreadPoolExecutor(1) as pool:
+        other = pool.submit(lambda: common.written(spark.range(3), "other")).result()
+        common.written(spark.range(2), "own")
+    assert other.count() == 3 and not list(tmp_path.glob("own*"))
+
+
+def test_prefixes_of_similar_sets_meet(spark):
+    """Two sets of the threshold's similarity share one of their prefixes' elements, whatever else is common."""
+    draw = random.Random(3)
+    texts = []
+    for i in range(30):
+        own = [f"w{draw.randrange(40)}" for _ in range(120)]
+        texts += [" ".join(own), " ".join([*own[:100], *(f"n{i}x{k}" for k in range(3)), *own[103:]])]
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(116)} for t in texts]
+    keys: dict[int, set[int]] = {}
+    for r in neardup.prefixes(neardup.sets_of(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), 5), (85, 100)).collect():
+        keys.setdefault(r.id, set()).add(r.key)
+    near = [(a, b) for b in range(60) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    assert len(near) >= 30 and all(keys[a] & keys[b] for a, b in near)
