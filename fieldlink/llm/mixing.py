@@ -1,9 +1,10 @@
 """Operator 10: mixing sources to target weights by Sainte-Laguë apportionment.
 
-Documents are dealt by a seeded hash to shards; in a shard, a source's documents
-stand in seeded order on one line of words, cut into blocks of equally many: fewer
-words a block on a short line, so that it has LEAST_BLOCKS too. A
-shard allots its blocks of one size to sources one by one to the highest quotient
+Documents are dealt by a seeded hash of id and text to shards, those of a smaller source to fewer of them,
+so that its lines are long; in a shard, a source's documents
+stand in seeded order on one line of words, cut into blocks. A shard has blocks of one size,
+in which its shortest line still has LEAST_BLOCKS. It
+allots them to sources one by one to the highest quotient
 weight / (2 * blocks so far + 1), which gives each (shard, source) a whole number
 of blocks. Those are drawn from its line: full passes first, then a seeded
 systematic draw of the rest, so a block is taken at most once more than another
@@ -14,7 +15,8 @@ more than `most` times its words, and what that leaves over is shared again.
 
 Sizes are whole numbers and all orders are by hash and id, so reruns agree. A null
 source is one of its own, last in order. A null or empty text has size 0 and is
-never taken. Rows that repeat an id, or have none, each have a place of their own. Only
+never taken; very long texts count whole. Rows that repeat an id, or have none, each have a place of their own; where more than
+a shard's documents are the same in id and text they are dealt out by row. Only
 id, text and source are read by plan(); mixed() gives back all columns. Empty input
 gives no rows.
 """
@@ -28,8 +30,8 @@ from . import common
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
-#: A line of fewer blocks has its blocks halved, down to one word.
-LEAST_BLOCKS = 16
+#: A line of fewer blocks halves its shard's blocks, down to one word.
+LEAST_BLOCKS = 64
 
 
 def size_of(text: Column) -> Column:
@@ -66,10 +68,7 @@ def block_of(words: Column, block: int) -> Column:
 
 
 def quotas(lines: DataFrame, block: int, most: int) -> DataFrame:
-    """(shard, source, words, block, blocks, quota) from (shard, source, words, share): Sainte-Laguë in each shard.
-
-    Lines with blocks of one size share seats. On a line of smaller blocks a seat
-    counts for the words that its blocks have on average, the last one included.
+    """(shard, source, words, block, blocks, quota) from (shard, source, words, share): Sainte-Laguë in each shard, over blocks of one size.
 
     share is what the source should take in the shard, in words. A shard's seats are
     its shares' sum in blocks. Were the divisor one block, a party would get
@@ -78,10 +77,9 @@ def quotas(lines: DataFrame, block: int, most: int) -> DataFrame:
     at most, and so each party's seats by that share of them and one. Seats below
     that range are given, those in it go by highest quotient.
     """
-    own, party = Window.partitionBy("shard", "block"), F.col("share") / F.col("block")
-    cut = lines.withColumn("block", block_of(F.col("words"), block)).withColumn("blocks", F.ceil(F.col("words") / F.col("block")))
-    worth = cut.withColumn("share", F.when(F.col("block") == block, F.col("share")).otherwise(F.col("share") * F.col("blocks") * F.col("block") / F.col("words")))
-    n = worth.withColumn("_seats", F.round(F.sum("share").over(own) / F.col("block"))).withColumn("_parties", F.count("*").over(own))
+    own, party = Window.partitionBy("shard"), F.col("share") / F.col("block")
+    cut = lines.withColumn("block", F.min(block_of(F.col("words"), block)).over(own)).withColumn("blocks", F.ceil(F.col("words") / F.col("block")))
+    n = cut.withColumn("_seats", F.round(F.sum("share").over(own) / F.col("block"))).withColumn("_parties", F.count("*").over(own))
     ranged = n.withColumn("_off", F.ceil(party * (F.col("_parties") + 1) / F.greatest(2 * F.col("_seats"), F.lit(1))) + 1)
     based = ranged.withColumn("_base", F.greatest(F.floor(party + 0.5) - F.col("_off"), F.lit(0)))
     left = based.withColumn("_left", F.col("_seats") - F.sum("_base").over(own))
@@ -105,17 +103,23 @@ def drawn_before(at: Column) -> Column:
 def plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, epochs: float = 1.5, most: int = 2, block: int = 64, shard_docs: int = 1_000, seed: int = 42, key: str | None = None) -> DataFrame:
     """A row for each row of docs: doc_id, source, size, source_size, target, taken, and where it stands:
     start (on its line), block, blocks, quota, _passes, _rest and _from of its line. A `key` that no two rows share goes through."""
-    own = [] if key is None else [F.xxhash64(F.col(f"`{text}`")).alias("_h"), F.col(f"`{key}`").alias("_key")]
-    ties = ["_h", "_key"][: len(own)]
-    sized = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), size_of(F.col(f"`{text}`")).alias("size"), *own)
+    row = F.monotonically_increasing_id() if key is None else F.col(f"`{key}`")
+    sized = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), size_of(F.col(f"`{text}`")).alias("size"), F.md5(F.col(f"`{text}`").cast("binary")).alias("_h"), row.alias("_key"))
     rows = common.written(sized, "sizes")
     aim = common.written(targets(rows, weights, epochs, float(most)), "targets")
     shards = max(1, -(-rows.count() // shard_docs))
-    dealt = rows.withColumn("shard", (seeded(F.col("doc_id"), seed=seed) % shards).cast("int"))
+    # a source's shards: as many as give it lines of LEAST_BLOCKS blocks
+    lines = aim.select(F.col("source").alias("_source"), F.greatest(F.lit(1), F.least(F.lit(shards), F.floor(F.col("source_size") / (LEAST_BLOCKS * block)))).alias("_lines"), (seeded(F.col("source"), seed=seed + 3) % shards).alias("_first"))
+    many = rows.groupBy("doc_id", "_h").count().where(F.col("count") > shard_docs).select(F.col("doc_id").alias("_id"), F.col("_h").alias("_same"), F.lit(True).alias("_many"))
+    copies = common.written(rows.join(many, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_h").eqNullSafe(F.col("_same")), "left").drop("_id", "_same"), "sizes")
+    known = [F.col("doc_id"), F.col("_h")]
+    place = F.when(F.col("_many"), seeded(*known, F.col("_key"), seed=seed)).otherwise(seeded(*known, seed=seed)) % F.col("_lines")
+    dealt = copies.join(lines, F.col("source").eqNullSafe(F.col("_source"))).withColumn("shard", ((F.floor(place * shards / F.col("_lines")) + F.col("_first")) % shards).cast("int")).drop("_source", "_lines", "_first", "_many")
+    dealt = common.written(dealt, "dealt")
     words = dealt.groupBy("shard", "source").agg(F.sum("size").alias("words")).where("words > 0")
     shared = words.join(aim, words["source"].eqNullSafe(aim["source"])).select("shard", words["source"], "words", (F.col("target") * F.col("words") / F.col("source_size")).alias("share"))
     given = common.written(quotas(shared, block, most), "quotas")
-    line = Window.partitionBy("shard", "source").orderBy(seeded(F.col("doc_id"), seed=seed + 1), F.col("doc_id").asc_nulls_first(), "size", *ties)
+    line = Window.partitionBy("shard", "source").orderBy(seeded(*known, seed=seed + 1), F.col("doc_id").asc_nulls_first(), "_h", "size", "_key")
     placed = dealt.withColumn("start", F.sum("size").over(line) - F.col("size"))
     g = given.select(F.col("shard").alias("_shard"), F.col("source").alias("_source"), "block", "blocks", "quota")
     joined = placed.join(g, (F.col("shard") == F.col("_shard")) & F.col("source").eqNullSafe(F.col("_source")), "left").drop("_shard", "_source")
@@ -129,7 +133,8 @@ def plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
     taken = F.col("_passes") * F.col("size") + F.when(F.col("size") > 0, some).otherwise(0)
     full = drawn.withColumn("taken", taken.cast("long"))
     a = aim.select(F.col("source").alias("_source"), "source_size", "target")
-    return full.join(a, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    out = full.join(a, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "_h")
+    return out if key is not None else out.drop("_key")
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int = 64, seed: int = 42, **how) -> DataFrame:

@@ -156,3 +156,18 @@ def test_mixing_gives_a_long_tail_its_targets(spark):
     tail = [x for name, x in got.items() if name.startswith("tail")]
     assert len(tail) == 300 and abs(sum(a for a, _ in tail) / sum(b for _, b in tail) - 1) < 0.03
     assert all(abs(a - b) <= 2 for a, b in tail)
+
+
+def test_mixing_deals_rows_without_id_over_all_shards(spark):
+    """Half the rows have no id, of which half share one text as well; each shard has blocks of one size and no more than its part."""
+    rows = [(i, f"text {i} " + "w " * 40, "a") for i in range(3_000)] + [(None, f"other {i} " + "w " * 40, "a") for i in range(1_500)] + [(None, "same " + "w " * 40, "b")] * 1_500
+    plan = mixing.plan(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)).collect()
+    per: dict[int, list] = {}
+    for r in plan:
+        per.setdefault(r.shard, []).append(r)
+    assert len(plan) == 6_000 and len(per) == 6 and max(map(len, per.values())) < 1_400
+    assert all(len({r.block for r in own}) == 1 for own in per.values())
+    assert all(sum(r.doc_id is None for r in own) < 0.65 * len(own) for own in per.values())
+    for name in "ab":
+        own = [r for r in plan if r.source == name]
+        assert abs(sum(r.taken for r in own) / own[0].target - 1) < 0.01
