@@ -27,12 +27,13 @@ from pyspark.sql.types import DoubleType, StringType, StructType
 
 from . import common, unigram
 
-#: Longer words are taken in parts of this many characters when learning, and by a rescaled loop when scoring.
+#: Longer words go by rescaled or logarithmic loops, a word at a time.
 PART = 24
 UNKNOWN_P = 1e-7
-CACHE_WORDS = 400_000
-#: At most so many languages are learned, those of the most words: a model has a number for each piece and language on the driver.
-MOST_LANGUAGES = 200
+#: Numbers in a worker's memory of words.
+CACHE_NUMBERS = 1_600_000
+#: Languages that are learned and scored at once (a table of a number for each piece and language).
+GROUP = 64
 
 
 class Pieces:
@@ -153,12 +154,41 @@ def log_likelihoods(words: list[str], path: str, p: np.ndarray) -> np.ndarray:
     return out
 
 
+def long_counts(word: str, table: Pieces, p: np.ndarray) -> tuple[list[int], list[float]]:
+    """(pieces, expected counts) of one word of any length under probabilities p of one language, by logarithms."""
+    n, most, get = len(word), table.longest, table.index.get
+    rows = [[get(word[s : s + m], -1) for m in range(1, min(most, n - s) + 1)] for s in range(n)]
+    with np.errstate(divide="ignore"):
+        cost = [np.array([np.log(p[r]) if r >= 0 else np.log(UNKNOWN_P) if m == 0 else -np.inf for m, r in enumerate(own)]) for own in rows]
+    alpha, beta = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+    alpha[0], beta[n] = 0.0, 0.0
+    for s in range(n):
+        to = slice(s + 1, s + 1 + len(cost[s]))
+        alpha[to] = np.logaddexp(alpha[to], alpha[s] + cost[s])
+    for s in range(n - 1, -1, -1):
+        beta[s] = np.logaddexp.reduce(cost[s] + beta[s + 1 : s + 1 + len(cost[s])])
+    pieces_, times = [], []
+    for s in range(n):
+        share = np.exp(alpha[s] + cost[s] + beta[s + 1 : s + 1 + len(cost[s])] - alpha[n])
+        for r, c in zip(rows[s], share):
+            if r >= 0 and c > 0:
+                pieces_.append(r)
+                times.append(float(c))
+    return pieces_, times
+
+
 def expected(words: list[str], language: np.ndarray, count: np.ndarray, table: Pieces, p: np.ndarray) -> np.ndarray:
     """Expected piece counts [language, piece] of counted words, by a forward and a backward pass."""
     at_, counts = [np.zeros(0, np.int64)], [np.zeros(0)]
     for n, group in by_length(words):
         if not n:
             continue
+        if n > PART:
+            for i in group:
+                found, times = long_counts(words[i], table, p[:, language[i]])
+                at_.append(language[i] * (table.size + 1) + np.array(found, np.int64))
+                counts.append(count[i] * np.array(times))
+            continue
         rows = table.rows([words[i] for i in group])
         own, times = language[group], count[group].astype(float)
         alpha = forward(rows, p, own)
@@ -186,7 +216,7 @@ def marked(words: list[str]) -> list[str]:
 
 
 def word_counts(labelled: DataFrame, text: str, lang: str) -> DataFrame:
-    """(lang, word, n); words over PART characters in parts."""
+    """(lang, word, n)."""
 
     def count(batches):
         for batch in batches:
@@ -196,7 +226,7 @@ def word_counts(labelled: DataFrame, text: str, lang: str) -> DataFrame:
                 doc = np.repeat(langs.indices.to_numpy(zero_copy_only=False), counts)
                 keys, n = np.unique(doc.astype(np.int64) * max(1, len(words)) + codes, return_counts=True)
                 names = langs.dictionary.to_pylist()
-                rows = [(names[k // len(words)], w[i : i + PART], int(c)) for k, c in zip(keys.tolist(), n.tolist()) for w in [unigram.MARK + words[k % len(words)]] for i in range(0, len(w), PART)]
+                rows = [(names[k // len(words)], unigram.MARK + words[k % len(words)], int(c)) for k, c in zip(keys.tolist(), n.tolist())]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
 
@@ -205,56 +235,84 @@ def word_counts(labelled: DataFrame, text: str, lang: str) -> DataFrame:
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", vocabulary: str | None = None, rounds: int = 2, most: int = 8_000, smoothing: float = 2000.0) -> dict:
-    """Learns from at most about `most` labelled documents. The model: languages and log-ready probabilities (vocabulary x languages)."""
+    """Learns from at most about `most` labelled documents (a documented bound of fitting).
+
+    Languages are learned GROUP by GROUP; the model has the expected counts of pieces that a language's
+    words may hold, so it grows with the sample and not with pieces times languages.
+    """
     path = vocabulary or unigram.default_path()
-    table = pieces(path)
     known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = common.written(word_counts(common.hash_share(known, key, most), text, lang), "lang-words")
-    most_words = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "lang").limit(MOST_LANGUAGES)
-    languages = sorted(r[0] for r in most_words.collect())
-    counts = counts.where(F.col("lang").isin(languages))
-    p = np.repeat(table.start[:, None], len(languages), 1)
-    spark = labelled.sparkSession
-    for _ in range(rounds if languages else 0):
-        model = spark.sparkContext.broadcast((languages, np.vstack([p, np.zeros(len(languages))])))
-
-        def count(batches, model=model):
-            names, q = model.value
-            at = {x: i for i, x in enumerate(names)}
-            total = np.zeros((len(names), q.shape[0] - 1))
-            for batch in batches:
-                for i in range(0, batch.num_rows, 4096):
-                    part = batch.slice(i, 4096)
-                    own = np.array([at[x] for x in part.column(0).to_pylist()], dtype=np.int64)
-                    total += expected(part.column(1).to_pylist(), own, part.column(2).to_numpy(zero_copy_only=False), pieces(path), q)
-            own, piece = np.nonzero(total > 1e-9)
-            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(total[own, piece])], names=["language", "piece", "n"])
-
-        summed = counts.select("lang", "word", "n").mapInArrow(count, "language int, piece int, n double").groupBy("language", "piece").agg(F.sum("n").alias("n")).toPandas()
+    languages = sorted(r[0] for r in counts.select("lang").distinct().collect())  # at most one a row of the sample
+    model = {"id": uuid.uuid4().hex, "path": path, "languages": languages, "smoothing": smoothing, "groups": [None] * -(-len(languages) // GROUP)}
+    for g in range(len(model["groups"])):
+        names = languages[g * GROUP : (g + 1) * GROUP]
+        own = counts.where(F.col("lang").isin(names)) if len(languages) > GROUP else counts
+        for _ in range(rounds):
+            model["groups"][g] = _round(own, names, path, dense(model, g))
+    common.deleted(labelled.sparkSession, [counts._written_at])
+    return model
+
+
+def dense(model: dict, group: int) -> np.ndarray:
+    """Probabilities (pieces and a row of zeros, for no piece, x languages) of a group of languages."""
+    start, names = pieces(model["path"]).start, model["languages"][group * GROUP : (group + 1) * GROUP]
+    p = np.repeat(start[:, None], len(names), 1)
+    if model["groups"][group] is not None:
+        piece, own, n = model["groups"][group]
         c = np.zeros_like(p)
-        c[summed["piece"], summed["language"]] = summed["n"]
-        p = (c + smoothing * table.start[:, None]) / (c.sum(0) + smoothing)
-    return {"id": uuid.uuid4().hex, "path": path, "languages": languages, "p": np.vstack([p, np.zeros(len(languages))])}
+        c[piece, own] = n
+        p = (c + model["smoothing"] * p) / (c.sum(0) + model["smoothing"])
+    return np.vstack([p, np.zeros(len(names))])
+
+
+def _round(counts: DataFrame, names: list[str], path: str, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, language, expected count) of counted words under probabilities p."""
+    shared = counts.sparkSession.sparkContext.broadcast((names, p))
+
+    def count(batches):
+        names_, q = shared.value
+        at = {x: i for i, x in enumerate(names_)}
+        total = np.zeros((len(names_), q.shape[0] - 1))
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4096):
+                part = batch.slice(i, 4096)
+                own = np.array([at[x] for x in part.column(0).to_pylist()], dtype=np.int64)
+                total += expected(part.column(1).to_pylist(), own, part.column(2).to_numpy(zero_copy_only=False), pieces(path), q)
+        own, piece = np.nonzero(total > 1e-9)
+        yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(total[own, piece])], names=["language", "piece", "n"])
+
+    summed = counts.select("lang", "word", "n").mapInArrow(count, "language int, piece int, n double").groupBy("language", "piece").agg(F.sum("n").alias("n")).orderBy("language", "piece").toPandas()
+    shared.unpersist()
+    return summed["piece"].to_numpy(), summed["language"].to_numpy(), summed["n"].to_numpy()
+
+
+_cache: dict = {"model": None, "words": {}, "rows": [], "chars": 0, "p": None}
 
 
-_cache: dict = {"model": None, "words": {}, "rows": [], "chars": 0}
+def _table(model: dict, group: int) -> np.ndarray:
+    """dense() of the group that this worker used last."""
+    if _cache["model"] != (model["id"], group):
+        _cache.update(model=(model["id"], group), words={}, rows=None, chars=0, p=dense(model, group))
+    return _cache["p"]
 
 
-def _word_rows(words: list[str], model_id: str, path: str, p: np.ndarray) -> np.ndarray:
+def _word_rows(words: list[str], model: dict, group: int) -> np.ndarray:
     """log_likelihoods with a bounded memory of words seen by this worker."""
-    if _cache["model"] != model_id or len(_cache["words"]) > CACHE_WORDS or _cache["chars"] > common.MEMORY_CHARS:
-        _cache.update(model=model_id, words={}, rows=np.zeros((0, p.shape[1]), np.float32), chars=0)
+    p = _table(model, group)
+    if _cache["rows"] is None or len(_cache["words"]) * p.shape[1] > CACHE_NUMBERS or _cache["chars"] > common.MEMORY_CHARS:
+        _cache.update(words={}, rows=np.zeros((0, p.shape[1]), np.float32), chars=0)
     seen = _cache["words"]
     new = [w for w in words if w not in seen]
     if new:
         seen.update(zip(new, range(len(seen), len(seen) + len(new))))
         _cache["chars"] += sum(map(len, new))
-        _cache["rows"] = np.concatenate([_cache["rows"], log_likelihoods(marked(new), path, p).astype(np.float32)])
+        _cache["rows"] = np.concatenate([_cache["rows"], log_likelihoods(marked(new), model["path"], p).astype(np.float32)])
     return _cache["rows"][[seen[w] for w in words]].astype(np.float64)
 
 
 def predict(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score (the posterior of that language under equal priors)."""
+    """docs with lang_pred and score (the posterior of that language under equal priors). Groups of languages are scored one by one and their best and sums combined, which is exact."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs, text = common.beside(docs, text, ("lang_pred", "score"))
     keep = docs.columns
@@ -262,21 +320,24 @@ def predict(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
 
     def score(batches):
         m = shared.value
-        names, p = m["languages"], m["p"]
+        names = m["languages"]
         for batch in batches:
             for part in common.slices(batch, text):
                 texts = pc.fill_null(part.column(text), "")
                 letters = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False)
-                best, top = np.full(part.num_rows, "und", dtype=object), np.zeros(part.num_rows)
-                if names:
-                    codes, words, counts = common.ascii_words(texts, lower=False)
-                    rows = _word_rows(words, m["id"], m["path"], p)
-                    doc = np.repeat(np.arange(len(counts)), counts)
-                    log = np.stack([np.bincount(doc, rows[codes, j], minlength=len(counts)) for j in range(len(names))], 1) if len(codes) else np.zeros((len(counts), len(names)))
-                    q = np.exp(log - log.max(1, keepdims=True))
-                    q /= q.sum(1, keepdims=True)
-                    best = np.where(letters, np.array(names, dtype=object)[q.argmax(1)], "und")
-                    top = np.where(letters, q.max(1), 0.0)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(best, type=pa.string()), pa.array(top)], names=[*keep, "lang_pred", "score"])
+                n = part.num_rows
+                top, whole, best = np.full(n, -np.inf), np.zeros(n), np.zeros(n, np.int64)
+                codes, words, counts = common.ascii_words(texts, lower=False)
+                doc = np.repeat(np.arange(n), counts)
+                for g in range(len(m["groups"])):
+                    rows = _word_rows(words, m, g)
+                    log = np.stack([np.bincount(doc, rows[codes, j], minlength=n) for j in range(rows.shape[1])], 1) if len(codes) else np.zeros((n, rows.shape[1]))
+                    now = log.max(1)
+                    best = np.where(now > top, g * GROUP + log.argmax(1), best)
+                    high = np.maximum(top, now)
+                    whole, top = whole * np.exp(top - high) + np.exp(log - high[:, None]).sum(1), high
+                real = letters & (len(names) > 0)
+                named = np.where(real, np.array([*names, ""], dtype=object)[best], "und")
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(named, type=pa.string()), pa.array(np.where(real, 1 / np.maximum(whole, 1e-300), 0.0))], names=[*keep, "lang_pred", "score"])
 
     return docs.mapInArrow(score, schema)

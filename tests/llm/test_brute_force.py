@@ -377,3 +377,71 @@ def test_prefixes_of_similar_sets_meet(spark):
         keys.setdefault(r.id, set()).add(r.key)
     near = [(a, b) for b in range(60) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
     assert len(near) >= 30 and all(keys[a] & keys[b] for a, b in near)
+
+
+def test_expected_counts_are_those_of_all_segmentations():
+    """Of short words and, by logarithms, of long ones."""
+    path = unigram.default_path()
+    table = langid.pieces(path)
+    p = np.vstack([np.repeat(table.start[:, None], 2, 1) * [1.0, 0.5], np.zeros(2)])
+    words, language, count = ["▁the", "▁zqx", "▁house"], np.array([0, 1, 1]), np.array([3, 1, 2])
+
+    def all_ways(word, own):
+        ways = []
+
+        def walk(at, used, weight):
+            if at == len(word):
+                ways.append((used, weight))
+            for m in range(1, min(table.longest, len(word) - at) + 1):
+                r = table.index.get(word[at : at + m], -1)
+                if r >= 0:
+                    walk(at + m, [*used, r], weight * p[r, own])
+                elif m == 1:
+                    walk(at + 1, used, weight * langid.UNKNOWN_P)
+
+        walk(0, [], 1.0)
+        return ways
+
+    want = np.zeros((2, table.size))
+    for w, own, n in zip(words, language, count):
+        ways = all_ways(w, own)
+        for used, weight in ways:
+            for r in used:
+                want[own, r] += n * weight / sum(x for _, x in ways)
+    assert np.allclose(langid.expected(words, language, count, table, p), want)
+    for w, own, n in zip(words, language, count):
+        found, times = langid.long_counts(w, table, p[:, own])
+        got = np.bincount(found, times, minlength=table.size)
+        assert np.allclose(got, langid.expected([w], np.array([own]), np.array([1]), table, p)[own])
+
+
+def test_long_words_are_learned_whole(spark):
+    """A piece across the 24th character of a word counts."""
+    word = "ab" * 11 + "house" + "cd" * 8
+    df = spark.createDataFrame([(i, word, "x") for i in range(3)], "doc_id long, text string, lang string")
+    model = langid.fit(df, rounds=1)
+    piece, own, n = model["groups"][0]
+    table = langid.pieces(model["path"])
+    p = np.append(table.start, 0.0)
+    found, times = langid.long_counts(unigram.MARK + word, table, p)
+    want = np.bincount(found, 3 * np.array(times), minlength=table.size)
+    got = np.bincount(piece, n, minlength=table.size)
+    assert np.allclose(got, np.where(want > 1e-9, want, 0)) and got[table.index["house"]] > 0
+
+
+def test_three_hundred_languages(spark):
+    """More languages than a group holds: each is learned, and the score is the posterior over all of them."""
+    draw = random.Random(5)
+    own = {f"l{k:03d}": ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(8)] for k in range(300)}
+    rows = [(k * 4 + i, " ".join(draw.choices(w, k=30)), name) for k, (name, w) in enumerate(own.items()) for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, rounds=1, smoothing=20.0)
+    assert model["languages"] == sorted(own)
+    got = langid.predict(df.where("doc_id % 40 = 0"), model).collect()
+    assert all(r.lang_pred == r.lang for r in got)
+    p = np.hstack([langid.dense(model, g) for g in range(len(model["groups"]))])
+    for r in got[:3]:
+        words = r.text.split()
+        log = langid.log_likelihoods(langid.marked(words), model["path"], p).astype(np.float32).astype(float).sum(0)
+        q = np.exp(log - log.max())
+        assert abs(r.score - q.max() / q.sum()) < 1e-6
