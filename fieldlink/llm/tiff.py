@@ -370,8 +370,14 @@ def pages(files: DataFrame, media: str = "media") -> DataFrame:
 
         arrow = to_arrow_type(kind)
         for batch in batches:
-            for part in common.slices(batch, media):
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([read_pages(m) for m in part.column(media).to_pylist()], type=arrow)], names=[*schema.names, "pages"])
+            # a stored byte may hold a thousand samples, so rows leave by what they decode to
+            made, start, size = [], 0, 0
+            for i, stored in enumerate(batch.column(media)):
+                made.append(read_pages(stored.as_py()))
+                size += sum(len(p.get("pixels", b"")) for p in made[-1])
+                if size >= common.SLICE_BYTES or i + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([*batch.slice(start, len(made)).columns, pa.array(made, type=arrow)], names=[*schema.names, "pages"])
+                    made, start, size = [], i + 1, 0
 
     return own.mapInArrow(run, StructType([*schema]).add("pages", kind))
 
