@@ -3,7 +3,9 @@
 Each stage takes what its predecessor kept; run() writes each stage's rows to the
 shared folder and reads them again. All stages but the last give back the columns of
 their input as they are, whatever their names. An empty table goes through as an empty
-one; documents without text fail the quality rules.
+one; documents without text fail the quality rules; very long texts go through whole. Rows that repeat each other are
+near copies, of which one stays; of a component's documents with the same smallest id the one with the
+smallest hash of its text stays.
 """
 
 from __future__ import annotations
@@ -51,7 +53,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows, as a table in the shared folder; all other tables go as soon as they are read."""
     docs = common.documents(spark, sf_dir)
-    for name, stage in STAGES:
-        docs = common.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for i, (name, stage) in enumerate(STAGES):
+        with common.scratch(spark) as keep:
+            out = keep(common.written(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+        if i:
+            common.deleted(spark, [docs._written_at])
+        docs = out
     return docs
