@@ -67,7 +67,7 @@ def whole(rows: DataFrame, vector: str) -> DataFrame:
 
 def blocks(batches, d: int):
     """Parts of batches of about ENTRIES entries, each with its x as a matrix."""
-    rows = max(1, ENTRIES // d)
+    rows = max(1, ENTRIES // max(1, d))
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             part = batch.slice(at, rows)
