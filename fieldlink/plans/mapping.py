@@ -36,8 +36,10 @@ class Mapping:
     summary: DataFrame
 
 
-def map_columns(a: DataFrame, b: DataFrame) -> Mapping:
-    d = written(melt.dictionary(melt.melt(a, "A").unionByName(melt.melt(b, "B"))), "dictionary")
+def map_columns(a: DataFrame, b: DataFrame, order: str | None = None) -> Mapping:
+    """The mapping of A's columns to B's. `order` names a column of both that only says where a row stands, as read_text_table() gives it; without one rows count as they are read."""
+    d = written(melt.dictionary(melt.melt(a, "A", order, True).unionByName(melt.melt(b, "B", order, True))), "dictionary")
+    a, b = (df.drop(order) if order else df for df in (a, b))
     columns = melt.columns(a, "A").unionByName(melt.columns(b, "B"))
     profiled = columns.join(profile.profile(d), ["side", "col_idx"], "left").na.fill(0.0).na.fill(0)
     checked = small(types.checked(profiled), "columns")

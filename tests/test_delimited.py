@@ -4,6 +4,8 @@ import random
 
 import pytest
 
+from fieldlink.operators import profile
+from fieldlink.plans import mapping
 from fieldlink.sources import delimited, files
 
 
@@ -101,6 +103,23 @@ def test_header_after_many_blank_lines_mark_and_crlf(spark, tmp_path):
     assert ordered(files.read_text_table(spark, f"file://{tmp_path}", order="_at")) == (["N", 'V "1"'], [("1", "2")])
 
 
+def test_a_folder_of_files_maps_alike_however_it_is_split(spark, tmp_path, splits):
+    """Two folders of several files, with places of rows: ties of top values go to the first row of the first file."""
+    for name, sep, shift in (("a", ";", 0), ("b", "|", 1)):
+        (tmp_path / name).mkdir()
+        for k in range(3):
+            lines = [f"REF{k}{i:07d}{sep}{i * 3 + k}.50{sep}kind{(i + shift) % 4}" for i in range(30)]
+            (tmp_path / name / f"{k}.csv").write_text(sep.join(["Txn Ref", "Amount", "Kind"]) + "\n" + "\n".join(lines) + "\n")
+    seen = []
+    for n in (1 << 20, 150):
+        splits(n)
+        a, b = (files.read_text_table(spark, f"file://{tmp_path}/{x}", order="_at") for x in "ab")
+        m = mapping.map_columns(a, b, order="_at")
+        top = profile.top_values(m.dictionary).where("side = 'A' and col_idx = 2").orderBy("rank").collect()
+        seen.append((sorted((r.source_id, r.target_id, r.category) for r in m.results.collect()), [r.value for r in top]))
+    assert seen[0] == seen[1] and seen[0][0][:2] == [("A_1", "B_1", "exact"), ("A_2", "B_2", "exact")] and seen[0][1] == ["kind0", "kind1", "kind2", "kind3"]
+
+
 def test_no_row_at_all(spark, tmp_path):
     (tmp_path / "a.csv").write_text("\n , \n")
     df = files.read_text_table(spark, f"file://{tmp_path}")
