@@ -17,7 +17,7 @@ list.
 
 Templates are a fixed table, broadcast; exploded k-grams are never shuffled, only hits
 are. Hashes are 64 bits over words; a false hit among 10^14 words is not to be
-expected. A null or empty text has 0 words and no label. Repeated rows each get a row;
+expected. A null or empty text has 0 words and no label; very long texts are scanned whole. Repeated rows each get a row;
 rows with the same id and text share their hits. Only the id and the text of a row are
 read: further columns don't take part, whatever their names. An empty table gives no
 rows.

@@ -116,6 +116,7 @@ def plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
     place = F.when(F.col("_many"), seeded(*known, F.col("_key"), seed=seed)).otherwise(seeded(*known, seed=seed)) % F.col("_lines")
     dealt = copies.join(lines, F.col("source").eqNullSafe(F.col("_source"))).withColumn("shard", ((F.floor(place * shards / F.col("_lines")) + F.col("_first")) % shards).cast("int")).drop("_source", "_lines", "_first", "_many")
     dealt = common.written(dealt, "dealt")
+    common.deleted(docs.sparkSession, [rows._written_at, copies._written_at])
     words = dealt.groupBy("shard", "source").agg(F.sum("size").alias("words")).where("words > 0")
     shared = words.join(aim, words["source"].eqNullSafe(aim["source"])).select("shard", words["source"], "words", (F.col("target") * F.col("words") / F.col("source_size")).alias("share"))
     given = common.written(quotas(shared, block, most), "quotas")

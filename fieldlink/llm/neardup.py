@@ -16,7 +16,7 @@
    Survivors are confirmed on the full sets of both texts.
 5. Links join to components by repeated smallest-neighbour steps.
 
-A null or empty text, or one of spaces only, has an empty set and is linked with
+Very long texts count with all their shingles. A null or empty text, or one of spaces only, has an empty set and is linked with
 nothing. Rows are told apart by an own key, so rows that repeat an id or have none
 are rows of their own. A component is named by its smallest id, null if it has
 none; exactly one row of it is kept: of the smallest id, rows without one last. Ids

@@ -12,7 +12,7 @@ counted together first, so sums are exact, medians come from counts and results
 don't depend on the order of rows. A group's estimate is drawn to that of all
 documents, the more the fewer it has. Only DataFrame operations run.
 
-A null text has no words and fails. Null languages and sources are groups of
+A null text has no words and fails; very long texts are counted whole. Null languages and sources are groups of
 their own. Repeated rows each count. Further columns pass through; one that is named
 like a result comes back as doc_<name>. An empty table gives no rows.
 """
@@ -130,7 +130,7 @@ def _moments(rows: DataFrame, by: list[str], values: list[str], ridge: float = 0
 
 
 def starts(cells: DataFrame, hint) -> DataFrame:
-    """Three starts of each group: medians and median deviations without correlation; the same with the correlation of
+    """Three starts of each group: medians and median deviations, each statistic by itself; the same with the common movement of
     tanh-bounded scores; plain mean and scatter. Medians come from counts of equal values, which tasks add up first."""
     k = range(len(STATS))
     mid = cells.groupBy("_group").agg(*(F.expr(f"percentile({s}, 0.5, _n) AS med_{i}") for i, s in enumerate(STATS)))

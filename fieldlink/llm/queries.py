@@ -41,7 +41,8 @@ def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> dict |
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     some = common.hash_share(labels.where((common.id_crc() % 5 != 0) & F.col("toxic").isNotNull()), "doc_id", 8_000)
     rows = docs.select("doc_id", "text", "lang").join(some, "doc_id")
-    return toxicity.fit(common.written(rows, "labelled"), lang="lang")
+    with common.scratch(spark):
+        return toxicity.fit(common.written(rows, "labelled"), lang="lang")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +109,8 @@ def op13_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").where((common.id_crc() % 5 != 0) & F.col("quality").isNotNull())
     # at most about 8,000 ids
     some = F.broadcast(common.hash_share(labels, "doc_id", 8_000))
-    model = attention.fit(common.written(docs.join(some, "doc_id"), "labelled"), cut=0.3)
+    with common.scratch(spark):
+        model = attention.fit(common.written(docs.join(some, "doc_id"), "labelled"), cut=0.3)
     held = docs.withColumn("held_out", F.coalesce(common.id_crc() % 5 == 0, F.lit(False)))
     return attention.scored(held, model, cut=0.3).drop("text")
 

@@ -344,12 +344,13 @@ def neighbours(table: DataFrame, cell: int = CELL, chars: int = CELL_CHARS, leaf
 
 def roots(forms: DataFrame) -> DataFrame:
     """(word, root) for the words of forms (word, form): the last of the forms that follow from a word."""
-    now = common.written(forms.select("word", F.col("form").alias("root")), "roots")
-    while True:
-        above = now.select(F.col("word").alias("_word"), F.col("root").alias("_root"))
-        now = common.written(now.join(above, F.col("root") == F.col("_word"), "left").select("word", F.coalesce("_root", "root").alias("root"), F.col("_root").isNotNull().alias("_moved")), "roots")
-        if not now.where("_moved").limit(1).count():
-            return now.select("word", "root")
+    with common.scratch(forms.sparkSession) as keep:
+        now = common.written(forms.select("word", F.col("form").alias("root")), "roots")
+        while True:
+            above = now.select(F.col("word").alias("_word"), F.col("root").alias("_root"))
+            now = common.written(now.join(above, F.col("root") == F.col("_word"), "left").select("word", F.coalesce("_root", "root").alias("root"), F.col("_root").isNotNull().alias("_moved")), "roots")
+            if not now.where("_moved").limit(1).count():
+                return keep(now).select("word", "root")
 
 
 def variants(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ratio: float = RATIO, cell: int = CELL, **how) -> DataFrame:
@@ -358,4 +359,5 @@ def variants(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ratio:
     near = table.join(neighbours(table, cell), "word", "left")
     takes = F.col("form_n") >= ratio * F.col("n")
     formed = common.written(near.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(takes, F.col("form")).alias("form"), F.when(takes, F.col("form_n")).alias("form_n")), "forms")
+    common.deleted(docs.sparkSession, [table._written_at])
     return formed.join(roots(formed.where("form is not null")), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

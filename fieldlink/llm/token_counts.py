@@ -6,7 +6,7 @@ follow the tokenizers library's Unigram model: a later candidate must be strictl
 better, and candidates come by ascending start. A character that no piece covers
 counts one token for each of its UTF-8 bytes.
 
-A null or empty text has 0 tokens; repeated rows each get a row, an empty table none.
+A null or empty text has 0 tokens; very long texts and words are counted whole; repeated rows each get a row, an empty table none.
 Further columns pass through; one that is named like a result comes back as doc_<name>.
 """
 

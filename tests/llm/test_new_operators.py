@@ -263,7 +263,7 @@ def test_network_outputs_are_those_of_plain_loops():
     index = np.zeros(toxicity.BUCKETS, np.int32)
     index[every[every > 0]] = np.arange(1, (every > 0).sum() + 1)
     net = toxicity.Net(int((every > 0).sum()) + 1, np.concatenate([np.zeros((1, words.shape[1]), np.int32), index[words]]), np.concatenate([[0.0], np.linspace(0.1, 1, int((every > 0).sum()))]))
-    model = {"index": index, "tables": net.tables(), "b": net.b, "out": net.out, "bias": net.bias}
+    model = {"rows": net.rows(index), "tables": net.tables(), "b": net.b, "out": net.out, "bias": net.bias}
     got, start = toxicity.logits(model, words, codes, counts), 0
     for i, n in enumerate(counts):
         vectors = [sum((net.e[r] * net.trust[r] for r in index[words[c]]), np.zeros(toxicity.DIM)) for c in codes[start : start + n]] + [np.zeros(toxicity.DIM)] * toxicity.PAD
