@@ -269,7 +269,7 @@ def test_network_outputs_are_those_of_plain_loops():
         vectors = [sum((net.e[r] * net.trust[r] for r in index[words[c]]), np.zeros(toxicity.DIM)) for c in codes[start : start + n]] + [np.zeros(toxicity.DIM)] * toxicity.PAD
         start += n
         top = [max([0.0] + [float(sum(vectors[at + j] @ w[j][:, f] for j in range(len(w))) + b[f]) for at in range(n)]) for w, b in zip(net.w, net.b) for f in range(toxicity.FILTERS)]
-        assert abs(got[i] - float(np.dot(top, net.out) + net.bias[0])) < 1e-4
+        assert abs(got[i] - float(np.dot(top, net.out) + net.bias[0])) < 2e-3  # tables have 16 bits
 
 
 def test_features_of_a_page_are_a_plain_count():
