@@ -115,3 +115,10 @@ def test_a_source_that_loses_two_targets_names_the_last(spark):
     got = [tuple(r) for r in match.unmatched(results, dups, resolved, checked).collect()]
     # S1 loses T1 (settled first, bucket of exact pairs) and T0 (settled after it, though its column comes first); S3 keeps T2
     assert got == [("A_2", "S1", "REJECT_DUPLICATE", 70, "Weaker duplicate candidate for T0; S2 is the stronger business mapping")]
+
+
+def test_texts_of_doubles_use_no_patterns(spark):
+    """A pattern for zeros at the end tries each zero of a long run anew; such texts cost the square of their length."""
+    df = spark.createDataFrame([(5e-324,), (-1.5e300,), (120.0,), (1e-5 / 3,)], "x double").select(melt.double_text(F.col("x")).alias("t"))
+    assert "regexp" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.t for r in df.collect()] == ["0." + "0" * 323 + "49", "-15" + "0" * 299, "120", "0.0000033333333333333337"]
