@@ -122,3 +122,19 @@ def test_texts_of_doubles_use_no_patterns(spark):
     df = spark.createDataFrame([(5e-324,), (-1.5e300,), (120.0,), (1e-5 / 3,)], "x double").select(melt.double_text(F.col("x")).alias("t"))
     assert "regexp" not in df._jdf.queryExecution().optimizedPlan().toString()
     assert [r.t for r in df.collect()] == ["0." + "0" * 323 + "49", "-15" + "0" * 299, "120", "0.0000033333333333333337"]
+
+
+def test_index_of_a_dictionary_counts_as_signatures_do(spark, monkeypatch):
+    """Equal frames from bits and from signatures one by one; no table of signatures is made twice."""
+    made = random.Random(4)
+    texts = ["12.50", "$12.5", "0012", "12", "01/02/2024", "2024-02-01 10:00:00", "4111111111111111", "41111111xxxx1111", "POS shop a-b", "shop  AB", "swipe_x purchase abc", "N/A", None, "é pos", "2024/2/1", "3 jan 2024", "-0.0", "+.5", "a|b"]
+    df = spark.createDataFrame([tuple(made.choice(texts) for _ in range(12)) for _ in range(200)], ", ".join(f"c{i} string" for i in range(12)))
+    d = melt.dictionary(melt.melt(df, "A").unionByName(melt.melt(df.select("c3", "c1"), "B")))
+    asked = []
+    real = overlap.signatures
+    want = sorted(map(tuple, overlap.overlaps(real(d)).collect()))
+    monkeypatch.setattr(overlap, "signatures", lambda *x: asked.append(x) or real(*x))
+    assert sorted(map(tuple, overlap.dictionary_overlaps(d).collect())) == want and not asked
+    monkeypatch.setattr(overlap, "WORDS", 1)
+    assert sorted(map(tuple, overlap.dictionary_overlaps(d).collect())) == want and asked
+    assert overlap.dictionary_overlaps(d.limit(0)).count() == 0
