@@ -15,9 +15,20 @@ def _share(condition: Column, n: Column) -> Column:
     return F.coalesce(F.try_divide(F.sum(F.when(condition, F.col("cnt")).otherwise(0)), n), F.lit(0.0))
 
 
+def shapes(d: DataFrame) -> DataFrame:
+    """(side, col_idx, value, cnt, most, n): values that differ in their digits alone as one, with 0 for each digit, their number and their cells.
+
+    No kind of value asks which digit one is, but for codes of two digits; so texts of up to four characters stay as they are.
+    """
+    v = F.col("value")
+    shape = F.when(F.length(v) > 4, F.translate(v, "123456789", "000000000")).otherwise(v)
+    return d.groupBy(*KEYS, shape.alias("value")).agg(F.sum("cnt").alias("cnt"), F.max("cnt").alias("most"), F.count("*").alias("n"))
+
+
 def profile(d: DataFrame) -> DataFrame:
-    """A row for each column: counts, ratios and the share of each kind of value among those that aren't null."""
-    v, cnt = F.col("value"), F.col("cnt")
+    """A row for each column: counts, ratios and the share of each kind of value among those that aren't null. Kinds are told by shapes()."""
+    d, v, cnt = shapes(d), F.col("value"), F.col("cnt")
+    n_distinct = F.coalesce(F.sum(F.when(v.isNotNull(), F.col("n"))), F.lit(0))
     n = F.sum(F.when(v.isNotNull(), cnt))
     p = V.predicates(v)
     shares = [_share(p[k], n).alias(f"r_{k}") for k in p]
@@ -26,12 +37,12 @@ def profile(d: DataFrame) -> DataFrame:
         "text_like": v.rlike("[A-Za-z]{3,}"), "uppercase": v == F.upper(v), "masked_like": v.rlike("[*xX#]"),
     }
     return d.groupBy(*KEYS).agg(
-        F.sum(cnt).alias("n_rows"), F.coalesce(n, F.lit(0)).alias("n_values"), F.count(v).alias("n_distinct"),
+        F.sum(cnt).alias("n_rows"), F.coalesce(n, F.lit(0)).alias("n_values"), n_distinct.alias("n_distinct"),
         F.coalesce(F.try_divide(F.sum(F.when(v.isNull(), cnt).otherwise(0)), F.sum(cnt)), F.lit(1.0)).alias("null_ratio"),
-        F.coalesce(F.try_divide(F.count(v), n), F.lit(0.0)).alias("uniqueness_ratio"),
-        F.coalesce(F.try_divide(n - F.count(v), n), F.lit(0.0)).alias("repeated_ratio"),
+        F.coalesce(F.try_divide(n_distinct, n), F.lit(0.0)).alias("uniqueness_ratio"),
+        F.coalesce(F.try_divide(n - n_distinct, n), F.lit(0.0)).alias("repeated_ratio"),
         F.coalesce(F.min(F.length(v)), F.lit(0)).alias("min_length"), F.coalesce(F.max(F.length(v)), F.lit(0)).alias("max_length"), F.coalesce(F.try_divide(F.sum(F.length(v) * cnt), n), F.lit(0.0)).alias("avg_length"),
-        F.coalesce(F.try_divide(F.max(F.when(v.isNotNull(), cnt)), n), F.lit(0.0)).alias("top_share"),
+        F.coalesce(F.try_divide(F.max(F.when(v.isNotNull(), F.col("most"))), n), F.lit(0.0)).alias("top_share"),
         *shares, *(_share(c, n).alias(f"r_{k}") for k, c in more.items()),
     )
 
