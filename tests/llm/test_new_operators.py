@@ -272,6 +272,33 @@ def test_network_outputs_are_those_of_plain_loops():
         assert abs(got[i] - float(np.dot(top, net.out) + net.bias[0])) < 2e-3  # tables have 16 bits
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choices("bcdfgaeiou", k=8))
+    marks, plain = [word() for _ in range(60)], [word() for _ in range(200)]
+    made = lambda i: (i, " ".join([*draw.choices(plain, k=12), *([marks[i // 2 % 60]] if i % 2 else [])]), i % 2)
+    rows = [made(i) for i in range(1200)] + [(5000, "long " * 100_000 + marks[0], 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    featured = toxicity.featured_rows(df.select(F.col("doc_id").cast("string").alias("k"), F.col("toxic").alias("y"), F.lit(None).cast("string").alias("l"), F.col("text").alias("t")), 2)
+    counts = toxicity.counted(featured, 2).where("name = '#'").collect()
+    assert sum(int(np.frombuffer(r.n, np.int64)[0]) for r in counts) == 1201 and sum(int(np.frombuffer(r.hits, np.int64)[0]) for r in counts) == 601
+    # each mark is in ten rows: a hundred of all 1,201 rows wouldn't have most of them more than once
+    model = toxicity.fit(df, most=100)
+    got = toxicity.scored(spark.createDataFrame([made(i) for i in range(2000, 2240)], df.schema), model).collect()
+    assert np.mean([r.predicted == r.toxic for r in got]) > 0.95
+
+
+def test_long_texts_go_by_in_pieces(monkeypatch):
+    made = np.random.default_rng(6)
+    net = toxicity.Net(50)
+    ids, lengths = made.integers(1, 50, (3, 100 + toxicity.PAD)), np.array([100, 37, 64])
+    ids[np.arange(ids.shape[1])[None] >= lengths[:, None]] = 0
+    whole = net.pooled(ids, lengths)
+    monkeypatch.setattr(toxicity, "PIECE", 16)
+    parts = net.pooled(ids, lengths)
+    assert np.allclose(whole[0], parts[0], atol=1e-6) and all((a < lengths[:, None])[parts[0][:, 12 * c : 12 * c + 12] > 0].all() for c, a in enumerate(parts[1]))
+
+
 def test_features_of_a_page_are_a_plain_count():
     made = np.random.default_rng(4)
     p = made.integers(0, 256, (7, 9, 1), dtype=np.uint8)
