@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -138,3 +139,21 @@ def test_index_of_a_dictionary_counts_as_signatures_do(spark, monkeypatch):
     monkeypatch.setattr(overlap, "WORDS", 1)
     assert sorted(map(tuple, overlap.dictionary_overlaps(d).collect())) == want and asked
     assert overlap.dictionary_overlaps(d.limit(0)).count() == 0
+
+
+def test_generated_methods_are_small_enough_to_be_compiled(spark, monkeypatch, capsys, tmp_path):
+    """The JVM interprets generated methods of over 8,000 bytes: no step of the dictionary and of its index has one."""
+    monkeypatch.setattr(overlap, "written", lambda df, name: plans.append(df) or df)
+    df = spark.createDataFrame([(f"ORD-{i:09d}", f"$1{i}.500", f"0{i % 9 + 1}/02/2024 10:00", f"4{i:015d}") for i in range(20)], "a string, b string, c string, d string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        d = melt.dictionary(melt.melt(df, "A").unionByName(melt.melt(df, "B")))
+        d.write.parquet(str(tmp_path / "d"))
+        plans = [d]
+        overlap.dictionary_overlaps(spark.read.parquet(str(tmp_path / "d")))
+        for plan in plans:
+            plan.explain("codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert len(plans) == 2 and sizes and max(sizes) <= 8000
