@@ -141,11 +141,14 @@ def flat(lists: pa.ListArray) -> tuple[np.ndarray, list, np.ndarray]:
     return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist(), counts
 
 
-def ascii_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, list, np.ndarray]:
-    """flat() of the words `[^\\x20\\x09-\\x0D]+`; a null text has none."""
+def coded_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(code of each word, distinct words, words per text) of the words `[^\\x20\\x09-\\x0D]+`; a null text has none."""
     texts = pc.fill_null(texts, "")
-    codes, words, counts = flat(pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts))
-    empty = np.array([w == "" for w in words], dtype=bool)
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = lists.flatten().dictionary_encode()
+    codes, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+    empty = pc.binary_length(words).to_numpy(zero_copy_only=False) == 0
     if empty.any():
         real = ~empty[codes]
         doc = np.repeat(np.arange(len(counts)), counts)
@@ -154,6 +157,12 @@ def ascii_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, list,
     return codes, words, counts
 
 
+def ascii_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, list, np.ndarray]:
+    """coded_words() with a list of words."""
+    codes, words, counts = coded_words(texts, lower)
+    return codes, words.to_pylist(), counts
+
+
 def unused_mark(texts: pa.Array) -> str | None:
     """A character that none of the texts has, to cut them by; None if they have all of MARKS."""
     return next((c for c in MARKS if not pc.any(pc.match_substring(texts, c)).as_py()), None)

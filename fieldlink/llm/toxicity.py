@@ -26,6 +26,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructType
@@ -45,25 +46,48 @@ STEPS = 1024
 #: A toxic row that is missed counts as so many false alarms where thresholds are set.
 MISSED = 2
 STRIP = ".,;:!?\"'()[]{}<>*_-…«»¿¡"
-def buckets_of(words: list[str]) -> np.ndarray:
-    """A row for each word: buckets from 1 on of the word and of its stems, 0 for stems that aren't shorter than it."""
+
+
+def hashes(words: pa.Array, seed: int) -> np.ndarray:
+    """xxh32 of each text's UTF-8, of all short ones at once."""
     import xxhash
 
-    made = lambda texts, seed: np.array([1 + xxhash.xxh32_intdigest(t.encode("utf-8", "surrogatepass"), seed) % (BUCKETS - 1) for t in texts], dtype=np.int32)
-    lengths, out = np.array([len(w) for w in words], dtype=np.int64), np.zeros((len(words), 1 + len(STEMS)), np.int32)
+    turned = lambda h, k: (h << np.uint32(k)) | (h >> np.uint32(32 - k))
+    p1, p2, p3, p4, p5 = map(np.uint32, (2654435761, 2246822519, 3266489917, 668265263, 374761393))
+    words = words.cast(pa.binary())
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64) if len(words) else np.zeros(1, np.int64)
+    lengths, held = np.diff(offsets), np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    first = np.concatenate([held, np.zeros(16, np.uint8)])[(offsets[:-1] - offsets[0])[:, None] + np.arange(16)]
+    h = lengths.astype(np.uint32) + np.uint32((seed + int(p5)) & 0xFFFFFFFF)
+    four = first.view("<u4")
+    for i in range(3):
+        h = np.where(lengths >= 4 * i + 4, turned(h + four[:, i] * p3, 17) * p4, h)
+    for j in range(3):
+        at = np.minimum(lengths // 4 * 4 + j, 15)
+        h = np.where(at < lengths, turned(h + first[np.arange(len(at)), at] * p5, 11) * p1, h)
+    h = (h ^ (h >> np.uint32(15))) * p2
+    h = (h ^ (h >> np.uint32(13))) * p3
+    h ^= h >> np.uint32(16)
+    long = np.flatnonzero(lengths >= 16)
+    h[long] = [xxhash.xxh32_intdigest(w, seed) for w in words.take(pa.array(long)).to_pylist()]
+    return h
+
+
+def buckets_of(words: pa.Array) -> np.ndarray:
+    """A row for each word: buckets from 1 on of the word and of its stems, 0 for stems that aren't shorter than it."""
+    made = lambda texts, seed: 1 + (hashes(texts, seed) % np.uint32(BUCKETS - 1)).astype(np.int32)
+    lengths, out = pc.utf8_length(words).to_numpy(zero_copy_only=False), np.zeros((len(words), 1 + len(STEMS)), np.int32)
     out[:, 0] = made(words, 0)
     for k, n in enumerate(STEMS, 1):
         longer = np.flatnonzero(lengths > n)
-        cut = [words[i][:n] for i in longer]
-        stems = {t: i for i, t in enumerate(dict.fromkeys(cut))}
-        out[longer, k] = made(stems, n)[[stems[t] for t in cut]] if cut else 0
+        out[longer, k] = made(pc.utf8_slice_codeunits(words.take(pa.array(longer)), 0, n), n)
     return out
 
 
 def featured(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(buckets of each distinct word, number of each word among those, words per text)."""
-    codes, words, counts = common.ascii_words(texts)
-    return buckets_of([w.strip(STRIP) for w in words]), codes, counts
+    codes, words, counts = common.coded_words(texts)
+    return buckets_of(pc.utf8_trim(words.cast(pa.string()), STRIP)), codes, counts
 
 
 def embedded(odds: np.ndarray, trust: np.ndarray, words: np.ndarray) -> np.ndarray:

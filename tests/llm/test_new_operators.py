@@ -370,3 +370,15 @@ def test_registered_queries(spark, folder, name):
         assert all((r.n_tokens if name[2] == "3" else r.n_ids) >= (1 if name[2] == "3" else 0) for r in got)
     if name == "op4_license_scan":
         assert (by[203].base_labels, by[203].n_base, by[203].first_word, by[203].last_word, by[203].n_words) == ("mit", 1, 0, 0, 2)
+
+
+def test_hashes_of_arrays_are_the_librarys():
+    """All words of a slice go by at once, with the hashes that each has alone."""
+    import xxhash
+
+    words = ["", "a", "abc", "abcd", "fünf", "x" * 15, "y" * 16, "漢字漢字漢字漢字", "z" * 100_000, *(("pqrs" * 5)[:n] for n in range(20))]
+    for part in (pa.array(words), pa.array(["cut", *words, "off"]).slice(1, len(words)), pa.array([], pa.string())):
+        for seed in (0, 7):
+            assert toxicity.hashes(part, seed).tolist() == [xxhash.xxh32_intdigest(w.encode(), seed) for w in part.to_pylist()]
+    alone = lambda w, seed: 1 + xxhash.xxh32_intdigest(w.encode(), seed) % (toxicity.BUCKETS - 1)
+    assert toxicity.buckets_of(pa.array(words)).tolist() == [[alone(w, 0), *(alone(w[:n], n) if len(w) > n else 0 for n in toxicity.STEMS)] for w in words]
